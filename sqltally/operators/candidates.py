@@ -88,6 +88,7 @@ class Sandbox:
             "spark.sql.adaptive.enabled",
             "spark.sql.autoBroadcastJoinThreshold",
             "spark.sql.files.maxPartitionBytes",
+            "spark.sql.codegen.wholeStage",
         ):
             session.conf.set(name, self.spark.conf.get(name))
         # A mistyped comparison is NULL in the scored dialect, not an error.

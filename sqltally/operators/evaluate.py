@@ -10,15 +10,17 @@ from ..functions import text as X
 from .corpus import question_key
 from .running import running
 
-CORRECT = F.coalesce(F.col("correct"), F.lit(False))
+def is_correct() -> Column:
+    """A missing verdict counts as wrong."""
+    return F.coalesce(F.col("correct"), F.lit(False))
 
 
 def accuracy() -> Column:
-    return F.coalesce(F.avg(CORRECT.cast("double")), F.lit(0.0))
+    return F.coalesce(F.avg(is_correct().cast("double")), F.lit(0.0))
 
 
 def counts() -> list[Column]:
-    return [F.count(F.lit(1)).alias("total"), F.count_if(CORRECT).alias("correct")]
+    return [F.count(F.lit(1)).alias("total"), F.count_if(is_correct()).alias("correct")]
 
 
 def attach_difficulty(predictions: DataFrame, raw: DataFrame) -> DataFrame:
@@ -91,12 +93,12 @@ def accuracy_ci(predictions: DataFrame, by: list[str], z: float = 1.96) -> DataF
 
 def condition_table(predictions: DataFrame, splits: list[str]) -> DataFrame:
     """One row per method, one accuracy column per split."""
-    return predictions.groupBy("method").pivot("split", splits).agg(F.avg(CORRECT.cast("double")))
+    return predictions.groupBy("method").pivot("split", splits).agg(F.avg(is_correct().cast("double")))
 
 
 def metric_by_setting(predictions: DataFrame, by: list[str], step: str = "step") -> DataFrame:
     """Accuracy curve per setting, with the final and the best point of each."""
-    curve = predictions.groupBy(*by, step).agg(F.avg(CORRECT.cast("double")).alias("ex"))
+    curve = predictions.groupBy(*by, step).agg(F.avg(is_correct().cast("double")).alias("ex"))
     return curve.groupBy(*by).agg(
         F.count(F.lit(1)).alias("points"),
         F.max_by("ex", step).alias("final_ex"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from .evaluate import CORRECT, counts
+from .evaluate import counts, is_correct
 from .running import rank_rows
 
 
@@ -21,7 +21,7 @@ def method_by_difficulty(predictions: DataFrame, methods: list[str]) -> DataFram
         predictions.where(F.col("difficulty").isin(fixed.TIERS))
         .groupBy("difficulty")
         .pivot("method", methods)
-        .agg(F.avg(CORRECT.cast("double")) * 100)
+        .agg(F.avg(is_correct().cast("double")) * 100)
     )
     order = predictions.sparkSession.createDataFrame([(t,) for t in fixed.TIERS], "difficulty string")
     return order.join(tiers, "difficulty", "left").fillna(0.0, methods)
@@ -53,8 +53,8 @@ def discordant_methods(predictions: DataFrame, first: str, second: str) -> DataF
         predictions.where(F.col("method").isin(first, second))
         .groupBy("idx")
         .agg(
-            F.bool_or((F.col("method") == first) & CORRECT).alias("a"),
-            F.bool_or((F.col("method") == second) & CORRECT).alias("b"),
+            F.bool_or((F.col("method") == first) & is_correct()).alias("a"),
+            F.bool_or((F.col("method") == second) & is_correct()).alias("b"),
         )
     )
     return solved.where(F.col("a") != F.col("b")).select("idx", F.when(F.col("a"), first).otherwise(second).alias("solved_by"))
