@@ -6,6 +6,8 @@ generation, push through projections and work unchanged on a stream.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +36,15 @@ SQL_STRUCT = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once.
+
+    An expression used in several branches of a CASE is otherwise evaluated again in each of them,
+    and again in what is built on top.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     """Remove blanks at both ends."""
     return F.btrim(c, F.lit(BLANKS))
@@ -110,14 +121,21 @@ def schema_names(identifiers: Column) -> Column:
 
 def set_f1(pred: Column, gold: Column) -> Column:
     """F1 of two identifier sets; two empty sets agree fully."""
-    hits = F.size(F.array_intersect(pred, gold)).cast("double")
-    precision = hits / F.size(pred)
-    recall = hits / F.size(gold)
-    return (
-        F.when((F.size(pred) == 0) & (F.size(gold) == 0), 1.0)
-        .when((F.size(pred) == 0) | (F.size(gold) == 0) | (hits == 0), 0.0)
-        .otherwise(2 * precision * recall / (precision + recall))
-    )
+
+    def f1(c: Column) -> Column:
+        precision, recall = c["hits"] / c["pred"], c["hits"] / c["gold"]
+        return (
+            F.when((c["pred"] == 0) & (c["gold"] == 0), 1.0)
+            .when((c["pred"] == 0) | (c["gold"] == 0) | (c["hits"] == 0), 0.0)
+            .otherwise(2 * precision * recall / (precision + recall))
+        )
+
+    def sizes(s: Column) -> Column:
+        hits = F.size(F.array_intersect(s["pred"], s["gold"])).cast("double")
+        return F.struct(hits.alias("hits"), F.size(s["pred"]).alias("pred"), F.size(s["gold"]).alias("gold"))
+
+    sets = F.struct(pred.alias("pred"), gold.alias("gold"))
+    return let(sets, lambda s: let(sizes(s), f1))
 
 
 def schema_f1(pred_sql: Column, gold_sql: Column) -> Column:
@@ -188,30 +206,35 @@ def split_path(data_dir: str, split: Column, db_id: Column) -> Column:
 
 def difficulty(sql_json: Column) -> Column:
     """Tier of a parsed-SQL struct held as raw JSON text."""
-    parsed = F.from_json(sql_json, SQL_STRUCT)
-
     def count(items: Column) -> Column:
         return F.greatest(F.coalesce(F.size(items), F.lit(0)), F.lit(0))
 
     def point(condition: Column, points: int = 1) -> Column:
         return F.when(condition, points).otherwise(0)
 
-    def present(field: str) -> Column:
+    def present(field: Column) -> Column:
         empty = ["", "{}", "[]", "0", "false", '""']
-        return parsed[field].isNotNull() & ~parsed[field].isin(*empty)
-
-    score = (
-        count(parsed["where"])
-        + point(count(parsed["groupBy"]) > 0)
-        + point(count(parsed["having"]) > 0)
-        + point(count(parsed["orderBy"]) > 0)
-        + point(parsed["limit"].isNotNull())
-        + point(present("intersect"), 3)
-        + point(present("union"), 3)
-        + point(present("except"), 3)
-        + F.greatest(count(parsed["from"]["table_units"]) - 1, F.lit(0))
-    )
-    tier = F.when(parsed.isNull(), fixed.UNKNOWN_TIER)
-    for name, limit in fixed.TIER_LIMITS.items():
-        tier = tier.when(score <= limit, name)
-    return tier.otherwise(fixed.TOP_TIER)
+        return field.isNotNull() & ~field.isin(*empty)
+
+    def score(parsed: Column) -> Column:
+        return (
+            count(parsed["where"])
+            + point(count(parsed["groupBy"]) > 0)
+            + point(count(parsed["having"]) > 0)
+            + point(count(parsed["orderBy"]) > 0)
+            + point(parsed["limit"].isNotNull())
+            + point(present(parsed["intersect"]), 3)
+            + point(present(parsed["union"]), 3)
+            + point(present(parsed["except"]), 3)
+            + F.greatest(count(parsed["from"]["table_units"]) - 1, F.lit(0))
+        )
+
+    def tier(points: Column) -> Column:
+        named = F.when(points.isNull(), fixed.UNKNOWN_TIER)
+        for name, limit in fixed.TIER_LIMITS.items():
+            named = named.when(points <= limit, name)
+        return named.otherwise(fixed.TOP_TIER)
+
+    # Counting the parts of a missing struct gives zeros, so its score is set to NULL first.
+    scored = let(F.from_json(sql_json, SQL_STRUCT), lambda p: F.when(p.isNotNull(), score(p)))
+    return let(scored, tier)

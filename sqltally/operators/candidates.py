@@ -3,10 +3,10 @@
 Each distinct text becomes one Spark plan. Plans are analysed a few at a time, unioned in batches
 and run as one job per batch. Two kinds of run exist:
 
-* ``run_candidates`` screens: per text only a row count and a digest leave the job, whatever the
+* ``run_candidates`` screens: per text only a row count and digests leave the job, whatever the
   size of the result. It records errors, time-outs and empty results.
 * ``result_rows`` writes the normalised rows of chosen texts to the shared working folder. The
-  comparison asks for them only where counts and digests already agree.
+  comparison asks for them only where a large result agrees in count and digest.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ OUTCOME = T.StructType(
         T.StructField("error", T.StringType()),
         T.StructField("n_rows", T.LongType()),
         T.StructField("digest", T.LongType()),
+        T.StructField("bag", T.StringType()),
+        T.StructField("seq", T.StringType()),
     ]
 )
 
@@ -71,6 +73,9 @@ class Sandbox:
     batch_size: int = 16
     parallel_batches: int = 8
     wave_size: int = 2048
+    # Rows per partition, and partitions, up to which a result is also hashed row by row.
+    small_rows: int = 256
+    small_parts: int = 256
     _sessions: dict[str, SparkSession] = field(default_factory=dict)
     _lock: threading.Lock = field(default_factory=threading.Lock)
 
@@ -170,23 +175,51 @@ def _spread(spark: SparkSession, threads: int, work: Callable, items: list) -> l
         return list(pool.map(inheritable_thread_target(spark)(work), items))
 
 
-def _screen(plans: list[tuple[str, DataFrame]]) -> dict[str, tuple[int, int]]:
-    """Row count and order-free digest of each plan, by one shuffle for the whole batch."""
+def _screen(box: Sandbox, plans: list[tuple[str, DataFrame]]) -> dict[str, tuple]:
+    """``n_rows, digest, bag, seq`` of each plan, by one shuffle for the whole batch.
+
+    ``digest`` is an order-free 64-bit sum over all rows, cheap at any size. ``bag`` and ``seq`` are
+    SHA-256 over the sorted and over the ordered row hashes; only a result whose every row falls
+    within the small limits has them, so the hashes held per result are bounded.
+    """
+    at, part = f"pos & {(1 << PARTITION_BITS) - 1}L", f"shiftright(pos, {PARTITION_BITS})"
 
     def hashed(i: int, plan: DataFrame) -> DataFrame:
         frame, values = normalised(plan)
-        return frame.selectExpr(f"{i} AS i", f"xxhash64({values}) AS h")
+        # The ids are made directly above the candidate's own sort, so they rise in its order.
+        return frame.selectExpr(f"{i} AS i", "monotonically_increasing_id() AS pos", f"array({values}) AS r")
 
     rows = functools.reduce(DataFrame.union, [hashed(i, plan) for i, (_, plan) in enumerate(plans)])
     # The sandbox session adds without overflow checks: the digest is a sum modulo 2**64.
-    found = rows.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("digest")).collect()
-    outcome = {key: (0, 0) for key, _ in plans}
-    outcome.update({plans[r["i"]][0]: (r["n"], r["digest"]) for r in found})
+    found = (
+        rows.selectExpr(
+            "i",
+            "xxhash64(r) AS h",
+            f"CASE WHEN {at} < {box.small_rows} AND {part} < {box.small_parts} "
+            "THEN struct(pos, sha2(to_json(r), 256) AS s) END AS mark",
+        )
+        .groupBy("i")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("digest"), F.sort_array(F.collect_list("mark")).alias("marks"))
+        .selectExpr(
+            "i",
+            "n",
+            "digest",
+            "CASE WHEN size(marks) = n THEN sha2(array_join(array_sort(marks.s), ''), 256) END AS bag",
+            "CASE WHEN size(marks) = n THEN sha2(array_join(marks.s, ''), 256) END AS seq",
+        )
+        .collect()
+    )
+    outcome = {key: (0, 0, None, None) for key, _ in plans}
+    outcome.update({plans[r["i"]][0]: (r["n"], r["digest"], r["bag"], r["seq"]) for r in found})
     return outcome
 
 
-def _outcome(key: str, status: str, error: str | None = None, n: int | None = None, digest: int | None = None):
-    return (key, status, error, n, digest)
+def _ran(key: str, result: tuple) -> tuple:
+    return (key, "ok" if result[0] else "empty", None, *result)
+
+
+def _failed(key: str, status: str, error: str) -> tuple:
+    return (key, status, error, None, None, None, None)
 
 
 def _run_wave(box: Sandbox, wave: list) -> list[tuple]:
@@ -204,7 +237,7 @@ def _run_wave(box: Sandbox, wave: list) -> list[tuple]:
 
     for row, plan, error in _spread(box.spark, box.parallel_batches, analyse, wave):
         if plan is None:
-            outcomes.append(_outcome(row["key"], "error", error))
+            outcomes.append(_failed(row["key"], "error", error))
         else:
             plans.setdefault(row["db_id"], []).append((row["key"], plan))
 
@@ -217,7 +250,7 @@ def _run_wave(box: Sandbox, wave: list) -> list[tuple]:
     def attempt(batch):
         # A batch within the limit of one candidate proves that each member is.
         try:
-            return batch, within(box.spark, box.time_limit, lambda: _screen(batch))
+            return batch, within(box.spark, box.time_limit, lambda: _screen(box, batch))
         except Exception:  # one member failed or ran too long; found out below, one by one
             return batch, None
 
@@ -226,18 +259,15 @@ def _run_wave(box: Sandbox, wave: list) -> list[tuple]:
         if found is None:
             suspects.extend(batch)
         else:
-            outcomes += [
-                _outcome(key, "ok" if n else "empty", None, n, digest) for key, (n, digest) in found.items()
-            ]
+            outcomes += [_ran(key, result) for key, result in found.items()]
     # One at a time, so that a runaway text cannot starve the others past their own limit.
     for key, plan in suspects:
         try:
-            n, digest = within(box.spark, box.time_limit, lambda: _screen([(key, plan)]))[key]
-            outcomes.append(_outcome(key, "ok" if n else "empty", None, n, digest))
+            outcomes.append(_ran(key, within(box.spark, box.time_limit, lambda: _screen(box, [(key, plan)]))[key]))
         except TimeLimitExceeded:
-            outcomes.append(_outcome(key, "timeout", fixed.TIMEOUT))
+            outcomes.append(_failed(key, "timeout", fixed.TIMEOUT))
         except Exception as error:
-            outcomes.append(_outcome(key, "error", first_line(error)))
+            outcomes.append(_failed(key, "error", first_line(error)))
     return outcomes
 
 
@@ -253,21 +283,19 @@ def distinct_texts(texts: DataFrame) -> DataFrame:
 def run_candidates(box: Sandbox, texts: DataFrame) -> DataFrame:
     """Run each distinct text of ``texts(db_id, sql)`` once.
 
-    Returns ``key, db_id, sql, status, error, n_rows, digest`` with status ``ok``, ``empty``,
-    ``error`` or ``timeout``. Texts reach the driver in waves; results never do. Outcomes of more
-    than one wave are kept in the shared working folder, so a lost executor repeats no candidate.
+    Returns ``key, db_id, sql, status, error, n_rows, digest, bag, seq`` with status ``ok``,
+    ``empty``, ``error`` or ``timeout``. Texts reach the driver in waves; results never do. Outcomes
+    of more than one wave are kept in the shared working folder, so a lost executor repeats no
+    candidate.
     """
     spark = box.spark
-    distinct = distinct_texts(texts)
+    schema = T.StructType(
+        OUTCOME.fields[:1]
+        + [T.StructField("db_id", T.StringType()), T.StructField("sql", T.StringType())]
+        + OUTCOME.fields[1:]
+    )
     path = None
-    waves = _waves(distinct.toLocalIterator(prefetchPartitions=True), box.wave_size)
-    outcomes = spark.createDataFrame([], OUTCOME)
-    for wave in waves:
-        schema = T.StructType(
-            OUTCOME.fields[:1]
-            + [T.StructField("db_id", T.StringType()), T.StructField("sql", T.StringType())]
-            + OUTCOME.fields[1:]
-        )
+    for wave in _waves(distinct_texts(texts).toLocalIterator(prefetchPartitions=True), box.wave_size):
         text_of = {row["key"]: (row["db_id"], row["sql"]) for row in wave}
         rows = [(o[0], *text_of[o[0]], *o[1:]) for o in _run_wave(box, wave)]
         frame = spark.createDataFrame(rows, schema)
@@ -275,14 +303,7 @@ def run_candidates(box: Sandbox, texts: DataFrame) -> DataFrame:
             return frame
         path = path or work_dir(spark, "outcomes")
         frame.coalesce(1).write.mode("append").parquet(path)
-    if path is None:
-        return spark.createDataFrame([], _outcome_schema())
-    return spark.read.schema(_outcome_schema()).parquet(path)
-
-
-def _outcome_schema() -> T.StructType:
-    names = [T.StructField("db_id", T.StringType()), T.StructField("sql", T.StringType())]
-    return T.StructType(OUTCOME.fields[:1] + names + OUTCOME.fields[1:])
+    return spark.read.schema(schema).parquet(path) if path else spark.createDataFrame([], schema)
 
 
 ROWS = "key string, part bigint, at bigint, r array<string>, json string"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +19,17 @@ def failures_only(predictions: DataFrame) -> DataFrame:
 
 def identifier_diff(df: DataFrame, pred_sql: str = "pred_sql", gold_sql: str = "gold_sql") -> DataFrame:
     """Names missing from and added to the prediction, keywords and functions aside."""
-    pred, gold = X.schema_names(X.identifier_set(F.col(pred_sql))), X.schema_names(X.identifier_set(F.col(gold_sql)))
-    return df.withColumns({"missing": F.array_except(gold, pred), "extra": F.array_except(pred, gold)})
+    sets = F.struct(
+        X.schema_names(X.identifier_set(F.col(pred_sql))).alias("pred"),
+        X.schema_names(X.identifier_set(F.col(gold_sql))).alias("gold"),
+    )
+    both = X.let(
+        sets,
+        lambda s: F.struct(
+            F.array_except(s["gold"], s["pred"]).alias("missing"), F.array_except(s["pred"], s["gold"]).alias("extra")
+        ),
+    )
+    return df.withColumn("_diff", both).select(*df.columns, "_diff.missing", "_diff.extra")
 
 
 def identifier_overlap(pred_sql: Column, gold_sql: Column) -> Column:
@@ -26,29 +38,29 @@ def identifier_overlap(pred_sql: Column, gold_sql: Column) -> Column:
 
 def failure_class() -> Column:
     """Category of a failed row ``(pred_sql, gold_sql, error, n_rows, gold_rows)``; first rule wins."""
-    pred, gold = F.coalesce("pred_sql", F.lit("")), F.coalesce("gold_sql", F.lit(""))
-    pred_names = X.schema_names(X.identifier_set(pred))
-    gold_names = X.schema_names(X.identifier_set(gold))
+    pred, gold = F.upper(F.coalesce("pred_sql", F.lit(""))), F.upper(F.coalesce("gold_sql", F.lit("")))
 
     def mentions(sql: Column, marker: str) -> Column:
-        return F.contains(F.upper(sql), F.lit(marker))
+        return F.contains(sql, F.lit(marker))
 
     def aggregates(sql: Column) -> Column:
-        found = F.lit(False)
-        for marker in fixed.AGGREGATE_MARKERS:
-            found = found | mentions(sql, marker)
-        return found
+        return functools.reduce(operator.or_, [mentions(sql, m) for m in fixed.AGGREGATE_MARKERS])
 
     def differ(marker: str) -> Column:
         return mentions(pred, marker) != mentions(gold, marker)
 
+    sets = F.struct(
+        X.schema_names(X.identifier_set(F.col("pred_sql"))).alias("pred"),
+        X.schema_names(X.identifier_set(F.col("gold_sql"))).alias("gold"),
+    )
+    # Equal sets have equal sizes and nothing missing.
+    same_names = X.let(
+        sets, lambda s: (F.size(s["pred"]) == F.size(s["gold"])) & (F.size(F.array_except(s["gold"], s["pred"])) == 0)
+    )
     return (
         F.when(~X.has_select(pred), "syntax_error")
         .when(F.coalesce("error", F.lit("")) != "", "execution_error")
-        .when(
-            (F.size(F.array_except(gold_names, pred_names)) > 0) | (F.size(F.array_except(pred_names, gold_names)) > 0),
-            "wrong_table",
-        )
+        .when(~same_names, "wrong_table")
         .when(aggregates(pred) | aggregates(gold), "wrong_aggregation")
         .when(differ("ORDER BY"), "wrong_order")
         .when(differ("WHERE"), "wrong_filter")
