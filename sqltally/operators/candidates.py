@@ -1,7 +1,7 @@
 """Run a table of SQL texts over Spark tables, without harm and within a time limit.
 
-Each distinct text becomes one Spark plan. Plans are analysed a few at a time, unioned in batches
-and run as one job per batch. Two kinds of run exist:
+Each distinct text becomes one Spark plan. Texts whose plans mean the same are run once. Plans are
+unioned in batches, one job per batch. Two kinds of run exist:
 
 * ``run_candidates`` screens: per text only a row count and digests leave the job, whatever the
   size of the result. It records errors, time-outs and empty results.
@@ -42,6 +42,7 @@ OUTCOME = T.StructType(
         T.StructField("digest", T.LongType()),
         T.StructField("bag", T.StringType()),
         T.StructField("seq", T.StringType()),
+        T.StructField("plan", T.StringType()),
     ]
 )
 
@@ -214,38 +215,54 @@ def _screen(box: Sandbox, plans: list[tuple[str, DataFrame]]) -> dict[str, tuple
     return outcome
 
 
-def _ran(key: str, result: tuple) -> tuple:
-    return (key, "ok" if result[0] else "empty", None, *result)
+def _ran(result: tuple) -> tuple:
+    return ("ok" if result[0] else "empty", None, *result)
 
 
-def _failed(key: str, status: str, error: str) -> tuple:
-    return (key, status, error, None, None, None, None)
+def _failed(status: str, error: str) -> tuple:
+    return (status, error, None, None, None, None)
 
 
-def _run_wave(box: Sandbox, wave: list) -> list[tuple]:
-    outcomes, plans = [], {}
+def _same_plans(analysed: list[tuple[str, DataFrame, int]]) -> dict[str, str]:
+    """Key of each plan to the key of the first plan with the same meaning.
+
+    Catalyst compares the canonical plans, so spelling, aliases and blanks do not matter.
+    """
+    first: dict[str, str] = {}
+    by_hash: dict[int, list[tuple[str, DataFrame]]] = {}
+    for key, plan, code in analysed:
+        seen = by_hash.setdefault(code, [])
+        twin = next((k for k, other in seen if plan.sameSemantics(other)), None)
+        if twin is None:
+            seen.append((key, plan))
+        first[key] = twin or key
+    return first
+
 
+def _run_wave(box: Sandbox, wave: list) -> list[tuple]:
     def analyse(row):
         if not row["sql"].strip(X.BLANKS):
             return row, None, fixed.EMPTY_SQL
         try:
             plan = box.plan(row["db_id"], row["sql"])
             normalised(plan)
-            return row, plan, None
+            return row, (plan, plan.semanticHash()), None
         except (PySparkException, PermissionError, LookupError) as error:
             return row, None, first_line(error)
 
-    for row, plan, error in _spread(box.spark, box.parallel_batches, analyse, wave):
-        if plan is None:
-            outcomes.append(_failed(row["key"], "error", error))
+    outcomes: dict[str, tuple] = {}
+    by_db: dict[str, list] = {}
+    for row, found, error in _spread(box.spark, box.parallel_batches, analyse, wave):
+        if found is None:
+            outcomes[row["key"]] = _failed("error", error)
         else:
-            plans.setdefault(row["db_id"], []).append((row["key"], plan))
+            by_db.setdefault(row["db_id"], []).append((row["key"], *found))
+    first = {key: twin for analysed in by_db.values() for key, twin in _same_plans(analysed).items()}
 
-    batches = [
-        members[i : i + box.batch_size]
-        for members in plans.values()
-        for i in range(0, len(members), box.batch_size)
-    ]
+    batches = []
+    for analysed in by_db.values():
+        plans = [(key, plan) for key, plan, _ in analysed if first[key] == key]
+        batches += [plans[i : i + box.batch_size] for i in range(0, len(plans), box.batch_size)]
 
     def attempt(batch):
         # A batch within the limit of one candidate proves that each member is.
@@ -259,16 +276,17 @@ def _run_wave(box: Sandbox, wave: list) -> list[tuple]:
         if found is None:
             suspects.extend(batch)
         else:
-            outcomes += [_ran(key, result) for key, result in found.items()]
+            outcomes.update({key: _ran(result) for key, result in found.items()})
     # One at a time, so that a runaway text cannot starve the others past their own limit.
     for key, plan in suspects:
         try:
-            outcomes.append(_ran(key, within(box.spark, box.time_limit, lambda: _screen(box, [(key, plan)]))[key]))
+            outcomes[key] = _ran(within(box.spark, box.time_limit, lambda: _screen(box, [(key, plan)]))[key])
         except TimeLimitExceeded:
-            outcomes.append(_failed(key, "timeout", fixed.TIMEOUT))
+            outcomes[key] = _failed("timeout", fixed.TIMEOUT)
         except Exception as error:
-            outcomes.append(_failed(key, "error", first_line(error)))
-    return outcomes
+            outcomes[key] = _failed("error", first_line(error))
+    keys = [row["key"] for row in wave]
+    return [(key, *outcomes[first.get(key, key)], first.get(key, key)) for key in keys]
 
 
 def distinct_texts(texts: DataFrame) -> DataFrame:
@@ -283,8 +301,8 @@ def distinct_texts(texts: DataFrame) -> DataFrame:
 def run_candidates(box: Sandbox, texts: DataFrame) -> DataFrame:
     """Run each distinct text of ``texts(db_id, sql)`` once.
 
-    Returns ``key, db_id, sql, status, error, n_rows, digest, bag, seq`` with status ``ok``,
-    ``empty``, ``error`` or ``timeout``. Texts reach the driver in waves; results never do. Outcomes
+    Returns ``key, db_id, sql, status, error, n_rows, digest, bag, seq, plan`` with status ``ok``,
+    ``empty``, ``error`` or ``timeout``; ``plan`` is the key of the text that was run for it. Texts reach the driver in waves; results never do. Outcomes
     of more than one wave are kept in the shared working folder, so a lost executor repeats no
     candidate.
     """

@@ -55,11 +55,11 @@ def pair_columns(db_id: Column, gold_sql: Column, pred_sql: Column) -> list[Colu
 def match_pairs(box: C.Sandbox, pairs: DataFrame, outcomes: DataFrame) -> DataFrame:
     """``gold_key, pred_key, matched`` for distinct pairs ``gold_key, pred_key, ordered``.
 
-    The same text matches itself. Otherwise row count and digest rule out wrong pairs without
+    Texts with the same plan match. Otherwise row count and digest rule out wrong pairs without
     moving a row, and small results compare by the SHA-256 over their rows. Only large results that
     still agree are run again for their rows, and those rows decide.
     """
-    known = outcomes.select("key", "status", "n_rows", "digest", "bag", "seq")
+    known = outcomes.select("key", "status", "n_rows", "digest", "bag", "seq", "plan")
     gold, pred = (known.toDF(*[f"{side}_{c}" for c in known.columns]) for side in ("gold", "pred"))
     ran = ["ok", "empty"]
     judged = (
@@ -70,7 +70,7 @@ def match_pairs(box: C.Sandbox, pairs: DataFrame, outcomes: DataFrame) -> DataFr
             "pred_key",
             "ordered",
             F.when(~F.coalesce(F.col("gold_status").isin(ran) & F.col("pred_status").isin(ran), F.lit(False)), "no")
-            .when(F.col("gold_key") == F.col("pred_key"), "yes")
+            .when(F.col("gold_plan") == F.col("pred_plan"), "yes")
             .when((F.col("gold_n_rows") != F.col("pred_n_rows")) | (F.col("gold_digest") != F.col("pred_digest")), "no")
             .when(F.col("gold_n_rows") == 0, "yes")
             .when(F.col("ordered") & (F.col("gold_seq") == F.col("pred_seq")), "yes")

@@ -38,6 +38,7 @@ SELECT cid, prompt_id, gen, gold_sql, 'warehouse' AS db_id,
     WHEN gen = 1 THEN '```sql' || chr(10) || gold_sql || chr(10) || '```'
     WHEN gen = 2 THEN gold_sql || '; this lists the rows'
     WHEN gen = 3 THEN 'Here is the query:' || chr(10) || gold_sql
+    WHEN gen = 4 AND prompt_id % 3 = 0 AND prompt_id % 4 < 2 THEN replace(gold_sql, 'WHERE', 'WHERE c_custkey >= 0 AND')
     WHEN gen = 4 AND prompt_id % 3 = 0 THEN replace(gold_sql, 'SELECT', 'select')
     WHEN gen = 4 AND prompt_id % 3 = 1 AND prompt_id % 4 = 1 THEN gold_sql || ' DESC'
     WHEN gen = 4 THEN replace(gold_sql, ' = ', ' <> ')
@@ -82,10 +83,10 @@ FROM {documents}
 # The same rows with databases that hold one row only, and databases no training row belongs to.
 FEWSHOT = """
 SELECT doc_id AS idx,
-  CASE WHEN doc_id % 10 = 0 AND doc_id % 20 = 0 THEN 'new_' || source
+  CASE WHEN doc_id % 26 = 0 THEN 'new_' || source
        WHEN doc_id % 9 = 0 THEN 'rare_' || CAST(doc_id AS STRING) ELSE source END AS db_id,
   text AS question, 'SELECT ' || CAST(doc_id AS STRING) AS gold_sql,
-  CASE WHEN doc_id % 10 = 0 THEN 'dev' ELSE 'train' END AS split
+  CASE WHEN doc_id % 13 = 0 THEN 'dev' ELSE 'train' END AS split
 FROM {documents}
 """
 
