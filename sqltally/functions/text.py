@@ -236,5 +236,6 @@ def difficulty(sql_json: Column) -> Column:
         return named.otherwise(fixed.TOP_TIER)
 
     # Counting the parts of a missing struct gives zeros, so its score is set to NULL first.
-    scored = let(F.from_json(sql_json, SQL_STRUCT), lambda p: F.when(p.isNotNull(), score(p)))
+    present_json = F.when(strip(sql_json) != "null", sql_json)
+    scored = let(F.from_json(present_json, SQL_STRUCT), lambda p: F.when(p.isNotNull(), score(p)))
     return let(scored, tier)

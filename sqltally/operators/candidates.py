@@ -102,7 +102,13 @@ class Sandbox:
         # No reading of arbitrary files through a path used as a table name.
         session.conf.set("spark.sql.runSQLOnFiles", "false")
         for name, table in self.databases[db_id].items():
-            frame = session.read.parquet(table) if isinstance(table, str) else table
+            if isinstance(table, str):
+                frame = session.read.parquet(table)
+            else:
+                # A DataFrame belongs to its session; a global view carries it into this one.
+                shared = f"sandbox_{uuid.uuid4().hex}"
+                table.createGlobalTempView(shared)
+                frame = session.table(f"global_temp.{shared}")
             frame.createOrReplaceTempView(name)
         return session
 
@@ -226,7 +232,7 @@ def _failed(status: str, error: str) -> tuple:
 def _same_plans(analysed: list[tuple[str, DataFrame, int]]) -> dict[str, str]:
     """Key of each plan to the key of the first plan with the same meaning.
 
-    Catalyst compares the canonical plans, so spelling, aliases and blanks do not matter.
+    Catalyst compares the canonical plans, so letter case, table aliases and blanks do not matter.
     """
     first: dict[str, str] = {}
     by_hash: dict[int, list[tuple[str, DataFrame]]] = {}

@@ -186,7 +186,7 @@ def cached_rows(cached: DataFrame) -> DataFrame:
     )
 
 
-def usable_cache(cached: DataFrame) -> Column:
+def usable_cache() -> Column:
     """True where a cached result parses as a list of rows; otherwise the SQL is run again."""
     return F.try_variant_get(F.try_parse_json("gold_result"), "$", "array<array<variant>>").isNotNull()
 

@@ -58,7 +58,7 @@ def statements_of_columns(columns: DataFrame) -> DataFrame:
 
 def read_script_lines(spark: SparkSession, path: str) -> DataFrame:
     """``db_id, line_no, line`` of the ``schema.sql`` script in each database folder."""
-    scripts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    scripts = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     folder = F.element_at(F.split("_metadata.file_path", "/"), -2)
     return scripts.select(
         folder.alias("db_id"), F.posexplode(F.split("value", "\n")).alias("line_no", "line")

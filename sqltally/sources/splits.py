@@ -35,9 +35,7 @@ def read_json_arrays(spark: SparkSession, paths: Sequence[str], record: str = RE
     files = None
     for part, path in enumerate(paths):
         found = (
-            spark.read.option("wholetext", True)
-            .option("recursiveFileLookup", True)
-            .text(path)
+            spark.read.text(path, wholetext=True, recursiveFileLookup=True)
             .select(F.lit(part).alias("part"), F.col("_metadata.file_path").alias("file"), "value")
         )
         files = found if files is None else files.union(found)
@@ -97,7 +95,7 @@ def read_predictions(spark: SparkSession, path: str, record: str = PREDICTION, l
     """
     if lines:
         return spark.read.schema(record).json(path)
-    documents = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    documents = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     listed = F.from_json("value", f"array<struct<{record}>>")
     wrapped = F.from_json("value", f"predictions array<struct<{record}>>")["predictions"]
     is_list = F.startswith(F.btrim("value", F.lit(" \t\n\r﻿")), F.lit("["))

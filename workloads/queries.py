@@ -495,7 +495,7 @@ def running_ex(spark, sf):
 
 @query
 def top_failures(spark, sf):
-    return failures.top_failures(failed(spark, sf))
+    return failures.top_failures(failed(spark, sf)).withColumn("rk", F.col("rk").cast("bigint"))
 
 
 @query
@@ -607,7 +607,7 @@ CONSTRUCTS = {
         SELECT c.c_custkey, o.o_orderkey FROM customer c
         LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_orderstatus = 'P'""",
     "q_group": """
-        SELECT l_returnflag, l_linestatus, COUNT(*) AS n, SUM(CAST(l_quantity AS BIGINT)) AS qty,
+        SELECT l_returnflag, l_linestatus, COUNT(*) AS n, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty,
           MIN(l_shipdate) AS first_ship, MAX(l_extendedprice) AS top_price, ROUND(AVG(l_discount), 6) AS avg_discount
         FROM lineitem GROUP BY l_returnflag, l_linestatus""",
     "q_having": """
