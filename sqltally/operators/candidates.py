@@ -333,8 +333,15 @@ def run_candidates(box: Sandbox, texts: DataFrame) -> DataFrame:
 ROWS = "key string, part bigint, at bigint, r array<string>, json string"
 
 
-def json_value(name: str) -> str:
-    """SQL expression for the JSON text of one value: a one-element array without its brackets."""
+def json_value(name: str, data_type: T.DataType) -> str:
+    """SQL expression for the JSON text of one value: a one-element array without its brackets.
+
+    Numbers stay numbers and booleans become 0/1; everything else is the text it compares under.
+    """
+    if isinstance(data_type, T.BooleanType):
+        name = f"cast({name} as int)"
+    elif not isinstance(data_type, T.NumericType):
+        name = f"cast({name} as string)"
     text = f"to_json(array({name}))"
     return f"substring({text}, 2, length({text}) - 2)"
 
@@ -351,7 +358,8 @@ def result_rows(box: Sandbox, texts: DataFrame, with_json: bool = False) -> Data
 
     def keyed(key: str, plan: DataFrame) -> DataFrame:
         frame, values = normalised(plan)
-        raw = f"concat('[', concat_ws(',', {', '.join(map(json_value, frame.columns))}), ']')"
+        cells = ", ".join(json_value(f.name, f.dataType) for f in frame.schema.fields)
+        raw = f"concat('[', concat_ws(',', {cells}), ']')"
         # The ids are made directly above the candidate's own sort, so they rise in its order.
         return frame.selectExpr(
             f"'{key}' AS key",

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as X
 from . import candidates as C
 
 
@@ -44,27 +43,24 @@ def rows_minus(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.exceptAll(right)
 
 
-def pair_columns(db_id: Column, gold_sql: Column, pred_sql: Column) -> list[Column]:
-    return [
-        C.text_key(db_id, gold_sql).alias("gold_key"),
-        C.text_key(db_id, pred_sql).alias("pred_key"),
-        X.is_ordered(gold_sql).alias("ordered"),
-    ]
-
-
-def match_pairs(box: C.Sandbox, pairs: DataFrame, outcomes: DataFrame) -> DataFrame:
+def match_pairs(
+    box: C.Sandbox, pairs: DataFrame, gold: DataFrame, pred: DataFrame, cached: DataFrame | None = None
+) -> DataFrame:
     """``gold_key, pred_key, matched`` for distinct pairs ``gold_key, pred_key, ordered``.
 
-    Texts with the same plan match. Otherwise row count and digest rule out wrong pairs without
-    moving a row, and small results compare by the SHA-256 over their rows. Only large results that
-    still agree are run again for their rows, and those rows decide.
+    ``gold`` and ``pred`` are outcomes. Texts with the same plan match. Otherwise row count and digest
+    rule out wrong pairs without moving a row, and small results compare by the SHA-256 over their
+    rows. Only large results that still agree are run again for their rows, and those rows decide.
+    ``cached`` holds the rows of references that were not run.
     """
-    known = outcomes.select("key", "status", "n_rows", "digest", "bag", "seq", "plan")
-    gold, pred = (known.toDF(*[f"{side}_{c}" for c in known.columns]) for side in ("gold", "pred"))
+    known = ["key", "status", "n_rows", "digest", "bag", "seq", "plan"]
+    gold_side, pred_side = (
+        df.select(known).toDF(*[f"{side}_{c}" for c in known]) for side, df in (("gold", gold), ("pred", pred))
+    )
     ran = ["ok", "empty"]
     judged = (
-        pairs.join(gold, "gold_key", "left")
-        .join(pred, "pred_key", "left")
+        pairs.join(gold_side, "gold_key", "left")
+        .join(pred_side, "pred_key", "left")
         .select(
             "gold_key",
             "pred_key",
@@ -81,9 +77,13 @@ def match_pairs(box: C.Sandbox, pairs: DataFrame, outcomes: DataFrame) -> DataFr
         )
     )
     unproven = judged.where(F.col("verdict") == "prove").select("gold_key", "pred_key", "ordered")
-    wanted = unproven.select(F.explode(F.array("gold_key", "pred_key")).alias("key")).distinct()
-    rows = C.result_rows(box, outcomes.join(wanted, "key", "left_semi"))
-    proved = prove_pairs(unproven, rows)
+    golds, preds = (unproven.select(F.col(f"{side}_key").alias("key")).distinct() for side in ("gold", "pred"))
+    if cached is not None:
+        golds = golds.join(cached.select("key").distinct(), "key", "left_anti")
+    texts = gold.unionByName(pred).select("key", "db_id", "sql").distinct()
+    rows = C.result_rows(box, texts.join(golds.union(preds).distinct(), "key", "left_semi")).drop("json")
+    gold_rows = rows if cached is None else rows.join(golds, "key", "left_semi").unionByName(cached)
+    proved = prove_pairs(unproven, gold_rows, rows)
     return judged.join(proved, ["gold_key", "pred_key"], "left").select(
         "gold_key",
         "pred_key",
@@ -93,13 +93,15 @@ def match_pairs(box: C.Sandbox, pairs: DataFrame, outcomes: DataFrame) -> DataFr
     )
 
 
-def prove_pairs(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Exact comparison of pairs by the rows of their results."""
-    placed = C.dense_positions(rows).select("key", "pos", "r")
+def prove_pairs(pairs: DataFrame, gold_rows: DataFrame, pred_rows: DataFrame) -> DataFrame:
+    """Exact comparison of pairs by the rows ``key, part, at, r`` of their results."""
 
-    def side(which: str) -> DataFrame:
-        return pairs.join(placed.withColumnRenamed("key", which), which).select(
+    def side(rows: DataFrame, which: str) -> DataFrame:
+        placed = C.dense_positions(rows).select(F.col("key").alias(which), "pos", "r")
+        return pairs.join(placed, which).select(
             "gold_key", "pred_key", F.when(F.col("ordered"), F.col("pos")).alias("pos"), "r"
         )
 
-    return signed_match(side("gold_key"), side("pred_key"), ["gold_key", "pred_key"], ["pos", "r"])
+    return signed_match(
+        side(gold_rows, "gold_key"), side(pred_rows, "pred_key"), ["gold_key", "pred_key"], ["pos", "r"]
+    )

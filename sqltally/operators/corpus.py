@@ -164,31 +164,53 @@ def gold_results(outcomes: DataFrame, rows: DataFrame, inline_rows: int = 1000)
     )
 
 
-def cached_rows(cached: DataFrame) -> DataFrame:
-    """``key, part, at, r`` from cached JSON results; unusable texts give no row.
+def parsed_rows(gold_result: Column) -> Column:
+    """Comparable rows of a cached JSON result, NULL when it is not a list of rows.
 
-    JSON fractions are rounded like executed ones, whole numbers and texts stay as they are.
+    JSON fractions are rounded like executed ones; whole numbers and texts stay as they are.
     """
-    cells = F.try_variant_get(F.try_parse_json("gold_result"), "$", "array<array<variant>>")
 
     def value(v: Column) -> Column:
         kind = F.schema_of_variant(v)
-        fraction = (kind == "DOUBLE") | (F.startswith(kind, F.lit("DECIMAL")))
+        fraction = (kind == "DOUBLE") | F.startswith(kind, F.lit("DECIMAL"))
         number = F.lower(F.round(F.try_variant_get(v, "$", "double"), 6).cast("string"))
-        flag = F.lower(F.try_variant_get(v, "$", "string"))
-        return F.coalesce(F.when(fraction, number).otherwise(X.strip(flag)), F.lit("none"))
-
-    return cached.select("key", F.posexplode(cells).alias("at", "cells")).select(
-        "key",
-        F.lit(0).cast("bigint").alias("part"),
-        F.col("at").cast("bigint").alias("at"),
-        F.transform("cells", value).alias("r"),
+        plain = X.strip(F.lower(F.try_variant_get(v, "$", "string")))
+        return F.coalesce(F.when(fraction, number).otherwise(plain), F.lit("none"))
+
+    cells = F.try_variant_get(F.try_parse_json(gold_result), "$", "array<array<variant>>")
+    return F.transform(cells, lambda row: F.transform(row, value))
+
+
+def cached_rows(cached: DataFrame) -> DataFrame:
+    """``key, part, at, r`` from cached JSON results; unusable texts give no row."""
+    return cached.select("key", F.posexplode(parsed_rows(F.col("gold_result"))).alias("at", "r")).select(
+        "key", F.lit(0).cast("bigint").alias("part"), F.col("at").cast("bigint").alias("at"), "r"
     )
 
 
-def usable_cache() -> Column:
-    """True where a cached result parses as a list of rows; otherwise the SQL is run again."""
-    return F.try_variant_get(F.try_parse_json("gold_result"), "$", "array<array<variant>>").isNotNull()
+def cached_outcomes(cached: DataFrame) -> DataFrame:
+    """Outcomes of references ``key, db_id, sql, gold_result`` without running them.
+
+    Unusable results are left out: those references have to be run.
+    """
+    marks = F.transform("r", lambda row: F.sha2(F.to_json(row), 256))
+    return (
+        cached.withColumn("r", parsed_rows(F.col("gold_result")))
+        .where("r IS NOT NULL")
+        .withColumn("marks", marks)
+        .select(
+            "key",
+            "db_id",
+            "sql",
+            F.when(F.size("r") == 0, "empty").otherwise("ok").alias("status"),
+            F.lit(None).cast("string").alias("error"),
+            F.size("r").cast("bigint").alias("n_rows"),
+            F.lit(None).cast("bigint").alias("digest"),
+            F.sha2(F.array_join(F.array_sort("marks"), ""), 256).alias("bag"),
+            F.sha2(F.array_join("marks", ""), 256).alias("seq"),
+            F.lit(None).cast("string").alias("plan"),
+        )
+    )
 
 
 def attach_gold(candidates: DataFrame, cache: DataFrame, run_db: Column | None = None) -> DataFrame:

@@ -25,19 +25,32 @@ def with_keys(completions: DataFrame) -> DataFrame:
     )
 
 
-def execute_pairs(box: C.Sandbox, pairs: DataFrame, match: bool = True) -> DataFrame:
-    """Outcome of distinct ``(gold_key, pred_key, db_id, gold_sql, pred_sql)`` pairs."""
-    gold = pairs.select("db_id", F.col("gold_sql").alias("sql"))
-    pred = pairs.select("db_id", F.col("pred_sql").alias("sql"))
+def execute_pairs(
+    box: C.Sandbox, pairs: DataFrame, match: bool = True, cache: DataFrame | None = None
+) -> DataFrame:
+    """Outcome of distinct ``(gold_key, pred_key, db_id, gold_sql, pred_sql)`` pairs.
+
+    References with a usable result in ``cache(key, db_id, sql, gold_result)`` are not run.
+    """
+    gold = pairs.select(F.col("gold_key").alias("key"), "db_id", F.col("gold_sql").alias("sql")).distinct()
+    pred = pairs.select(F.col("pred_key").alias("key"), "db_id", F.col("pred_sql").alias("sql")).distinct()
+    known = None
+    if cache is not None:
+        known = corpus.cached_outcomes(cache)
+        gold = gold.join(known.select("key"), "key", "left_anti")
     outcomes = C.run_candidates(box, gold.union(pred) if match else pred)
     found = outcomes.select(F.col("key").alias("pred_key"), "status", "error", "n_rows")
     if not match:
         return pairs.select("gold_key", "pred_key").join(found, "pred_key")
-    references = outcomes.select(
+    gold_outcomes, cached = outcomes, None
+    if known is not None:
+        gold_outcomes = outcomes.join(gold, "key", "left_semi").unionByName(known)
+        cached = corpus.cached_rows(cache)
+    references = gold_outcomes.select(
         F.col("key").alias("gold_key"), F.col("status").alias("gold_status"), F.col("n_rows").alias("gold_rows")
     )
     keyed = pairs.select("gold_key", "pred_key", X.is_ordered(F.col("gold_sql")).alias("ordered"))
-    matched = compare.match_pairs(box, keyed, outcomes)
+    matched = compare.match_pairs(box, keyed, gold_outcomes, outcomes, cached)
     return matched.join(found, "pred_key").join(references, "gold_key")
 
 
@@ -46,11 +59,21 @@ def score_completions(box: C.Sandbox, completions: DataFrame, match: bool = True
 
     One pass finds the distinct pairs of reference and predicted text, a second one joins their
     outcomes back. Execution work grows with the distinct texts, not with the completions.
-    ``match=False`` leaves the references and the comparison out.
+    ``match=False`` leaves the references and the comparison out. A ``gold_result`` column with a
+    cached JSON result spares the run of its reference; a missing or broken text does not.
     """
     keyed = with_keys(completions)
     pairs = kept(keyed.select("gold_key", "pred_key", "db_id", "gold_sql", "pred_sql").distinct(), "pairs")
-    results = execute_pairs(box, pairs, match)
+    cache = None
+    if match and "gold_result" in completions.columns:
+        usable = keyed.where(corpus.parsed_rows(F.col("gold_result")).isNotNull())
+        cache = kept(
+            usable.groupBy(F.col("gold_key").alias("key"), "db_id", F.col("gold_sql").alias("sql")).agg(
+                F.min("gold_result").alias("gold_result")
+            ),
+            "cache",
+        )
+    results = execute_pairs(box, pairs, match, cache)
     return keyed.join(results, ["gold_key", "pred_key"], "left").drop("gold_key", "pred_key")
 
 

@@ -336,6 +336,7 @@ ORACLES: dict[str, str] = {
         LEFT JOIN (SELECT ex, list_sort(list(a || '|' || b)) AS rows FROM gold_rows GROUP BY ex) g ON g.ex = o_orderkey
         LEFT JOIN (SELECT ex, list_sort(list(a || '|' || b)) AS rows FROM pred_rows GROUP BY ex) p ON p.ex = o_orderkey"""),
     "execution_accuracy": scored("SELECT cid, CAST(matched AS INT)::DOUBLE AS execution FROM expected"),
+    "execution_accuracy_cached": scored("SELECT cid, CAST(matched AS INT)::DOUBLE AS execution FROM expected"),
     "execution_success": scored("SELECT cid, CAST(status <> 'error' AS INT)::DOUBLE AS success FROM expected"),
     "reward_phase1": scored(f"SELECT cid, round({PHASE1}, 6) AS reward FROM expected"),
     "reward_phase2": scored(f"""

@@ -382,6 +382,18 @@ def execution_accuracy(spark, sf):
     return rows.select("cid", rewards.execution_score(rows).alias("execution"))
 
 
+@query
+def execution_accuracy_cached(spark, sf):
+    # Reference results come from the cache; those of every seventh shape are broken and run again.
+    box, rows = sandbox(spark, sf), fixture(spark, sf, "completions")
+    cache, _ = scoring.cache_gold_results(box, rows, inline_rows=500)
+    broken = F.when(F.col("prompt_id") % 100 % 7 == 0, "not json {{{").otherwise(F.col("gold_result"))
+    known = cache.select(F.col("sql").alias("gold_sql"), "gold_result")
+    cached = rows.join(known, "gold_sql", "left").withColumn("gold_result", broken)
+    found = scoring.score_completions(box, cached)
+    return found.select("cid", rewards.execution_score(found).alias("execution"))
+
+
 @query
 def execution_success(spark, sf):
     rows = scored(spark, sf, match=False)
