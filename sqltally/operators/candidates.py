@@ -75,8 +75,8 @@ class Sandbox:
     parallel_batches: int = 8
     wave_size: int = 2048
     # Rows per partition, and partitions, up to which a result is also hashed row by row.
-    small_rows: int = 256
-    small_parts: int = 256
+    small_rows: int = 2048
+    small_parts: int = 64
     _sessions: dict[str, SparkSession] = field(default_factory=dict)
     _lock: threading.Lock = field(default_factory=threading.Lock)
 
@@ -197,16 +197,17 @@ def _screen(box: Sandbox, plans: list[tuple[str, DataFrame]]) -> dict[str, tuple
         return frame.selectExpr(f"{i} AS i", "monotonically_increasing_id() AS pos", f"array({values}) AS r")
 
     rows = functools.reduce(DataFrame.union, [hashed(i, plan) for i, (_, plan) in enumerate(plans)])
-    # The sandbox session adds without overflow checks: the digest is a sum modulo 2**64.
+    mark = f"CASE WHEN {at} < {box.small_rows} AND {part} < {box.small_parts} THEN struct(pos, sha2(to_json(r), 256) AS s) END"
+    # Hashing inside the aggregates keeps it above the union: the code generated for it is the same in
+    # every batch, and only the candidates' own parts are compiled anew. The sandbox session adds
+    # without overflow checks, so the digest is a sum modulo 2**64.
     found = (
-        rows.selectExpr(
-            "i",
-            "xxhash64(r) AS h",
-            f"CASE WHEN {at} < {box.small_rows} AND {part} < {box.small_parts} "
-            "THEN struct(pos, sha2(to_json(r), 256) AS s) END AS mark",
+        rows.groupBy("i")
+        .agg(
+            F.expr("count(1) AS n"),
+            F.expr("sum(xxhash64(r)) AS digest"),
+            F.expr(f"sort_array(collect_list({mark})) AS marks"),
         )
-        .groupBy("i")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("digest"), F.sort_array(F.collect_list("mark")).alias("marks"))
         .selectExpr(
             "i",
             "n",
@@ -308,9 +309,9 @@ def run_candidates(box: Sandbox, texts: DataFrame) -> DataFrame:
     """Run each distinct text of ``texts(db_id, sql)`` once.
 
     Returns ``key, db_id, sql, status, error, n_rows, digest, bag, seq, plan`` with status ``ok``,
-    ``empty``, ``error`` or ``timeout``; ``plan`` is the key of the text that was run for it. Texts reach the driver in waves; results never do. Outcomes
-    of more than one wave are kept in the shared working folder, so a lost executor repeats no
-    candidate.
+    ``empty``, ``error`` or ``timeout``; ``plan`` is the key of the text that was run for it. Texts
+    reach the driver in waves; results never do. Outcomes are kept in the shared working folder, so
+    a lost executor repeats no candidate.
     """
     spark = box.spark
     schema = T.StructType(
@@ -318,16 +319,14 @@ def run_candidates(box: Sandbox, texts: DataFrame) -> DataFrame:
         + [T.StructField("db_id", T.StringType()), T.StructField("sql", T.StringType())]
         + OUTCOME.fields[1:]
     )
-    path = None
+    path = work_dir(spark, "outcomes")
+    written = False
     for wave in _waves(distinct_texts(texts).toLocalIterator(prefetchPartitions=True), box.wave_size):
         text_of = {row["key"]: (row["db_id"], row["sql"]) for row in wave}
         rows = [(o[0], *text_of[o[0]], *o[1:]) for o in _run_wave(box, wave)]
-        frame = spark.createDataFrame(rows, schema)
-        if path is None and len(wave) < box.wave_size:
-            return frame
-        path = path or work_dir(spark, "outcomes")
-        frame.coalesce(1).write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path) if path else spark.createDataFrame([], schema)
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        written = True
+    return spark.read.schema(schema).parquet(path) if written else spark.createDataFrame([], schema)
 
 
 ROWS = "key string, part bigint, at bigint, r array<string>, json string"

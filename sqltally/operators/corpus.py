@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as X
+from ..session import kept
 from . import candidates as C
 from .running import first_rows
 
@@ -66,7 +67,8 @@ def fewshot_demos(databases: DataFrame, train: DataFrame, k: int = 5) -> DataFra
     belong to others whichever database is excluded: that short list serves every target, and no
     target is paired with the whole pool.
     """
-    own = first_rows(train.select("db_id", "idx", "question", "gold_sql"), ["db_id"], [F.col("idx")], k)
+    first = first_rows(train.select("db_id", "idx", "question", "gold_sql"), ["db_id"], [F.col("idx")], k)
+    own = kept(first, "demos")
     entry = F.struct("idx", "db_id", "question", "gold_sql")
     own_lists = own.groupBy("db_id").agg(F.sort_array(F.collect_list(entry)).alias("own"))
     head = own.orderBy("idx").limit(2 * k).agg(F.sort_array(F.collect_list(entry)).alias("head")).scalar()

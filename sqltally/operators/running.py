@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 BLOCK = 1 << 16
 
+# Largest rank for which Spark pushes a limit per group below the shuffle.
+GROUP_LIMIT = 1000
+
 
 def _null_safe(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     condition = F.lit(True)
@@ -96,13 +99,14 @@ def first_rows(
 ) -> DataFrame:
     """First ``k`` rows per key, ranked from 1.
 
-    The first pass keeps ``k`` rows per key and salt, so a key holding much of the data is sorted
-    by many tasks; at most ``k * salts`` rows per key meet in the second pass.
+    For a small ``k`` the planner limits each group before the shuffle, so at most ``k`` rows per key
+    and task are moved. Beyond its limit a first pass does the same per key and salt: a key holding
+    much of the data is sorted by many tasks, and ``k * salts`` of its rows meet in the second pass.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c not in keys]), F.lit(salts)))
-    per_salt = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    kept = salted.withColumn("_rank", F.row_number().over(per_salt)).where(F.col("_rank") <= k)
+    kept = df
+    if k > GROUP_LIMIT:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+        per_salt = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        kept = salted.withColumn("_rank", F.row_number().over(per_salt)).where(F.col("_rank") <= k)
     per_key = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        kept.withColumn(name, F.row_number().over(per_key)).where(F.col(name) <= k).select(*df.columns, name)
-    )
+    return kept.withColumn(name, F.row_number().over(per_key)).where(F.col(name) <= k).select(*df.columns, name)

@@ -8,14 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import candidates as C
 from ..operators import compare, corpus
-from ..session import work_dir
-
-
-def kept(df: DataFrame, purpose: str) -> DataFrame:
-    """Write to the shared working folder and read back: later steps do not repeat the work."""
-    path = work_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..session import kept
 
 
 def with_keys(completions: DataFrame) -> DataFrame:
@@ -73,7 +66,7 @@ def score_completions(box: C.Sandbox, completions: DataFrame, match: bool = True
             ),
             "cache",
         )
-    results = execute_pairs(box, pairs, match, cache)
+    results = kept(execute_pairs(box, pairs, match, cache), "results")
     return keyed.join(results, ["gold_key", "pred_key"], "left").drop("gold_key", "pred_key")
 
 
