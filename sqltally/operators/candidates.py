@@ -78,6 +78,7 @@ class Sandbox:
     small_rows: int = 2048
     small_parts: int = 64
     _sessions: dict[str, SparkSession] = field(default_factory=dict)
+    _shared: list[str] = field(default_factory=list)
     _lock: threading.Lock = field(default_factory=threading.Lock)
 
     def session(self, db_id: str) -> SparkSession:
@@ -108,10 +109,18 @@ class Sandbox:
                 # A DataFrame belongs to its session; a global view carries it into this one.
                 shared = f"sandbox_{uuid.uuid4().hex}"
                 table.createGlobalTempView(shared)
+                self._shared.append(shared)
                 frame = session.table(f"global_temp.{shared}")
             frame.createOrReplaceTempView(name)
         return session
 
+    def close(self) -> None:
+        """Forget the sessions and drop the views that carried DataFrames into them."""
+        for name in self._shared:
+            self.spark.catalog.dropGlobalTempView(name)
+        self._shared.clear()
+        self._sessions.clear()
+
     def plan(self, db_id: str, sql: str) -> DataFrame:
         """Analyse one candidate as a read-only query. Raises on anything that is not one.
 

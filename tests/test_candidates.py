@@ -12,7 +12,9 @@ from sqltally.plans import scoring
 
 @pytest.fixture(scope="module")
 def box(spark, staff):
-    return C.Sandbox(spark, staff, time_limit=60.0)
+    box = C.Sandbox(spark, staff, time_limit=60.0)
+    yield box
+    box.close()
 
 
 def run(box, *texts):
@@ -219,3 +221,20 @@ def test_positions_follow_a_sort_over_many_partitions(spark, sf):
     expected = [r[0] for r in spark.read.parquet(f"{sf}/orders.parquet").orderBy("o_totalprice", "o_orderkey").collect()]
     assert [r["pos"] for r in placed] == list(range(len(expected)))
     assert [int(r["r"][0]) for r in placed] == expected
+
+
+def test_ordered_results_over_many_partitions(spark, sf):
+    """Large ordered results are proved row by row, equal and reversed."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").repartition(5)
+    box = C.Sandbox(spark, {"w": {"orders": orders}}, time_limit=60.0, small_rows=4)
+    gold = "SELECT o_orderkey FROM orders ORDER BY o_orderkey"
+    answers = {
+        "SELECT o_orderkey FROM orders WHERE o_orderkey >= 0 ORDER BY o_orderkey": True,
+        "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC": False,
+        "SELECT o_orderkey FROM orders WHERE o_orderkey > 0 ORDER BY o_orderkey": False,
+    }
+    rows = [(i, 0, "w", gold, text) for i, text in enumerate(answers)]
+    df = spark.createDataFrame(rows, "cid int, prompt_id int, db_id string, gold_sql string, text string")
+    found = {r["cid"]: r["matched"] for r in scoring.score_completions(box, df).collect()}
+    assert [found[i] for i in range(3)] == list(answers.values())
+    box.close()
