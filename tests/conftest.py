@@ -24,17 +24,17 @@ def sf():
 
 @pytest.fixture(scope="session")
 def staff(spark):
-    """A small database: heads, departments, who manages what."""
+    """A small database: people, teams, who leads which."""
     return {
         "staff": {
-            "head": spark.createDataFrame(
+            "person": spark.createDataFrame(
                 [(1, "Ann", 67.0, "Ohio"), (2, "Bob", 53.0, None), (3, "Cid", 69.0, "Iowa"), (4, "Dee", 52.0, "Ohio")],
-                "head_id int, name string, age double, born string",
+                "person_id int, name string, age double, born string",
             ),
-            "department": spark.createDataFrame(
+            "team": spark.createDataFrame(
                 [(1, "State", 9.96), (2, "Treasury", 11.1), (3, "Defense", 439.3)],
-                "department_id int, name string, budget double",
+                "team_id int, name string, budget double",
             ),
-            "management": spark.createDataFrame([(2, 4), (3, 1)], "department_id int, head_id int"),
+            "leads": spark.createDataFrame([(2, 4), (3, 1)], "team_id int, person_id int"),
         }
     }

@@ -33,40 +33,40 @@ def score(box, *pairs):
 def test_outcomes(box):
     found = run(
         box,
-        "SELECT count(*) FROM head",
-        "SELECT name FROM head WHERE age > 1000",
+        "SELECT count(*) FROM person",
+        "SELECT name FROM person WHERE age > 1000",
         "SELECT * FROM nonexistent",
-        "SELEKT * FROM head",
+        "SELEKT * FROM person",
         "  ",
-        "SELECT name FROM head -- trailing comment",
-        "WITH h AS (SELECT * FROM head) SELECT h.name, h.name FROM h",
+        "SELECT name FROM person -- trailing comment",
+        "WITH h AS (SELECT * FROM person) SELECT h.name, h.name FROM h",
     )
     assert {sql: (r["status"], r["n_rows"]) for sql, r in found.items()} == {
-        "SELECT count(*) FROM head": ("ok", 1),
-        "SELECT name FROM head WHERE age > 1000": ("empty", 0),
+        "SELECT count(*) FROM person": ("ok", 1),
+        "SELECT name FROM person WHERE age > 1000": ("empty", 0),
         "SELECT * FROM nonexistent": ("error", None),
-        "SELEKT * FROM head": ("error", None),
+        "SELEKT * FROM person": ("error", None),
         "  ": ("error", None),
-        "SELECT name FROM head -- trailing comment": ("ok", 4),
-        "WITH h AS (SELECT * FROM head) SELECT h.name, h.name FROM h": ("ok", 4),
+        "SELECT name FROM person -- trailing comment": ("ok", 4),
+        "WITH h AS (SELECT * FROM person) SELECT h.name, h.name FROM h": ("ok", 4),
     }
     assert found["  "]["error"] == "Empty SQL"
 
 
 def test_nothing_but_queries(box, tmp_path):
     hostile = [
-        "DROP VIEW head",
-        "DELETE FROM head",
-        "INSERT INTO head VALUES (9, 'x', 1.0, 'y')",
+        "DROP VIEW person",
+        "DELETE FROM person",
+        "INSERT INTO person VALUES (9, 'x', 1.0, 'y')",
         "CREATE TABLE t AS SELECT 1",
         "SET spark.sql.ansi.enabled=true",
         f"SELECT * FROM parquet.`{tmp_path}`",
         "SELECT reflect('java.lang.System', 'lineSeparator')",
         "SELECT `java_method` ('java.lang.System', 'lineSeparator')",
-        "SELECT 1) DROP VIEW head",
+        "SELECT 1) DROP VIEW person",
     ]
     assert {r["status"] for r in run(box, *hostile).values()} == {"error"}
-    assert run(box, "SELECT * FROM head")["SELECT * FROM head"]["n_rows"] == 4
+    assert run(box, "SELECT * FROM person")["SELECT * FROM person"]["n_rows"] == 4
 
 
 def test_unknown_database(box):
@@ -82,7 +82,7 @@ def test_caller_settings_stay(spark, box):
 
 
 def test_runtime_error_does_not_spoil_its_batch(box):
-    found = run(box, "SELECT raise_error(name) FROM head", "SELECT name FROM head", "SELECT age FROM head")
+    found = run(box, "SELECT raise_error(name) FROM person", "SELECT name FROM person", "SELECT age FROM person")
     assert [found[t]["status"] for t in sorted(found)] == ["ok", "ok", "error"]
 
 
@@ -99,7 +99,7 @@ def test_time_limit(spark, sf):
 
 
 def test_many_waves_equal_one(spark, staff, box):
-    texts = [f"SELECT name FROM head WHERE age > {n}" for n in range(45, 75, 3)] + ["SELECT x", ""]
+    texts = [f"SELECT name FROM person WHERE age > {n}" for n in range(45, 75, 3)] + ["SELECT x", ""]
     tiny = C.Sandbox(spark, staff, time_limit=60.0, batch_size=1, parallel_batches=2, wave_size=3)
 
     def shown(found):
@@ -109,27 +109,27 @@ def test_many_waves_equal_one(spark, staff, box):
 
 
 def test_same_meaning_runs_once(box):
-    found = run(box, "SELECT name FROM head", "select  NAME\nfrom head h", "SELECT born FROM head")
+    found = run(box, "SELECT name FROM person", "select  NAME\nfrom person h", "SELECT born FROM person")
     assert len({r["plan"] for r in found.values()}) == 2
 
 
 PAIRS = [
     # gold, prediction, match
-    ("SELECT name FROM head", "SELECT Name FROM head", True),
-    ("SELECT name FROM head", "SELECT name FROM head ORDER BY age", True),
-    ("SELECT name FROM head ORDER BY age", "SELECT name FROM head ORDER BY age DESC", False),
-    ("SELECT name FROM head ORDER BY age", "SELECT name FROM head WHERE age > 0 ORDER BY age", True),
-    ("SELECT name FROM head", "SELECT name FROM head UNION ALL SELECT name FROM head", False),
-    ("SELECT name, age FROM head", "SELECT age, name FROM head", False),
-    ("SELECT head_id FROM head", "SELECT cast(head_id AS double) FROM head", False),
-    ("SELECT age FROM head", "SELECT age + 0.0000001 FROM head", True),
-    ("SELECT name FROM head WHERE age > 99", "SELECT born FROM head WHERE age > 98", True),
-    ("SELECT name FROM head", "SELECT nope FROM head", False),
-    ("SELECT nope FROM head", "SELECT name FROM head", False),
+    ("SELECT name FROM person", "SELECT Name FROM person", True),
+    ("SELECT name FROM person", "SELECT name FROM person ORDER BY age", True),
+    ("SELECT name FROM person ORDER BY age", "SELECT name FROM person ORDER BY age DESC", False),
+    ("SELECT name FROM person ORDER BY age", "SELECT name FROM person WHERE age > 0 ORDER BY age", True),
+    ("SELECT name FROM person", "SELECT name FROM person UNION ALL SELECT name FROM person", False),
+    ("SELECT name, age FROM person", "SELECT age, name FROM person", False),
+    ("SELECT person_id FROM person", "SELECT cast(person_id AS double) FROM person", False),
+    ("SELECT age FROM person", "SELECT age + 0.0000001 FROM person", True),
+    ("SELECT name FROM person WHERE age > 99", "SELECT born FROM person WHERE age > 98", True),
+    ("SELECT name FROM person", "SELECT nope FROM person", False),
+    ("SELECT nope FROM person", "SELECT name FROM person", False),
     ("SELECT 'none'", "SELECT NULL", True),
-    ("SELECT name FROM head", "```sql\nSELECT upper(name) FROM head;\n```", True),
-    ("SELECT count(*) FROM head WHERE age > 56", "SELECT count(*) FROM head", False),
-    ("SELECT born, count(*) FROM head GROUP BY born", "SELECT born, sum(1) FROM head GROUP BY born", True),
+    ("SELECT name FROM person", "```sql\nSELECT upper(name) FROM person;\n```", True),
+    ("SELECT count(*) FROM person WHERE age > 60", "SELECT count(*) FROM person", False),
+    ("SELECT born, count(*) FROM person GROUP BY born", "SELECT born, sum(1) FROM person GROUP BY born", True),
 ]
 
 
@@ -145,17 +145,17 @@ def test_execution_match(spark, staff, small_rows):
 def test_cached_reference_results(spark, staff, small_rows):
     """Cached, missing, broken and JSON-null reference results score like live ones."""
     box = C.Sandbox(spark, staff, time_limit=60.0, small_rows=small_rows)
-    gold = "SELECT name, age FROM head WHERE age > 56 ORDER BY age"
+    gold = "SELECT name, age FROM person WHERE age > 60 ORDER BY age"
     kept = '[["Ann", 67.0], ["Cid", 69.0]]'
     rows = [
         (0, gold, kept, gold, True),
-        (1, gold, "not valid json {{{", "SELECT name, age FROM head WHERE age >= 60 ORDER BY age", True),
-        (2, gold, kept, "SELECT name, age FROM head WHERE age > 56 ORDER BY age DESC", False),
-        (3, "SELECT count(*) FROM head", None, "SELECT 2 + 2", True),
-        (4, "SELECT count(*) FROM department", "null", "SELECT 3", True),
+        (1, gold, "not valid json {{{", "SELECT name, age FROM person WHERE age >= 61 ORDER BY age", True),
+        (2, gold, kept, "SELECT name, age FROM person WHERE age > 60 ORDER BY age DESC", False),
+        (3, "SELECT count(*) FROM person", None, "SELECT 2 + 2", True),
+        (4, "SELECT count(*) FROM team", "null", "SELECT 3", True),
         # A kept result is believed, the text behind it is not run.
-        (5, "SELECT nope FROM head", "[[4]]", "SELECT count(*) FROM head", True),
-        (6, "SELECT 'x' FROM nowhere", "[]", "SELECT name FROM head WHERE false", True),
+        (5, "SELECT nope FROM person", "[[4]]", "SELECT count(*) FROM person", True),
+        (6, "SELECT 'x' FROM nowhere", "[]", "SELECT name FROM person WHERE false", True),
         (7, "SELECT 1, 2 FROM nowhere", '[["b"], ["a"]]', "SELECT explode(array('A', 'B'))", True),
     ]
     df = spark.createDataFrame(
@@ -167,9 +167,9 @@ def test_cached_reference_results(spark, staff, small_rows):
 
 
 def test_rewards(spark, box):
-    gold = "SELECT count(*) FROM head WHERE age > 56"
+    gold = "SELECT count(*) FROM person WHERE age > 60"
     rows = spark.createDataFrame(
-        [(0, 0, "staff", gold, gold), (1, 0, "staff", gold, "SELECT count(*) FROM head"), (2, 0, "staff", gold, "SELECT 1 FROM x")],
+        [(0, 0, "staff", gold, gold), (1, 0, "staff", gold, "SELECT count(*) FROM person"), (2, 0, "staff", gold, "SELECT 1 FROM x")],
         "cid int, prompt_id int, db_id string, gold_sql string, text string",
     )
     scored = scoring.score_completions(box, rows)

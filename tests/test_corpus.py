@@ -28,9 +28,9 @@ def test_drop_reasons(spark):
 def test_gold_cache(spark, staff):
     box = C.Sandbox(spark, staff, time_limit=60.0)
     texts = [
-        "SELECT name, age, born FROM head ORDER BY head_id",
-        "SELECT name FROM head WHERE age > 99",
-        "SELECT nope FROM head",
+        "SELECT name, age, born FROM person ORDER BY person_id",
+        "SELECT name FROM person WHERE age > 99",
+        "SELECT nope FROM person",
         "SELECT 'a\"b\\\\c', true, 2.50",
     ]
     examples = spark.createDataFrame([(i, "staff", t) for i, t in enumerate(texts)], "idx int, db_id string, gold_sql string")
@@ -71,10 +71,7 @@ def test_fewshot_against_plain_python(spark, seed):
     train = [(i, rng.choice(names), f"q{i}", f"s{i}") for i in range(40)]
     targets = sorted({t[1] for t in train}) + ["unseen"]
     k = 4
-    want = {}
-    for db in targets:
-        own = [t for t in train if t[1] == db][:k]
-        want[db] = [t[0] for t in own + [t for t in train if t[1] != db][: k - len(own)]]
+    want = {db: [t[0] for t in sorted(train, key=lambda t: (t[1] != db, t[0]))[:k]] for db in targets}
     rows = spark.createDataFrame(train, "idx bigint, db_id string, question string, gold_sql string").repartition(5)
     dbs = spark.createDataFrame([(d,) for d in targets], "db_id string")
     found = {r["db_id"]: [d["idx"] for d in r["demos"]] for r in corpus.fewshot_demos(dbs, rows, k).collect()}

@@ -100,37 +100,44 @@ CREATE TABLE d (w int)
 """
 
 
-def expected(script):
-    """Line by line, with a flag."""
-    kept, inside = [], False
-    for line in script.split("\n"):
-        inside = inside or line.strip().upper().startswith("CREATE TABLE")
-        if inside:
-            kept.append(line)
-            if ";" in line:
-                inside = False
-                kept.append("")
-    return "\n".join(kept).strip()
+SHOWN = """create table a (
+  x int -- first
+); trailing
+
+CREATE TABLE b (y int);
+
+CREATE TABLE c (
+  z int
+CREATE TABLE d (w int)
+"""
+# Repeated, the unfinished last statement runs on to the next semicolon.
+SHOWN_TWICE = (
+    SHOWN
+    + """PRAGMA foreign_keys = ON;
+
+  """
+    + SHOWN
+)
 
 
 def test_schema_script(spark, tmp_path):
     for name in ("one", "two"):
         (tmp_path / name).mkdir()
-        (tmp_path / name / "schema.sql").write_text(SCRIPT * (1 if name == "one" else 3))
+        (tmp_path / name / "schema.sql").write_text(SCRIPT * (1 if name == "one" else 2))
     lines = schemas.read_script_lines(spark, str(tmp_path))
     found = {r["db_id"]: r["schema_text"] for r in schemas.parse_schema_script(lines).collect()}
-    assert found == {"one": expected(SCRIPT), "two": expected(SCRIPT * 3)}
+    assert found == {"one": SHOWN.strip(), "two": SHOWN_TWICE.strip()}
     # The state is carried over block borders.
     kept = schemas.statement_lines(lines, block=2)
     assert kept.count() == schemas.statement_lines(lines).count()
     listed = spark.createDataFrame([("one", 0, "CREATE TABLE q (a int)")], "db_id string, ord int, ddl string")
     both = {r["db_id"]: r["schema_text"] for r in schemas.schema_text_or_script(listed, lines).collect()}
-    assert both == {"one": "CREATE TABLE q (a int)", "two": expected(SCRIPT * 3)}
+    assert both == {"one": "CREATE TABLE q (a int)", "two": SHOWN_TWICE.strip()}
 
 
 def test_statements_of_tables_and_columns(spark, staff):
     found = schemas.schema_text(schemas.statements_of_tables(spark, staff)).first()["schema_text"]
-    assert found.startswith("CREATE TABLE head (head_id int, name string, age double, born string)\n\nCREATE TABLE department")
+    assert found.startswith("CREATE TABLE person (person_id int, name string, age double, born string)\n\nCREATE TABLE team")
     columns = spark.createDataFrame(
         [("d", "t", 0, 1, "b", "text"), ("d", "t", 0, 0, "a", "int"), ("d", "s", 1, 0, "c", "int")],
         "db_id string, tbl string, tbl_ord int, ord int, col string, type string",

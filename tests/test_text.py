@@ -21,7 +21,7 @@ def one(spark, value, expression, kind="string"):
         ("prose ```SQL   SELECT 1``` more ```sql\nSELECT 2```", "SELECT 1"),
         ("SELECT 1; some explanation after", "SELECT 1"),
         ("SELECT ';' FROM t", "SELECT '"),
-        ("Here is the query:\nSELECT name FROM head", "Here is the query:\nSELECT name FROM head"),
+        ("Here is the query:\nSELECT name FROM person", "Here is the query:\nSELECT name FROM person"),
         ("```sql\nSELECT 1", "```sql\nSELECT 1"),
         # A sql marker that never closes: the generic fence is not tried.
         ("```sql SELECT 1 `` ", "```sql SELECT 1 ``"),
@@ -38,8 +38,8 @@ def test_extract_sql(spark, text, sql):
 @pytest.mark.parametrize(
     "text, score",
     [
-        ("SELECT count(*) FROM head WHERE age > 56", 1.0),
-        ("SELECT T1.name FROM head AS T1 JOIN management AS T2 ON T1.head_ID = T2.head_ID", 1.0),
+        ("SELECT count(*) FROM person WHERE age > 60", 1.0),
+        ("SELECT T1.name FROM person AS T1 JOIN leads AS T2 ON T1.person_ID = T2.person_ID", 1.0),
         ("hello world not sql", 0.0),
         ("DROP TABLE x", 0.0),
         ("i selected one", 1.0),
@@ -54,9 +54,9 @@ def test_syntax_valid(spark, text, score):
 @pytest.mark.parametrize(
     "text, score",
     [
-        ("SELECT count(*) FROM head", 1.0),
+        ("SELECT count(*) FROM person", 1.0),
         ("  select 1", 1.0),
-        ("Here is the SQL: SELECT count(*) FROM head", 0.0),
+        ("Here is the SQL: SELECT count(*) FROM person", 0.0),
         ("```sql\nSELECT 1\n```", 0.0),
         ("WITH x AS (SELECT 1) SELECT * FROM x", 0.0),
         ("i think", 0.0),
@@ -86,9 +86,9 @@ def test_identifier_set(spark):
     def names(sql):
         return set(one(spark, sql, X.identifier_set))
 
-    assert names("SELECT count(*) FROM head WHERE age > 56") == {"count", "head", "age"}
-    assert names("SELECT T1.name FROM head AS T1 JOIN m AS T2 ON T1.head_ID = T2.head_ID") == {
-        "t1", "t2", "name", "head", "m", "head_id",
+    assert names("SELECT count(*) FROM person WHERE age > 60") == {"count", "person", "age"}
+    assert names("SELECT T1.name FROM person AS T1 JOIN m AS T2 ON T1.person_ID = T2.person_ID") == {
+        "t1", "t2", "name", "person", "m", "person_id",
     }
     assert names("SELECT a FROM t WHERE b = 'it''s c' -- d\n AND \"e\" = 1 /* f\n g */") == {"a", "t", "b"}
     assert names("") == set()
@@ -99,10 +99,10 @@ def test_schema_f1(spark):
         rows = spark.createDataFrame([(pred, gold)], "p string, g string")
         return rows.select(X.schema_f1(F.col("p"), F.col("g")).alias("v")).first()["v"]
 
-    gold = "SELECT name FROM head WHERE age > 56"
+    gold = "SELECT name FROM person WHERE age > 60"
     assert f1(gold, gold) == 1.0
-    assert 0.0 < f1("SELECT name FROM head", gold) < 1.0
-    assert f1("SELECT budget FROM department", gold) == 0.0
+    assert 0.0 < f1("SELECT name FROM person", gold) < 1.0
+    assert f1("SELECT cost FROM budget_line", gold) == 0.0
     assert f1("", "") == 1.0
     assert f1("", gold) == 0.0
 
