@@ -103,20 +103,17 @@ def format_compliance(text: Column, sql: Column | None = None) -> Column:
     return bare.cast("double")
 
 
-def words(names: list[str]) -> Column:
-    return F.array(*[F.lit(n) for n in names])
-
-
 def identifier_set(sql: Column) -> Column:
     """Distinct lowercase identifiers of a SQL text, keywords left out, function names kept."""
     bare = F.lower(F.regexp_replace(F.coalesce(sql, F.lit("")), QUOTED_OR_COMMENT, " "))
-    found = F.regexp_extract_all(bare, F.lit(IDENTIFIER), F.lit(0))
-    return F.array_except(found, words(KEYWORDS))
+    found = F.array_distinct(F.regexp_extract_all(bare, F.lit(IDENTIFIER), F.lit(0)))
+    # A set lookup per word; an array of keywords would be hashed again for every row.
+    return F.filter(found, lambda word: ~word.isin(KEYWORDS))
 
 
 def schema_names(identifiers: Column) -> Column:
     """Identifiers without aggregate function names: tables, columns and aliases."""
-    return F.array_except(identifiers, words(fixed.AGGREGATE_NAMES))
+    return F.filter(identifiers, lambda word: ~word.isin(fixed.AGGREGATE_NAMES))
 
 
 def set_f1(pred: Column, gold: Column) -> Column:

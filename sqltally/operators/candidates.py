@@ -17,11 +17,13 @@ import threading
 import uuid
 from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from itertools import islice
 
 from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
+from pyspark.logger import PySparkLogger
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -181,6 +183,17 @@ def within(spark: SparkSession, seconds: float | None, action: Callable[[], obje
     return result
 
 
+@contextmanager
+def _no_analysis_log():
+    """Rejected texts are results here: keep their stack traces out of the log while they are found."""
+    log, drop = PySparkLogger.getLogger("SQLQueryContextLogger"), lambda record: False
+    log.addFilter(drop)
+    try:
+        yield
+    finally:
+        log.removeFilter(drop)
+
+
 def _waves(rows: Iterator, size: int):
     while wave := list(islice(rows, size)):
         yield wave
@@ -268,7 +281,9 @@ def _run_wave(box: Sandbox, wave: list) -> list[tuple]:
 
     outcomes: dict[str, tuple] = {}
     by_db: dict[str, list] = {}
-    for row, found, error in _spread(box.spark, box.parallel_batches, analyse, wave):
+    with _no_analysis_log():
+        analysed_rows = _spread(box.spark, box.parallel_batches, analyse, wave)
+    for row, found, error in analysed_rows:
         if found is None:
             outcomes[row["key"]] = _failed("error", error)
         else:
