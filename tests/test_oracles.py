@@ -7,10 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
-from workloads import queries
+from workloads import oracles, queries
 from workloads.fixtures import TABLES
 
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = queries.QUERIES, oracles.ORACLES
 
 
 @pytest.fixture(scope="module")
