@@ -1,5 +1,35 @@
 """Plain SQL for the queries of this subpackage, where SQL can say them."""
 
+OP1 = r"""
+WITH cut AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents
+), lines AS (
+  SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM cut
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS n
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), windows AS (
+  SELECT doc_id, n, [line, lead(line) OVER d, lead(line, 2) OVER d] AS w, lead(n, 2) OVER d AS last
+  FROM numbered WINDOW d AS (PARTITION BY doc_id ORDER BY n)
+), later AS (
+  SELECT doc_id, n FROM windows WHERE last IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, n) > 1
+), covered AS (
+  SELECT DISTINCT doc_id, unnest([n, n + 1, n + 2]) AS n FROM later
+), marked AS (
+  SELECT l.doc_id, l.line, l.place, x.n IS NOT NULL AS has_word, c.n IS NOT NULL AS gone
+  FROM lines l LEFT JOIN numbered x ON l.doc_id = x.doc_id AND l.place = x.place
+  LEFT JOIN covered c ON c.doc_id = x.doc_id AND c.n = x.n
+), kept AS (
+  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '') AS text,
+    count(*) FILTER (has_word) AS n_lines, count(*) FILTER (gone) AS n_removed
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE k.text END AS text,
+  coalesce(k.n_lines, 0)::BIGINT AS n_lines, coalesce(k.n_removed, 0)::BIGINT AS n_removed
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
 OP8 = """
 SELECT doc_id,
   max(doc_id) OVER g AS keep_id,
@@ -46,4 +76,4 @@ SELECT doc_id, size, source_size, target,
 FROM sums
 """
 
-ORACLES = {"op8_exact_dedup": OP8, "op10_source_mixing": OP10}
+ORACLES = {"op1_line_dedup": OP1, "op8_exact_dedup": OP8, "op10_source_mixing": OP10}
