@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -24,6 +25,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per session, for Python functions that run there.
+
+    Needless where it is installed or submitted with the job, and harmless there.
+    """
+    context = spark.sparkContext
+    if not getattr(context, "_sqltally_shipped", False):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        name = os.path.join(tempfile.mkdtemp(prefix="sqltally-"), "sqltally")
+        context.addPyFile(shutil.make_archive(name, "zip", root, "sqltally"))
+        context._sqltally_shipped = True
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder path under the cluster's shared ``spark.checkpoint.dir``.
 
