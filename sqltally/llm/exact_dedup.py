@@ -90,11 +90,7 @@ def content_groups(docs: DataFrame, mark_of: Callable[[Column], Column] = md5_by
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, all their columns."""
-    stay = kept(
-        content_groups(docs).where("kept").select("doc_id", "text_sha256").distinct()
-        .select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")),
-        "exact-stay",
-    )
-    marked = docs.withColumn("_mark", F.sha2(body(F.col("text")), 256))
-    same = marked["doc_id"].eqNullSafe(stay["_id"]) & (marked["_mark"] == stay["_sha"])
-    return marked.join(stay, same, "left_semi").dropDuplicates(["doc_id", "_mark"]).drop("_mark")
+    stay = kept(content_groups(docs).where("kept").select("doc_id", "text_sha256").distinct(), "exact-stay")
+    marked = docs.select(F.struct("*").alias("row"), "doc_id", F.sha2(body(F.col("text")), 256).alias("text_sha256"))
+    same = marked["doc_id"].eqNullSafe(stay["doc_id"]) & (marked["text_sha256"] == stay["text_sha256"])
+    return marked.join(stay, same, "left_semi").dropDuplicates(["doc_id", "text_sha256"]).select("row.*")

@@ -61,20 +61,20 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents with later places removed from ``text``; the columns ``n_lines`` and ``n_removed`` follow."""
-    marks = kept(repeated(docs).select(F.col("doc_id").alias("_id"), F.col("covered").alias("_covered")), "line-covered")
-    joined = docs.join(marks, docs["doc_id"].eqNullSafe(marks["_id"]), "left")
-    places = F.transform(_lines(F.col("text")), lambda x: x["at"])
+    marks = kept(repeated(docs), "line-covered")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
+    joined = rows.join(marks, rows["doc_id"].eqNullSafe(marks["doc_id"]), "left").select("row", "text", "covered")
     # Places among lines with words become numbers among all lines, then those lines go.
-    gone = F.transform(F.filter("_covered", lambda n: n < F.size("_places")), lambda n: F.get("_places", n))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
-    left = F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n")
-    return (
-        joined.withColumn("_places", places)
-        .withColumn("_gone", F.when(F.col("_covered").isNotNull(), gone))
-        .withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split(F.col("text"), "\n")))
-        .select(
-            *[(F.when(F.col("_gone").isNull(), docs["text"]).otherwise(left).alias("text") if c == "text" else docs[c]) for c in docs.columns],
-            F.size("_places").cast("bigint").alias("n_lines"),
-            F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_removed"),
-        )
+    found = joined.withColumn("places", F.transform(_lines(F.col("text")), lambda x: x["at"]))
+    gone = F.transform(F.filter("covered", lambda n: n < F.size("places")), lambda n: F.get("places", n))
+    cut = found.withColumn("gone", F.when(F.col("covered").isNotNull(), gone)).withColumn(
+        "lines", F.when(F.col("gone").isNotNull(), F.split("text", "\n"))
+    )
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    left = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
+    return cut.select(
+        *[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns],
+        F.size("places").cast("bigint").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"),
     )

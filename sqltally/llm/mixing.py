@@ -130,10 +130,9 @@ def shares(docs: DataFrame, **how) -> DataFrame:
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each document as often as it is taken, with its columns."""
     _, cuts = plan(docs, **how)
-    rows = docs.withColumns({"_key": source_key(F.col("source")), "_hash": hash_of(F.col("doc_id"))})
+    rows = docs.select(F.struct("*").alias("row"), source_key(F.col("source")).alias("_key"), hash_of(F.col("doc_id")).alias("_hash"))
     return (
-        rows.join(cuts.drop("source_size", "target"), "_key")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(_times(), F.lit(1)).cast("int"))))
-        .where(_times() > 0)
-        .select(docs.columns)
+        rows.join(cuts, "_key").withColumn("_times", _times()).where("_times > 0")
+        .select("row", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+        .select("row.*")
     )
