@@ -63,7 +63,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents with later places removed from ``text``; the columns ``n_lines`` and ``n_removed`` follow."""
     marks = kept(repeated(docs), "line-covered")
     rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
-    joined = rows.join(marks, rows["doc_id"].eqNullSafe(marks["doc_id"]), "left").select("row", "text", "covered")
+    joined = rows.join(marks.hint("merge"), rows["doc_id"].eqNullSafe(marks["doc_id"]), "left").select("row", "text", "covered")
     # Places among lines with words become numbers among all lines, then those lines go.
     found = joined.withColumn("places", F.transform(_lines(F.col("text")), lambda x: x["at"]))
     gone = F.transform(F.filter("covered", lambda n: n < F.size("places")), lambda n: F.get("places", n))
