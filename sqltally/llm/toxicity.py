@@ -1,10 +1,11 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are a text's distinct words and, for longer words, their first letters; they are hashed on the JVM side.
-Counts of every term over all learning rows choose the terms that tell the labels apart. The machine learns linear
-weights and pairwise interactions of those terms by stochastic gradients, on a bounded sample of ``fit_rows`` learning
-rows (a documented bound; all other statistics cover all rows). Equal texts count once in learning, so copies of one
-document do not make its chance words look toxic. Scores are the logistic of the machine's output.
+The machine is fitted on a bounded sample of labelled learning rows: ``fit_rows`` of them are expected, drawn by a hash of the
+id, so their ids and labels are small enough to broadcast and no text is shuffled. Counts of every term over the sample
+choose the terms that tell the labels apart; linear weights and pairwise interactions of those terms follow by stochastic
+gradients. Equal texts count once in learning, so copies of one document do not make its chance words look toxic.
+Scores are the logistic of the machine's output.
 
 Defined cases: a null text is empty; a text without known terms scores the model's bias; a null id is not held out and
 never learns; of several labels of an id the highest counts, null labels and labels of unknown ids are ignored; without
@@ -94,16 +95,16 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, size: int, seed: int = 7) ->
     return bias, linear, pairs
 
 
-def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 15_000) -> Machine:
+def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 30_000) -> Machine:
     """The machine from the rows of ``labels`` that may be learned from."""
     empty = Machine(-30.0, np.full(BUCKETS, -1), np.zeros(1), np.zeros((1, FACTORS)))
-    known = (
-        labels.where(F.col("toxic").isNotNull() & learns(F.col("doc_id")))
-        .groupBy("doc_id").agg((F.max("toxic") == 1).cast("int").alias("label"))
-    )
-    texts = docs.where(learns(F.col("doc_id"))).select("doc_id", body(F.col("text")).alias("text"))
+    usable = labels.where(F.col("toxic").isNotNull() & learns(F.col("doc_id")))
+    steps, there = 1 << 30, usable.count()
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < int(min(1.0, fit_rows / max(1, there)) * steps)
+    known = usable.where(drawn).groupBy("doc_id").agg((F.max("toxic") == 1).cast("int").alias("label"))
+    texts = docs.select("doc_id", body(F.col("text")).alias("text"))
     rows = kept(
-        texts.join(known, "doc_id").select(F.md5("text").alias("mark"), "label", terms(F.col("text")).alias("terms"))
+        texts.join(F.broadcast(known), "doc_id").select(F.md5("text").alias("mark"), "label", terms(F.col("text")).alias("terms"))
         .groupBy("mark").agg(F.max("label").alias("label"), F.first("terms").alias("terms")),
         "toxicity-rows",
     )
@@ -124,7 +125,6 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 15_000) -> Machine
     places = [r["term"] for r in chosen.orderBy(F.desc("sure"), "term").limit(KNOWN).collect()]
     place = np.full(BUCKETS, -1)
     place[places] = np.arange(len(places))
-    sampled = F.pmod(F.xxhash64("mark"), F.lit(1 << 30)) < int(min(1.0, fit_rows / total["n"]) * (1 << 30))
 
     @F.pandas_udf("array<int>")
     def known_terms(found: pd.Series) -> pd.Series:
@@ -136,7 +136,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 15_000) -> Machine
         bias, linear, pairs = fit(inside, frame["label"].to_numpy(float), max(1, len(places)))
         yield pd.DataFrame({"bias": [bias], "linear": [linear.tobytes()], "pairs": [pairs.tobytes()]})
 
-    sample = rows.where(sampled).select("mark", "label", known_terms("terms").alias("terms")).repartition(1)
+    sample = rows.select("mark", "label", known_terms("terms").alias("terms")).repartition(1)
     model = sample.mapInPandas(train, "bias double, linear binary, pairs binary").first()
     return Machine(model["bias"], place, np.frombuffer(model["linear"]), np.frombuffer(model["pairs"]).reshape(-1, FACTORS))
 
@@ -156,7 +156,7 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
     return slim.mapInArrow(run, schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 15_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 30_000) -> DataFrame:
     """Per row ``doc_id, held_out, score, predicted``."""
     found = scored(docs, learn(docs, labels, fit_rows))
     return found.select(
@@ -164,7 +164,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 15_000) -> Data
     )
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = 15_000) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = 30_000) -> DataFrame:
     """The documents below the threshold, all their columns."""
     machine = learn(docs, labels, fit_rows)
 
