@@ -9,8 +9,7 @@ Scores are the logistic of the machine's output.
 
 Defined cases: a null text is empty; a text without known terms scores the model's bias; a null id is not held out and
 never learns; of several labels of an id the highest counts, null labels and labels of unknown ids are ignored; without
-labels of both kinds every score is the share of positive labels (0 without any); repeated rows each get their
-answer; an empty table gives an empty answer; other columns are ignored, whatever their names.
+labels of both kinds nothing is learned and every score is 0; repeated rows each get their answer; an empty table gives an empty answer; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -62,7 +61,7 @@ class Machine:
         for factor in self.pairs.T:
             own = factor[at]
             out += 0.5 * (np.bincount(row, own, n) ** 2 - np.bincount(row, own * own, n))
-        return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+        return np.where(np.isneginf(out), 0.0, 1 / (1 + np.exp(-np.clip(out, -30, 30))))
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, size: int, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
@@ -97,7 +96,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, size: int, seed: int = 7) ->
 
 def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 30_000) -> Machine:
     """The machine from the rows of ``labels`` that may be learned from."""
-    empty = Machine(-30.0, np.full(BUCKETS, -1), np.zeros(1), np.zeros((1, FACTORS)))
+    empty = Machine(-np.inf, np.full(BUCKETS, -1), np.zeros(1), np.zeros((1, FACTORS)))
     usable = labels.where(F.col("toxic").isNotNull() & learns(F.col("doc_id")))
     steps, there = 1 << 30, usable.count()
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < int(min(1.0, fit_rows / max(1, there)) * steps)
@@ -109,11 +108,8 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 30_000) -> Machine
         "toxicity-rows",
     )
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("p")).first()
-    if not total["n"]:
-        return empty
     if total["p"] in (0, total["n"]):
-        share = 1e-6 if not total["p"] else 1 - 1e-6
-        return Machine(float(np.log(share / (1 - share))), empty.place, empty.linear, empty.pairs)
+        return empty
     counts = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(
         F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n")
     )
