@@ -22,7 +22,8 @@ ANY_FENCE = r"(?s)```[ \t\n\r\f\x0B]*(.*?)```"
 ORDER_BY = r"(?i)\bORDER\s+BY\b"
 # String literals, quoted names and comments carry no bare identifiers.
 QUOTED_OR_COMMENT = r"'[^']*'|\"[^\"]*\"|--[^\n]*|(?s:/\*.*?\*/)"
-IDENTIFIER = r"[a-z_][a-z0-9_]*"
+# The boundary keeps the exponent of a number such as 1e5 from counting as a name.
+IDENTIFIER = r"\b[a-z_][a-z0-9_]*"
 
 KEYWORDS = [w for w in fixed.SQL_STOP_WORDS if w not in fixed.AGGREGATE_NAMES]
 
@@ -148,10 +149,15 @@ def normalise_sql(name: str, data_type: T.DataType) -> str:
     """SQL expression for the text under which the values of column ``name`` are compared.
 
     Fractions are rounded to six places; decimals count as fractions and booleans as 0/1,
-    the only two forms the scored dialect has for them.
+    the only two forms the scored dialect has for them. A decimal with more digits than a double
+    holds keeps all of them.
     """
-    if isinstance(data_type, (T.DoubleType, T.FloatType, T.DecimalType)):
-        text = f"lower(cast(round(cast({name} as double), 6) as string))"
+    fraction = f"lower(cast(round(cast({name} as double), 6) as string))"
+    if isinstance(data_type, T.DecimalType):
+        back = f"try_cast(cast({name} as double) as {data_type.simpleString()})"
+        text = f"CASE WHEN {back} <=> {name} THEN {fraction} ELSE cast(round({name}, 6) as string) END"
+    elif isinstance(data_type, (T.DoubleType, T.FloatType)):
+        text = fraction
     elif isinstance(data_type, T.BooleanType):
         text = f"cast(cast({name} as int) as string)"
     else:
@@ -233,6 +239,8 @@ def difficulty(sql_json: Column) -> Column:
         return named.otherwise(fixed.TOP_TIER)
 
     # Counting the parts of a missing struct gives zeros, so its score is set to NULL first.
-    present_json = F.when(strip(sql_json) != "null", sql_json)
+    # Text that is no JSON object has no parts to count either.
+    is_object = F.startswith(F.schema_of_variant(F.try_parse_json(sql_json)), F.lit("OBJECT"))
+    present_json = F.when(is_object, sql_json)
     scored = let(F.from_json(present_json, SQL_STRUCT), lambda p: F.when(p.isNotNull(), score(p)))
     return let(scored, tier)

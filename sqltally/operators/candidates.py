@@ -57,8 +57,8 @@ class TimeLimitExceeded(Exception):
 
 
 def text_key(db_id: Column, sql: Column) -> Column:
-    """Key of a SQL text in its database."""
-    return F.sha2(F.concat_ws("\n", db_id, sql), 256)
+    """Key of a SQL text in its database; a missing text is an empty one."""
+    return F.sha2(F.concat(F.coalesce(db_id, F.lit("")), F.lit("\n"), F.coalesce(sql, F.lit(""))), 256)
 
 
 @dataclass
@@ -431,5 +431,5 @@ def dense_positions(rows: DataFrame) -> DataFrame:
 
 def outcome_table(candidates: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Status of each candidate of ``candidates(cid, db_id, sql)``."""
-    keyed = candidates.withColumn("key", text_key(F.col("db_id"), F.coalesce("sql", F.lit(""))))
+    keyed = candidates.withColumn("key", text_key(F.col("db_id"), F.col("sql")))
     return keyed.join(outcomes.select("key", "status", "error", "n_rows", "digest"), "key", "left")

@@ -108,8 +108,9 @@ def fewshot_prompt(examples: DataFrame, schemas: DataFrame, train: DataFrame, k:
 
 
 def drop_reason(remove_empty: bool = True) -> Column:
-    """Why a row is dropped, NULL when it stays."""
-    reason = F.when(F.contains("error", F.lit(fixed.TIMEOUT)), "timeout").when(F.col("error").isNotNull(), "error")
+    """Why a row is dropped, NULL when it stays. A row without an outcome was not shown to run."""
+    failed = F.col("error").isNotNull() | F.col("status").isNull()
+    reason = F.when(F.contains("error", F.lit(fixed.TIMEOUT)), "timeout").when(failed, "error")
     return reason.when(F.col("n_rows") == 0, "empty_result") if remove_empty else reason
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as X
 from .corpus import question_key
-from .running import running
+from .running import carried, running
+
 
 def is_correct() -> Column:
     """A missing verdict counts as wrong."""
@@ -44,7 +45,8 @@ def eval_summary(predictions: DataFrame, by: list[str]) -> DataFrame:
 
     Rows are counted per tier once; totals add up those few counts.
     """
-    tiers = predictions.groupBy(*by, "difficulty").agg(*counts())
+    known = predictions.withColumn("difficulty", F.coalesce("difficulty", F.lit(fixed.UNKNOWN_TIER)))
+    tiers = known.groupBy(*by, "difficulty").agg(*counts())
     entry = F.struct("difficulty", (F.col("correct") / F.col("total")).alias("ex"))
     return (
         tiers.groupBy(*by)
@@ -116,9 +118,10 @@ def threshold_gate(predictions: DataFrame, by: list[str], gate: float = fixed.GA
 def converged(points: DataFrame, run: str, step: str, gain: float = fixed.CONVERGENCE_GAIN) -> DataFrame:
     """Per run and step: were this gain and the one before it both below ``gain``?
 
-    ``points(run, step, ex)`` has one row per optimiser iteration, an aggregate of the data.
+    ``points(run, step, ex)`` has one row per optimiser iteration; ``step`` is a whole number. The two points before each are carried over
+    block by block, so a long run is no single task.
     """
-    order = Window.partitionBy(run).orderBy(step)
-    last, before = F.lag("ex", 1).over(order), F.lag("ex", 2).over(order)
-    small = (F.col("ex") - last < gain) & (last - before < gain)
-    return points.withColumn("converged", F.coalesce(small, F.lit(False)))
+    before = carried(points, [run], step, "ex", "_last")
+    before = carried(before, [run], step, "_last", "_before_last")
+    small = (F.col("ex") - F.col("_last") < gain) & (F.col("_last") - F.col("_before_last") < gain)
+    return before.withColumn("converged", F.coalesce(small, F.lit(False))).drop("_last", "_before_last")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as X
+from .running import first_rows
 
 
 def failures_only(predictions: DataFrame) -> DataFrame:
@@ -108,31 +109,35 @@ def ordered_categories(counted: DataFrame) -> DataFrame:
 
 
 def top_failures(failures: DataFrame, categories: int = 3, rows: int = 2, chars: int = 80) -> DataFrame:
-    """First rows of the largest categories, texts cut for display.
+    """First rows of the largest categories, texts cut for display; the question too where there is one.
 
-    The two first-rows filters are pushed below the shuffle as group limits, so at most ``rows`` rows
-    per category leave a task.
+    Per category at most ``rows`` rows leave a task.
     """
-    classified = failures.select("cid", "gold_sql", "pred_sql", failure_class().alias("category"))
+    question = F.left("question", F.lit(chars)) if "question" in failures.columns else F.lit(None).cast("string")
+    classified = failures.select("cid", question.alias("question"), "gold_sql", "pred_sql", failure_class().alias("category"))
     largest = (
         ordered_categories(category_counts(classified, fixed.FAILURE_CATEGORIES).where("n > 0"))
         .limit(categories)
         .select("category", "n", "ord")
     )
-    place = Window.partitionBy("category").orderBy("cid")
-    firsts = classified.withColumn("rk", F.row_number().over(place)).where(F.col("rk") <= rows)
+    firsts = first_rows(classified, ["category"], [F.col("cid")], rows)
     return firsts.join(largest, "category").select(
         "category",
         "n",
         "rk",
         "cid",
+        "question",
         F.left("gold_sql", F.lit(chars)).alias("gold_sql"),
         F.left("pred_sql", F.lit(chars)).alias("pred_sql"),
     )
 
 
 def category_by_method(failures: DataFrame, baseline: str) -> DataFrame:
-    """Failures per category and method, and the reduction against the baseline method."""
-    counted = failures.groupBy("method", failure_class().alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    """Failures per category and method, 0 included, and the reduction against the baseline method."""
+    found = failures.groupBy("method", failure_class().alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    # Methods times categories: both are dimensions of a few entries.
+    names = F.explode(F.array(*[F.lit(c) for c in fixed.FAILURE_CATEGORIES])).alias("category")
+    grid = found.select("method").distinct().select("method", names)
+    counted = grid.join(found, ["method", "category"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
     base = F.max(F.when(F.col("method") == baseline, F.col("n"))).over(Window.partitionBy("category"))
     return counted.withColumn("reduction", F.coalesce(base, F.lit(0)) - F.col("n"))

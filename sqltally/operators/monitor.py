@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from .running import carried
 
 
 def reward_by_step(log: DataFrame, every: int = fixed.LOGGING_STEPS) -> DataFrame:
@@ -25,8 +26,8 @@ def reward_saturation(
 ) -> DataFrame:
     """Flag logged steps where ``watched`` is saturated while ``goal`` did not improve.
 
-    The previous step is found by an equality join on its number: a window over a whole run would
-    put that run in one task.
+    The previous goal is the last one logged before the step, however many steps lie between. It is carried over block by
+    block: a window over a whole run would put that run in one task.
     """
     means = (
         log.where(F.col("component").isin(watched, goal))
@@ -36,6 +37,6 @@ def reward_saturation(
             F.avg(F.when(F.col("component") == goal, F.col("value"))).alias("goal_mean"),
         )
     )
-    previous = means.select("run", (F.col("logged") + 1).alias("logged"), F.col("goal_mean").alias("previous_goal"))
     saturated = (F.col("watched_mean") >= threshold) & (F.col("goal_mean") <= F.col("previous_goal"))
-    return means.join(previous, ["run", "logged"], "left").withColumn("flagged", F.coalesce(saturated, F.lit(False)))
+    previous = carried(means, ["run"], "logged", "goal_mean", "previous_goal")
+    return previous.withColumn("flagged", F.coalesce(saturated, F.lit(False)))

@@ -65,11 +65,14 @@ def reward_phase2(scored: DataFrame) -> DataFrame:
 def reward_weighted_long(values: DataFrame, weights: Mapping[str, float], by: str = "cid") -> DataFrame:
     """Weighted sum of any components held as rows ``(by, component, value)``.
 
-    The weights are a literal map: no join. Sums are partial before the one shuffle.
+    The weights are a literal map: no join. Sums are partial before the one shuffle. ``unweighted`` counts the rows
+    whose component has no weight; they add nothing to the sum.
     """
     pairs = [F.lit(x) for item in weights.items() for x in item]
-    weight = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("component")), F.lit(0.0))
-    return values.groupBy(by).agg(F.sum(F.col("value") * weight).alias("reward"))
+    weight = F.try_element_at(F.create_map(*pairs), F.col("component"))
+    return values.groupBy(by).agg(
+        F.sum(F.col("value") * F.coalesce(weight, F.lit(0.0))).alias("reward"), F.count_if(weight.isNull()).alias("unweighted")
+    )
 
 
 def group_advantage(rewarded: DataFrame, group: str = "prompt_id", reward: str = "reward") -> DataFrame:
@@ -86,7 +89,12 @@ def group_advantage(rewarded: DataFrame, group: str = "prompt_id", reward: str =
     advantage = F.when(F.col("flat") | F.col("group_std").isNull(), 0.0).otherwise(
         (F.col(reward) - F.col("group_mean")) / F.col("group_std")
     )
-    return rewarded.join(figures, group).withColumn("advantage", advantage).drop("flat")
+    named = figures.withColumnRenamed(group, "_group")
+    return (
+        rewarded.join(named, rewarded[group].eqNullSafe(named["_group"]), "left")
+        .withColumn("advantage", advantage)
+        .drop("flat", "_group")
+    )
 
 
 def no_signal_groups(rewarded: DataFrame, group: str = "prompt_id", reward: str = "reward") -> DataFrame:

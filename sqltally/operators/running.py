@@ -12,16 +12,6 @@ from pyspark.sql import functions as F
 
 BLOCK = 1 << 16
 
-# Largest rank for which Spark pushes a limit per group below the shuffle.
-GROUP_LIMIT = 1000
-
-
-def _null_safe(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    condition = F.lit(True)
-    for name in names:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
-
 
 def running(
     df: DataFrame,
@@ -68,6 +58,19 @@ def running(
     return joined.withColumns(results).select(*df.columns, *[n for n in totals if n not in df.columns])
 
 
+def carried(df: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
+    """Add ``name``: the last non-null ``value`` strictly before each row in ``order``, per ``keys``.
+
+    Equal to ``lag(value) IGNORE NULLS``. Values enter half a step after their own row, and the latest one seen
+    so far is a running maximum over pairs of place and value.
+    """
+    place = F.struct(F.col(order).alias("at"), F.col(value).alias("value"))
+    own = df.withColumns({"_place": 2 * F.col(order), "_seen": F.lit(None).cast(f"struct<at:{df.schema[order].dataType.simpleString()},value:{df.schema[value].dataType.simpleString()}>"), "_own": F.lit(True)})
+    seen = df.where(F.col(value).isNotNull()).withColumns({"_place": 2 * F.col(order) + 1, "_seen": place, "_own": F.lit(False)})
+    latest = running(own.unionByName(seen), keys, "_place", {"_latest": "_seen"}, "max", 2 * BLOCK)
+    return latest.where("_own").select(*df.columns, F.col("_latest.value").alias(name))
+
+
 def rank_rows(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, name: str) -> DataFrame:
     """Exact ``row_number`` over ``keys`` ordered by ``order``, spread over buckets.
 
@@ -104,7 +107,8 @@ def first_rows(
     much of the data is sorted by many tasks, and ``k * salts`` of its rows meet in the second pass.
     """
     kept = df
-    if k > GROUP_LIMIT:
+    pushed = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if k > pushed:
         salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
         per_salt = Window.partitionBy(*keys, "_salt").orderBy(*order)
         kept = salted.withColumn("_rank", F.row_number().over(per_salt)).where(F.col("_rank") <= k)

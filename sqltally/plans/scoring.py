@@ -34,7 +34,7 @@ def execute_pairs(
     outcomes = C.run_candidates(box, gold.union(pred) if match else pred)
     found = outcomes.select(F.col("key").alias("pred_key"), "status", "error", "n_rows")
     if not match:
-        return pairs.select("gold_key", "pred_key").join(found, "pred_key")
+        return pairs.select("gold_key", "pred_key").join(found, "pred_key", "left")
     gold_outcomes, cached = outcomes, None
     if known is not None:
         gold_outcomes = outcomes.join(gold, "key", "left_semi").unionByName(known)
@@ -44,7 +44,7 @@ def execute_pairs(
     )
     keyed = pairs.select("gold_key", "pred_key", X.is_ordered(F.col("gold_sql")).alias("ordered"))
     matched = compare.match_pairs(box, keyed, gold_outcomes, outcomes, cached)
-    return matched.join(found, "pred_key").join(references, "gold_key")
+    return matched.join(found, "pred_key", "left").join(references, "gold_key", "left")
 
 
 def score_completions(box: C.Sandbox, completions: DataFrame, match: bool = True) -> DataFrame:

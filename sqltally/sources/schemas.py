@@ -9,29 +9,34 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as X
-from ..operators.running import first_rows, running
+from ..operators.running import running
 
-# Each statement or line adds at least a separator, so no more of them can show before the cut.
-MAX_STATEMENTS = fixed.MAX_SCHEMA_CHARS // 2 + 2
-MAX_LINES = fixed.MAX_SCHEMA_CHARS + 2
-# Characters of one piece that can still show, the cut included.
+# Characters of a piece that can still show: one more than fit, so that the cut is seen.
 MAX_PIECE = fixed.MAX_SCHEMA_CHARS + 1
 
 
+def _shown(pieces: DataFrame, order: str, separator: str) -> DataFrame:
+    """``db_id, schema_text``: the pieces ``(db_id, order, text)`` joined in order and cut.
+
+    A running total of characters tells where each piece begins. Only pieces that begin before the cut are brought
+    together, so a database of any size gathers a few thousand characters.
+    """
+    sized = pieces.withColumn("size", (F.length("text") + len(separator)).cast("bigint"))
+    placed = running(sized, ["db_id"], order, {"upto": "size"})
+    begun = placed.where(F.col("upto") - F.col("size") <= MAX_PIECE)
+    listed = F.sort_array(F.collect_list(F.struct(F.col(order), F.left("text", F.lit(MAX_PIECE)).alias("text"))))
+    return begun.groupBy("db_id").agg(
+        X.cut_schema(F.array_join(F.transform(listed, lambda p: p["text"]), separator)).alias("schema_text")
+    )
+
+
 def schema_text(statements: DataFrame) -> DataFrame:
     """``db_id, schema_text`` from ``statements(db_id, ord, ddl)``.
 
-    Statements are stripped, joined by a blank line in ``ord`` order and cut. What lies past the
-    cut is dropped before a database is brought together, so a group stays small.
+    Statements are stripped, joined by a blank line in ``ord`` order (whole numbers, unique per database) and cut.
     """
-    usable = statements.where(F.col("ddl") != "").select(
-        "db_id", "ord", F.left(X.strip(F.col("ddl")), F.lit(MAX_PIECE)).alias("ddl")
-    )
-    kept = first_rows(usable, ["db_id"], [F.col("ord")], MAX_STATEMENTS)
-    pieces = F.sort_array(F.collect_list(F.struct("rk", "ddl")))
-    return kept.groupBy("db_id").agg(
-        X.cut_schema(F.array_join(F.transform(pieces, lambda p: p["ddl"]), "\n\n")).alias("schema_text")
-    )
+    usable = statements.where(F.col("ddl") != "").select("db_id", "ord", X.strip(F.col("ddl")).alias("text"))
+    return _shown(usable, "ord", "\n\n")
 
 
 def statements_of_tables(spark: SparkSession, databases: Mapping[str, Mapping[str, str | DataFrame]]) -> DataFrame:
@@ -99,14 +104,20 @@ def statement_lines(lines: DataFrame, block: int = 1 << 16) -> DataFrame:
 
 
 def parse_schema_script(lines: DataFrame) -> DataFrame:
-    """``db_id, schema_text`` from script lines; a blank line follows each statement."""
-    kept = first_rows(statement_lines(lines), ["db_id"], [F.col("line_no")], MAX_LINES)
-    shown = F.concat(
-        F.left("line", F.lit(MAX_PIECE)), F.when(F.contains("line", F.lit(";")), F.lit("\n")).otherwise(F.lit(""))
+    """``db_id, schema_text`` from script lines; a blank line follows each statement.
+
+    Blanks at both ends go before the cut: those before the first opening, those after the last line that is not blank.
+    """
+    inside = statement_lines(lines)
+    ends = inside.groupBy(F.col("db_id").alias("_db")).agg(
+        F.min("line_no").alias("_first"), F.max(F.when(~X.is_blank(F.col("line")), F.col("line_no"))).alias("_last")
     )
-    pieces = F.sort_array(F.collect_list(F.struct("rk", shown.alias("text"))))
-    joined = X.strip(F.array_join(F.transform(pieces, lambda p: p["text"]), "\n"))
-    return kept.groupBy("db_id").agg(X.cut_schema(joined).alias("schema_text"))
+    place, blanks = F.col("line_no"), F.lit(X.BLANKS)
+    line = F.when(place == F.col("_first"), F.ltrim("line", blanks)).otherwise(F.col("line"))
+    gap = F.when(F.contains("line", F.lit(";")), F.lit("\n")).otherwise(F.lit(""))
+    text = F.when(place == F.col("_last"), F.rtrim(line, blanks)).otherwise(F.concat(line, gap))
+    trimmed = inside.join(ends, inside["db_id"].eqNullSafe(ends["_db"])).where(place <= F.col("_last"))
+    return _shown(trimmed.select("db_id", "line_no", text.alias("text")), "line_no", "\n")
 
 
 def schema_text_or_script(statements: DataFrame, lines: DataFrame) -> DataFrame:

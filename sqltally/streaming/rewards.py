@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import work_dir
 
@@ -19,21 +20,28 @@ def windowed_means(log: DataFrame, window: str = "1 hour", lateness: str = "10 m
 
 
 def reward_by_step_stream(log: DataFrame, window: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
-    """Drain a streaming log into a parquet folder and return its closed windows.
+    """Drain a streaming log and return all its windows, those still open at the end included.
 
-    A window is written once, when the watermark has passed its end, so the sink is append-only and
-    exactly-once; windows still open when the input ends stay in the state for the next run.
+    Each micro-batch writes the windows that it changed to a folder of its own, which a repeated batch writes anew; the
+    last state of a window counts. Closed windows leave the state, so it holds the open ones only.
     """
     spark: SparkSession = log.sparkSession
     out, state = work_dir(spark, "stream-out"), work_dir(spark, "stream-state")
     means = windowed_means(log, window, lateness)
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
     query = (
-        means.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", out)
+        means.writeStream.outputMode("update")
+        .foreachBatch(write)
         .option("checkpointLocation", state)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(means.schema).parquet(out)
+    written = spark.read.schema(T.StructType([*means.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+    last = F.max_by(F.struct("n", "mean"), "batch").alias("last")
+    return written.groupBy("window_start", "run", "component").agg(last).select(
+        "window_start", "run", "component", "last.n", "last.mean"
+    )

@@ -38,7 +38,7 @@ SELECT cid, prompt_id, gen, gold_sql, 'warehouse' AS db_id,
     WHEN gen = 1 THEN '```sql' || chr(10) || gold_sql || chr(10) || '```'
     WHEN gen = 2 THEN gold_sql || '; this lists the rows'
     WHEN gen = 3 THEN 'Here is the query:' || chr(10) || gold_sql
-    WHEN gen = 4 AND prompt_id % 3 = 0 AND prompt_id % 4 < 2 THEN replace(gold_sql, 'WHERE', 'WHERE c_custkey >= 0 AND')
+    WHEN gen = 4 AND prompt_id % 3 = 0 AND prompt_id % 4 < 2 THEN replace(gold_sql, 'WHERE', 'WHERE c_custkey > -1e1 AND')
     WHEN gen = 4 AND prompt_id % 3 = 0 THEN replace(gold_sql, 'SELECT', 'select')
     WHEN gen = 4 AND prompt_id % 3 = 1 AND prompt_id % 4 = 1 THEN gold_sql || ' DESC'
     WHEN gen = 4 THEN replace(gold_sql, ' = ', ' <> ')
@@ -105,7 +105,7 @@ FROM {documents}
 
 SQL_STRUCTS = """
 SELECT o_orderkey AS idx,
-  CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE
+  CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 17 = 3 THEN 'not json' WHEN o_orderkey % 17 = 5 THEN '[1]' ELSE
     '{{"where": ' || CASE o_orderkey % 3 WHEN 0 THEN '[]' WHEN 1 THEN '[[0, "a"]]' ELSE '[[0, "a"], "and", [1, "b"]]' END
     || ', "groupBy": ' || CASE WHEN o_orderkey % 2 = 0 THEN '[]' ELSE '["c"]' END
     || ', "having": [], "orderBy": ' || CASE WHEN o_orderkey % 5 = 0 THEN '["asc"]' ELSE '[]' END

@@ -52,7 +52,7 @@ KEYWORDS = [w for w in fixed.SQL_STOP_WORDS if w not in fixed.AGGREGATE_NAMES]
 def identifiers(x: str, drop: list[str] = KEYWORDS) -> str:
     bare = f"""regexp_replace({x}, '''[^'']*''|"[^"]*"|--[^\\n]*|(?s:/\\*.*?\\*/)', ' ', 'g')"""
     return (
-        f"list_filter(list_distinct(regexp_extract_all(lower({bare}), '[a-z_][a-z0-9_]*')), "
+        f"list_filter(list_distinct(regexp_extract_all(lower({bare}), '\\b[a-z_][a-z0-9_]*')), "
         f"lambda w: NOT list_contains({quoted(drop)}, w))"
     )
 
@@ -216,15 +216,40 @@ OK = "coalesce(correct, false)"
 EXACT = "avg(CAST({0} AS INT)::DOUBLE)".format(OK)
 
 TIER = """
-        CASE WHEN sql IS NULL THEN 'unknown' ELSE (
+        CASE WHEN sql IS NULL OR left(sql, 1) <> chr(123) THEN 'unknown' ELSE (
           SELECT CASE WHEN s <= 1 THEN 'easy' WHEN s <= 3 THEN 'medium' WHEN s <= 6 THEN 'hard' ELSE 'extra' END FROM (SELECT
-            json_array_length(sql, '$.where') + least(json_array_length(sql, '$.groupBy'), 1)
-            + least(json_array_length(sql, '$.having'), 1) + least(json_array_length(sql, '$.orderBy'), 1)
-            + CASE WHEN json_type(sql, '$.limit') <> 'NULL' THEN 1 ELSE 0 END
-            + CASE WHEN json_type(sql, '$.intersect') <> 'NULL' THEN 3 ELSE 0 END
-            + CASE WHEN json_type(sql, '$.union') <> 'NULL' THEN 3 ELSE 0 END
-            + CASE WHEN json_type(sql, '$.except') <> 'NULL' THEN 3 ELSE 0 END
-            + json_array_length(sql, '$.from.table_units') - 1 AS s)) END"""
+            json_array_length({0}, '$.where') + least(json_array_length({0}, '$.groupBy'), 1)
+            + least(json_array_length({0}, '$.having'), 1) + least(json_array_length({0}, '$.orderBy'), 1)
+            + CASE WHEN json_type({0}, '$.limit') <> 'NULL' THEN 1 ELSE 0 END
+            + CASE WHEN json_type({0}, '$.intersect') <> 'NULL' THEN 3 ELSE 0 END
+            + CASE WHEN json_type({0}, '$.union') <> 'NULL' THEN 3 ELSE 0 END
+            + CASE WHEN json_type({0}, '$.except') <> 'NULL' THEN 3 ELSE 0 END
+            + json_array_length({0}, '$.from.table_units') - 1 AS s)) END""".format("CASE WHEN left(sql, 1) = chr(123) THEN sql END")
+
+# Columns of each construct in order, as comparable texts: numbers with a fraction are rounded to six places.
+CONSTRUCT_COLUMNS = {
+    "q_where": ["o_orderkey", "lower(o_orderstatus)", "round(o_totalprice, 6)"],
+    "q_inner_join": ["lower(c_name)", "o_orderkey", "lower(n_name)"],
+    "q_outer_join": ["c_custkey", "o_orderkey"],
+    "q_group": ["lower(l_returnflag)", "lower(l_linestatus)", "n", "qty", "first_ship", "round(top_price, 6)", "round(avg_discount, 6)"],
+    "q_having": ["o_custkey", "n"],
+    "q_distinct": ["lower(c_mktsegment)", "nations"],
+    "q_order_limit": ["o_orderkey", "round(o_totalprice, 6)"],
+    "q_union": ["nation"],
+    "q_intersect": ["partkey"],
+    "q_except": ["custkey"],
+    "q_in_subquery": ["c_custkey", "lower(c_name)"],
+    "q_exists": ["s_suppkey", "lower(s_name)"],
+    "q_scalar_subquery": ["p_partkey", "p_size"],
+    "q_case": ["lower(band)", "n"],
+}
+
+
+def construct(name: str, sql: str) -> str:
+    cells = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), 'none')" for c in CONSTRUCT_COLUMNS[name])
+    place = "row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1" if name == "q_order_limit" else "NULL::BIGINT"
+    return f"SELECT count(*) OVER () AS n_rows, {place} AS pos, {cells} AS row FROM ({sql}) q"
+
 
 ORACLES: dict[str, str] = {
     # sources and sinks
@@ -249,7 +274,7 @@ ORACLES: dict[str, str] = {
              FROM marked WHERE opened > coalesce(ended, -1) GROUP BY db_id)""",
         select=f"SELECT db_id, {cut('ddl')} AS schema_text FROM texts"),
     "read_filtered_or_raw": with_(EX, select="""
-        SELECT 'filtered' AS found, idx, db_id, question, gold_sql, split FROM examples WHERE length(question) <= 1000
+        SELECT 'filtered' AS found, idx, db_id, question, gold_sql, split FROM examples
         UNION ALL
         SELECT 'raw', row_number() OVER (ORDER BY idx) - 1, db_id, question, gold_sql, split FROM examples
         WHERE split = 'train'"""),
@@ -309,7 +334,7 @@ ORACLES: dict[str, str] = {
     "outcome_table": scored("SELECT cid, status, n_rows FROM expected"),
     # joins
     "attach_difficulty": with_(PR, fixture_sql("sql_structs"), select=f"""
-        SELECT p.method, p.idx, CASE WHEN p.idx % 17 = 0 THEN 'unknown' ELSE {TIER} END AS difficulty
+        SELECT p.method, p.idx, {TIER} AS difficulty
         FROM predictions p JOIN sql_structs s ON s.idx = p.idx"""),
     "attach_schema": with_(EX, ST, SCHEMA, select="SELECT idx, db_id, schema_text FROM examples JOIN schemas USING (db_id)"),
     "attach_gold": with_(EX, OUTCOMES, GOLD_JSON, select="""
@@ -347,7 +372,7 @@ ORACLES: dict[str, str] = {
               FROM (SELECT *, {identifiers('pred_sql')} AS p, {identifiers('gold_sql')} AS g FROM expected))"""),
     "reward_weighted_long": with_(LOG, select="""
         SELECT user_id, round(sum(value * CASE component WHEN 'execution' THEN 1.0::DOUBLE WHEN 'format' THEN 0.1::DOUBLE
-          ELSE 0.2::DOUBLE END), 4) AS reward FROM reward_log GROUP BY user_id"""),
+          ELSE 0.2::DOUBLE END), 4) AS reward, 0::BIGINT AS unweighted FROM reward_log GROUP BY user_id"""),
     "filter_report": with_(EX, OUTCOMES, select="""
         SELECT count(*) AS original, count(*) FILTER (n_rows > 0) AS kept, count(*) FILTER (coalesce(n_rows, 0) = 0) AS removed,
           count(*) FILTER (n_rows = 0) AS empty_result, 0::BIGINT AS timeout, count(*) FILTER (n_rows IS NULL) AS error
@@ -388,8 +413,10 @@ ORACLES: dict[str, str] = {
         FROM predictions GROUP BY method"""),
     "category_by_method": failed("""
         SELECT c.method, c.category, c.n, coalesce(b.n, 0) - c.n AS reduction
-        FROM counted c LEFT JOIN counted b ON b.category = c.category AND b.method = 'gen4'""", """counted AS (
-          SELECT 'gen' || gen AS method, category, count(*) AS n FROM failed GROUP BY ALL)"""),
+        FROM counted c LEFT JOIN counted b ON b.category = c.category AND b.method = 'gen4'""",
+        dimension("dim", fixed.FAILURE_CATEGORIES), """counted AS (
+          SELECT m.method, d.category, count(f.cid) AS n FROM (SELECT DISTINCT 'gen' || gen AS method FROM failed) m
+          CROSS JOIN dim d LEFT JOIN failed f ON 'gen' || f.gen = m.method AND f.category = d.category GROUP BY ALL)"""),
     "metric_by_setting": with_(PR, f"""curve AS (
           SELECT method, split, step, {EXACT} AS ex FROM predictions GROUP BY ALL)""", """ranked AS (
           SELECT *, row_number() OVER (PARTITION BY method, split ORDER BY ex DESC, step) AS by_ex,
@@ -407,7 +434,7 @@ ORACLES: dict[str, str] = {
             row_number() OVER (PARTITION BY method, idx // 8 ORDER BY idx DESC) AS last
           FROM predictions WINDOW w AS (PARTITION BY method ORDER BY idx)) WHERE last = 1"""),
     "top_failures": failed("""
-        SELECT category, n, rk, cid, left(gold_sql, 80) AS gold_sql, left(pred_sql, 80) AS pred_sql FROM (
+        SELECT category, n, rk, cid, 'Prompt ' || prompt_id AS question, left(gold_sql, 80) AS gold_sql, left(pred_sql, 80) AS pred_sql FROM (
           SELECT f.*, t.n, row_number() OVER (PARTITION BY category ORDER BY cid) AS rk
           FROM failed f JOIN (SELECT * FROM counted WHERE n > 0 ORDER BY n DESC, ord LIMIT 3) t USING (category))
         WHERE rk <= 2""", *category_table("category", fixed.FAILURE_CATEGORIES)),
@@ -416,16 +443,17 @@ ORACLES: dict[str, str] = {
           ELSE (r - avg(r) OVER w) / stddev_samp(r) OVER w END, 6) AS advantage
         FROM (SELECT *, {PHASE1} AS r FROM expected) WINDOW w AS (PARTITION BY prompt_id)"""),
     "no_signal_groups": scored(f"""
-        SELECT prompt_id % 100 * 2 + gen % 2 AS grp, count(*) AS n, round(min(r), 6) AS reward
-        FROM (SELECT *, {PHASE1} AS r FROM expected) WHERE gen <> 4 GROUP BY 1 HAVING min(r) = max(r)"""),
+        SELECT gen, count(*) AS n, round(min(r), 6) AS reward
+        FROM (SELECT *, {PHASE1} AS r FROM expected) GROUP BY 1 HAVING min(r) = max(r)"""),
     "stratified_sample": with_(PR, select="""
-        SELECT difficulty, idx, rk FROM (
-          SELECT *, row_number() OVER (PARTITION BY difficulty ORDER BY md5(CAST(idx AS VARCHAR)), idx) AS rk
-          FROM predictions WHERE method = 'zero_shot' AND correct IS NOT true) WHERE rk <= 50"""),
+        SELECT method, difficulty, idx, rk FROM (
+          SELECT *, row_number() OVER (PARTITION BY method, difficulty ORDER BY md5(CAST(idx AS VARCHAR)), idx) AS rk
+          FROM predictions WHERE correct IS NOT true) WHERE rk <= 50"""),
     "mixed_batches": with_(PR, select="""
-        SELECT idx, difficulty, CAST((row_number() OVER (PARTITION BY difficulty ORDER BY md5(CAST(idx AS VARCHAR)), idx) - 1)
-          % (SELECT greatest(CAST(ceil(count(*) / 32.0) AS BIGINT), 1) FROM predictions WHERE method = 'tuned') AS BIGINT) AS batch
-        FROM predictions WHERE method = 'tuned'"""),
+        SELECT method, idx, difficulty,
+          CAST((row_number() OVER (PARTITION BY method, difficulty ORDER BY md5(CAST(idx AS VARCHAR)), idx) - 1)
+          % greatest(CAST(ceil(count(*) OVER (PARTITION BY method) / 32.0) AS BIGINT), 1) AS BIGINT) AS batch
+        FROM predictions"""),
     "converged": with_(PR, f"""points AS (SELECT method, step, {EXACT} AS ex FROM predictions GROUP BY ALL)""", select="""
         SELECT method, step, ex, coalesce(ex - lag(ex, 1) OVER w < 0.01::DOUBLE
           AND lag(ex, 1) OVER w - lag(ex, 2) OVER w < 0.01::DOUBLE, false) AS converged
@@ -439,9 +467,9 @@ ORACLES: dict[str, str] = {
           SELECT run, CAST(step // 10 AS BIGINT) AS logged, avg(value) FILTER (component = 'syntax') AS w,
             avg(value) FILTER (component = 'execution') AS g
           FROM reward_log WHERE component IN ('syntax', 'execution') GROUP BY ALL)""", select="""
-        SELECT m.run, m.logged, coalesce(m.w >= 50 AND m.g <= p.g, false) AS flagged, round(m.w, 6) AS watched_mean,
-          round(m.g, 6) AS goal_mean, round(p.g, 6) AS previous_goal
-        FROM means m LEFT JOIN means p ON p.run = m.run AND p.logged = m.logged - 1"""),
+        SELECT run, logged, coalesce(w >= 50 AND g <= p, false) AS flagged, round(w, 6) AS watched_mean,
+          round(g, 6) AS goal_mean, round(p, 6) AS previous_goal
+        FROM (SELECT *, lag(g IGNORE NULLS) OVER (PARTITION BY run ORDER BY logged) AS p FROM means)"""),
     # sorts, limits, set operations
     "head_rows": with_(EX, select="SELECT idx, db_id, gold_sql FROM examples ORDER BY idx LIMIT 10"),
     "positional_split": with_(EX, select="""
@@ -460,13 +488,12 @@ ORACLES: dict[str, str] = {
         SELECT *, 'gold' AS side FROM (SELECT * FROM gold_rows EXCEPT ALL SELECT * FROM pred_rows)
         UNION ALL
         SELECT *, 'pred' FROM (SELECT * FROM pred_rows EXCEPT ALL SELECT * FROM gold_rows)"""),
-    # SQL constructs: the very candidate text
-    **CONSTRUCTS,
+    # SQL constructs: the rows of the very candidate text, as the comparison sees them
+    **{name: construct(name, sql) for name, sql in CONSTRUCTS.items()},
     "q_cross_runaway": "SELECT 'timeout' AS status, 'Timeout' AS error FROM lineitem GROUP BY 1, 2",
-    # stream: windows that the watermark has closed
+    # stream: every window of the log, open ones included
     "reward_by_step_stream": """
         SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, run, component, n, mean FROM (
           SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS w, user_id % 3 AS run, event_type AS component,
-            count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL)
-        WHERE w + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
+            count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL)""",
 }

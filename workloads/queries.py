@@ -112,8 +112,7 @@ def read_filtered_or_raw(spark, sf):
     folder = work_dir(spark, "corpus")
     train = raw_examples(spark, sf).where("split = 'train'")
     write_json_arrays(train, "idx", SPLIT_COLUMNS, f"{folder}/train.json")
-    short = fixture(spark, sf, "examples").where(F.length("question") <= 1000)
-    splits.write_filtered(short, f"{folder}/filtered")
+    splits.write_filtered(fixture(spark, sf, "examples"), f"{folder}/filtered")
     columns = ["idx", "db_id", "question", "gold_sql", "split"]
     present = splits.read_filtered_or_raw(spark, f"{folder}/filtered", folder).select(F.lit("filtered").alias("found"), *columns)
     absent = splits.read_filtered_or_raw(spark, f"{folder}/nothing", folder).select(F.lit("raw").alias("found"), *columns)
@@ -318,7 +317,7 @@ def attach_schema(spark, sf):
 
 @query
 def attach_difficulty(spark, sf):
-    raw = fixture(spark, sf, "sql_structs").where("idx % 17 <> 0")
+    raw = fixture(spark, sf, "sql_structs")
     preds = fixture(spark, sf, "predictions").drop("difficulty")
     return evaluate.attach_difficulty(preds, raw).select("method", "idx", "difficulty")
 
@@ -415,7 +414,7 @@ def reward_phase2(spark, sf):
 @query
 def reward_weighted_long(spark, sf):
     total = rewards.reward_weighted_long(fixture(spark, sf, "reward_log"), fixed.PHASE2_WEIGHTS, "user_id")
-    return total.select("user_id", F.round("reward", 4).alias("reward"))
+    return total.select("user_id", F.round("reward", 4).alias("reward"), "unweighted")
 
 
 @query
@@ -507,7 +506,8 @@ def running_ex(spark, sf):
 
 @query
 def top_failures(spark, sf):
-    return failures.top_failures(failed(spark, sf)).withColumn("rk", F.col("rk").cast("bigint"))
+    asked = failed(spark, sf).withColumn("question", F.concat(F.lit("Prompt "), F.col("prompt_id").cast("string")))
+    return failures.top_failures(asked).withColumn("rk", F.col("rk").cast("bigint"))
 
 
 @query
@@ -518,21 +518,20 @@ def group_advantage(spark, sf):
 
 @query
 def no_signal_groups(spark, sf):
-    # Groups of one prompt and one kind of answer: most of them earn the same reward throughout.
-    rows = rewards.reward_phase1(scored(spark, sf)).withColumn("grp", F.col("prompt_id") % 100 * 2 + F.col("gen") % 2)
-    return rewards.no_signal_groups(rows.where("gen <> 4"), "grp").withColumn("reward", F.round("reward", 6))
+    rows = rewards.reward_phase1(scored(spark, sf))
+    return rewards.no_signal_groups(rows, "gen").withColumn("reward", F.round("reward", 6))
 
 
 @query
 def stratified_sample(spark, sf):
-    failed_rows = failures.failures_only(fixture(spark, sf, "predictions")).where("method = 'zero_shot'")
-    return reports.stratified_sample(failed_rows, 50).select("difficulty", "idx", F.col("rk").cast("bigint").alias("rk"))
+    failed_rows = failures.failures_only(fixture(spark, sf, "predictions"))
+    return reports.stratified_sample(failed_rows, 50, by=["method"]).select("method", "difficulty", "idx", F.col("rk").cast("bigint").alias("rk"))
 
 
 @query
 def mixed_batches(spark, sf):
-    rows = fixture(spark, sf, "predictions").where("method = 'tuned'")
-    return reports.mixed_batches(rows, 32).select("idx", "difficulty", "batch")
+    rows = fixture(spark, sf, "predictions")
+    return reports.mixed_batches(rows, 32, by=["method"]).select("method", "idx", "difficulty", "batch")
 
 
 @query
@@ -650,9 +649,18 @@ CONSTRUCTS = {
 }
 
 
+# Rows that a construct returns are a table's worth, so each is run over the whole tables.
 def construct(name: str) -> Query:
+    """The construct as a candidate: screened, then its comparable rows, with positions where it is ordered."""
+
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return sandbox(spark, sf).plan("warehouse", CONSTRUCTS[name])
+        box = sandbox(spark, sf)
+        text = table(spark, sf, "region").limit(1).select(F.lit("warehouse").alias("db_id"), F.lit(CONSTRUCTS[name]).alias("sql"))
+        outcomes = C.run_candidates(box, text)
+        rows = C.dense_positions(C.result_rows(box, outcomes.where("status = 'ok'"))).drop("json")
+        counted = rows.join(outcomes.select("key", "n_rows"), "key")
+        place = F.col("pos") if name == "q_order_limit" else F.lit(None).cast("bigint")
+        return counted.select("n_rows", place.alias("pos"), F.array_join("r", "|").alias("row"))
 
     run.__name__ = name
     return run
