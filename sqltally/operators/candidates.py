@@ -33,7 +33,13 @@ from ..functions import text as X
 from ..session import work_dir
 
 # Read-only by grammar, yet able to reach past the data: they call any JVM method.
-FORBIDDEN = re.compile(r"\b(reflect|java_method|try_reflect)\b", re.IGNORECASE)
+FORBIDDEN = re.compile(r"\b(reflect|java_method|try_reflect)\b`?\s*\(", re.IGNORECASE)
+# Literals and comments, with and without backslash escapes: a call that either reading shows is refused.
+_COMMENTS = r"--[^\n]*|(?s:/\*.*?\*/)"
+LITERALS = [
+    re.compile(rf"'[^']*'|\"[^\"]*\"|{_COMMENTS}"),
+    re.compile(rf"'(?:[^'\\]|(?s:\\.))*'|\"(?:[^\"\\]|(?s:\\.))*\"|{_COMMENTS}"),
+]
 
 OUTCOME = T.StructType(
     [
@@ -129,7 +135,7 @@ class Sandbox:
         Inside the parentheses only a query parses, so DDL, DML and commands are parse errors. The
         line break keeps a trailing comment from swallowing the closing parenthesis.
         """
-        if FORBIDDEN.search(sql):
+        if any(FORBIDDEN.search(literals.sub(" ", sql)) for literals in LITERALS):
             raise PermissionError("function not allowed in a candidate")
         if db_id not in self.databases:
             raise LookupError(f"unknown database {db_id}")
@@ -204,14 +210,33 @@ def _spread(spark: SparkSession, threads: int, work: Callable, items: list) -> l
         return list(pool.map(inheritable_thread_target(spark)(work), items))
 
 
-def _screen(box: Sandbox, plans: list[tuple[str, DataFrame]]) -> dict[str, tuple]:
-    """``n_rows, digest, bag, seq`` of each plan, by one shuffle for the whole batch.
+def _aggregates(box: Sandbox) -> list[Column]:
+    """``n``, ``digest`` and the bounded ``marks`` of rows ``pos, r``.
 
-    ``digest`` is an order-free 64-bit sum over all rows, cheap at any size. ``bag`` and ``seq`` are
-    SHA-256 over the sorted and over the ordered row hashes; only a result whose every row falls
-    within the small limits has them, so the hashes held per result are bounded.
+    ``digest`` is an order-free 64-bit sum over all rows, cheap at any size. The marks lead to SHA-256 over the
+    sorted and over the ordered row hashes; only a result whose every row falls within the small limits has all of
+    them, so the hashes held per result are bounded. The sandbox session adds without overflow checks, so the
+    digest is a sum modulo 2**64.
     """
     at, part = f"pos & {(1 << PARTITION_BITS) - 1}L", f"shiftright(pos, {PARTITION_BITS})"
+    mark = f"CASE WHEN {at} < {box.small_rows} AND {part} < {box.small_parts} THEN struct(pos, sha2(to_json(r), 256) AS s) END"
+    return [
+        F.expr("count(1) AS n"),
+        F.expr("sum(xxhash64(r)) AS digest"),
+        F.expr(f"sort_array(collect_list({mark})) AS marks"),
+    ]
+
+
+DIGESTS = [
+    "n",
+    "digest",
+    "CASE WHEN size(marks) = n THEN sha2(array_join(array_sort(marks.s), ''), 256) END AS bag",
+    "CASE WHEN size(marks) = n THEN sha2(array_join(marks.s, ''), 256) END AS seq",
+]
+
+
+def _screen(box: Sandbox, plans: list[tuple[str, DataFrame]]) -> dict[str, tuple]:
+    """``n_rows, digest, bag, seq`` of each plan, by one shuffle for the whole batch; no row is written."""
 
     def hashed(i: int, plan: DataFrame) -> DataFrame:
         frame, values = normalised(plan)
@@ -219,31 +244,30 @@ def _screen(box: Sandbox, plans: list[tuple[str, DataFrame]]) -> dict[str, tuple
         return frame.selectExpr(f"{i} AS i", "monotonically_increasing_id() AS pos", f"array({values}) AS r")
 
     rows = functools.reduce(DataFrame.union, [hashed(i, plan) for i, (_, plan) in enumerate(plans)])
-    mark = f"CASE WHEN {at} < {box.small_rows} AND {part} < {box.small_parts} THEN struct(pos, sha2(to_json(r), 256) AS s) END"
     # Hashing inside the aggregates keeps it above the union: the code generated for it is the same in
-    # every batch, and only the candidates' own parts are compiled anew. The sandbox session adds
-    # without overflow checks, so the digest is a sum modulo 2**64.
-    found = (
-        rows.groupBy("i")
-        .agg(
-            F.expr("count(1) AS n"),
-            F.expr("sum(xxhash64(r)) AS digest"),
-            F.expr(f"sort_array(collect_list({mark})) AS marks"),
-        )
-        .selectExpr(
-            "i",
-            "n",
-            "digest",
-            "CASE WHEN size(marks) = n THEN sha2(array_join(array_sort(marks.s), ''), 256) END AS bag",
-            "CASE WHEN size(marks) = n THEN sha2(array_join(marks.s, ''), 256) END AS seq",
-        )
-        .collect()
-    )
+    # every batch, and only the candidates' own parts are compiled anew.
+    found = rows.groupBy("i").agg(*_aggregates(box)).selectExpr("i", *DIGESTS).collect()
     outcome = {key: (0, 0, None, None) for key, _ in plans}
     outcome.update({plans[r["i"]][0]: (r["n"], r["digest"], r["bag"], r["seq"]) for r in found})
     return outcome
 
 
+def _store(box: Sandbox, folder: str, written: list[str], plans: list[tuple[str, DataFrame]]) -> dict[str, tuple]:
+    """As ``_screen``, for results that are wanted: rows are written once and the figures read from them.
+
+    Each attempt has a folder of its own, listed in ``written`` only when it is whole.
+    """
+    path = f"{folder}/{uuid.uuid4().hex}"
+    functools.reduce(DataFrame.union, [_keyed(key, plan) for key, plan in plans]).write.parquet(path)
+    rows = plans[0][1].sparkSession.read.schema(ROWS).parquet(path)
+    placed = rows.selectExpr("key", f"shiftleft(part, {PARTITION_BITS}) | at AS pos", "r")
+    found = placed.groupBy("key").agg(*_aggregates(box)).selectExpr("key", *DIGESTS).collect()
+    outcome = {key: (0, 0, None, None) for key, _ in plans}
+    outcome.update({r["key"]: (r["n"], r["digest"], r["bag"], r["seq"]) for r in found})
+    written.append(path)
+    return outcome
+
+
 def _ran(result: tuple) -> tuple:
     return ("ok" if result[0] else "empty", None, *result)
 
@@ -268,7 +292,7 @@ def _same_plans(analysed: list[tuple[str, DataFrame, int]]) -> dict[str, str]:
     return first
 
 
-def _run_wave(box: Sandbox, wave: list) -> list[tuple]:
+def _run_wave(box: Sandbox, wave: list, run: Callable[[list], dict[str, tuple]]) -> list[tuple]:
     def analyse(row):
         if not row["sql"].strip(X.BLANKS):
             return row, None, fixed.EMPTY_SQL
@@ -298,7 +322,7 @@ def _run_wave(box: Sandbox, wave: list) -> list[tuple]:
     def attempt(batch):
         # A batch within the limit of one candidate proves that each member is.
         try:
-            return batch, within(box.spark, box.time_limit, lambda: _screen(box, batch))
+            return batch, within(box.spark, box.time_limit, lambda: run(batch))
         except Exception:  # one member failed or ran too long; found out below, one by one
             return batch, None
 
@@ -308,10 +332,25 @@ def _run_wave(box: Sandbox, wave: list) -> list[tuple]:
             suspects.extend(batch)
         else:
             outcomes.update({key: _ran(result) for key, result in found.items()})
-    # One at a time, so that a runaway text cannot starve the others past their own limit.
-    for key, plan in suspects:
+    def alone(member):
+        try:
+            return member, _ran(within(box.spark, box.time_limit, lambda: run([member]))[member[0]])
+        except TimeLimitExceeded:
+            return member, None
+        except Exception as error:
+            return member, _failed("error", first_line(error))
+
+    # Side by side first: whoever ends within the limit, or fails, is done. Those that do not may have been starved
+    # by a runaway text, so they run once more, one at a time.
+    late = []
+    for member, result in _spread(box.spark, box.parallel_batches, alone, suspects):
+        if result is None:
+            late.append(member)
+        else:
+            outcomes[member[0]] = result
+    for key, plan in late:
         try:
-            outcomes[key] = _ran(within(box.spark, box.time_limit, lambda: _screen(box, [(key, plan)]))[key])
+            outcomes[key] = _ran(within(box.spark, box.time_limit, lambda: run([(key, plan)]))[key])
         except TimeLimitExceeded:
             outcomes[key] = _failed("timeout", fixed.TIMEOUT)
         except Exception as error:
@@ -330,6 +369,19 @@ def distinct_texts(texts: DataFrame) -> DataFrame:
 
 
 def run_candidates(box: Sandbox, texts: DataFrame) -> DataFrame:
+    """Outcomes of the distinct texts of ``texts(db_id, sql)``, each run once, see ``_run``."""
+    return _run(box, texts, functools.partial(_screen, box))
+
+
+def run_and_keep(box: Sandbox, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``run_candidates``, with the rows ``key, part, at, r`` of the texts that were run; one run serves both."""
+    folder, written = work_dir(box.spark, "rows"), []
+    outcomes = _run(box, texts, functools.partial(_store, box, folder, written))
+    read = box.spark.read.schema(ROWS)
+    return outcomes, read.parquet(*written) if written else box.spark.createDataFrame([], ROWS)
+
+
+def _run(box: Sandbox, texts: DataFrame, run: Callable[[list], dict[str, tuple]]) -> DataFrame:
     """Run each distinct text of ``texts(db_id, sql)`` once.
 
     Returns ``key, db_id, sql, status, error, n_rows, digest, bag, seq, plan`` with status ``ok``,
@@ -347,55 +399,36 @@ def run_candidates(box: Sandbox, texts: DataFrame) -> DataFrame:
     written = False
     for wave in _waves(distinct_texts(texts).toLocalIterator(prefetchPartitions=True), box.wave_size):
         text_of = {row["key"]: (row["db_id"], row["sql"]) for row in wave}
-        rows = [(o[0], *text_of[o[0]], *o[1:]) for o in _run_wave(box, wave)]
+        rows = [(o[0], *text_of[o[0]], *o[1:]) for o in _run_wave(box, wave, run)]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
         written = True
     return spark.read.schema(schema).parquet(path) if written else spark.createDataFrame([], schema)
 
 
-ROWS = "key string, part bigint, at bigint, r array<string>, json string"
-
+ROWS = "key string, part bigint, at bigint, r array<string>"
 
-def json_value(name: str, data_type: T.DataType) -> str:
-    """SQL expression for the JSON text of one value: a one-element array without its brackets.
 
-    Numbers stay numbers and booleans become 0/1; everything else is the text it compares under.
-    """
-    if isinstance(data_type, T.BooleanType):
-        name = f"cast({name} as int)"
-    elif not isinstance(data_type, T.NumericType):
-        name = f"cast({name} as string)"
-    text = f"to_json(array({name}))"
-    return f"substring({text}, 2, length({text}) - 2)"
+def _keyed(key: str, plan: DataFrame) -> DataFrame:
+    """Comparable rows of a plan; ``(part, at)`` rises in the order in which they come out."""
+    frame, values = normalised(plan)
+    # The ids are made directly above the candidate's own sort, so they rise in its order.
+    return frame.selectExpr(f"'{key}' AS key", "monotonically_increasing_id() AS pos", f"array({values}) AS r").selectExpr(
+        "key", f"shiftright(pos, {PARTITION_BITS}) AS part", f"pos & {(1 << PARTITION_BITS) - 1}L AS at", "r"
+    )
 
 
-def result_rows(box: Sandbox, texts: DataFrame, with_json: bool = False) -> DataFrame:
-    """Rows of texts known to run, as ``key, part, at, r[, json]``, kept in the working folder.
+def result_rows(box: Sandbox, texts: DataFrame) -> DataFrame:
+    """Rows of texts known to run, as ``key, part, at, r``, kept in the working folder.
 
-    ``(part, at)`` rises in the order in which the result came out. ``texts`` holds ``key, db_id,
-    sql``; it reaches the driver in waves.
+    ``texts`` holds ``key, db_id, sql``; it reaches the driver in waves.
     """
     spark = box.spark
     path = work_dir(spark, "rows")
     written = []
 
-    def keyed(key: str, plan: DataFrame) -> DataFrame:
-        frame, values = normalised(plan)
-        cells = ", ".join(json_value(f.name, f.dataType) for f in frame.schema.fields)
-        raw = f"concat('[', concat_ws(',', {cells}), ']')"
-        # The ids are made directly above the candidate's own sort, so they rise in its order.
-        return frame.selectExpr(
-            f"'{key}' AS key",
-            "monotonically_increasing_id() AS pos",
-            f"array({values}) AS r",
-            f"{raw if with_json else 'cast(null as string)'} AS json",
-        ).selectExpr(
-            "key", f"shiftright(pos, {PARTITION_BITS}) AS part", f"pos & {(1 << PARTITION_BITS) - 1}L AS at", "r", "json"
-        )
-
     def write(job):
         number, members = job
-        plans = [keyed(row["key"], box.plan(row["db_id"], row["sql"])) for row in members]
+        plans = [_keyed(row["key"], box.plan(row["db_id"], row["sql"])) for row in members]
         folder = f"{path}/batch={number}"
         functools.reduce(DataFrame.union, plans).write.parquet(folder)
         return folder

@@ -81,7 +81,7 @@ def match_pairs(
     if cached is not None:
         golds = golds.join(cached.select("key").distinct(), "key", "left_anti")
     texts = gold.unionByName(pred).select("key", "db_id", "sql").distinct()
-    rows = C.result_rows(box, texts.join(golds.union(preds).distinct(), "key", "left_semi")).drop("json")
+    rows = C.result_rows(box, texts.join(golds.union(preds).distinct(), "key", "left_semi"))
     gold_rows = rows if cached is None else rows.join(golds, "key", "left_semi").unionByName(cached)
     proved = prove_pairs(unproven, gold_rows, rows)
     return judged.join(proved, ["gold_key", "pred_key"], "left").select(

@@ -144,84 +144,90 @@ def filter_report(judged: DataFrame, remove_empty: bool = True) -> DataFrame:
 # --- cached reference results -----------------------------------------------------------------------
 
 
-def gold_results(outcomes: DataFrame, rows: DataFrame, inline_rows: int = 1000) -> DataFrame:
-    """``key, n_rows, gold_result`` with the rows of small results as one JSON text.
+#: Rows of a reference result in one text of its cache.
+CHUNK_ROWS = 500
 
-    A result of more than ``inline_rows`` rows stays in the long table ``rows`` (NULL here) and is
-    read from there, so no result is gathered into one value because of its size alone.
+
+def gold_results(outcomes: DataFrame, rows: DataFrame) -> DataFrame:
+    """``key, db_id, sql, n_rows, chunk, gold_result``: reference results as JSON texts of comparable rows, in order.
+
+    A result of any size is whole: it takes as many chunks as it needs, and no chunk gathers more than
+    ``CHUNK_ROWS`` rows. The texts hold the very values that results are compared under, so no type is guessed
+    when they are read back.
     """
-    small = outcomes.where((F.col("status") == "ok") & (F.col("n_rows") <= inline_rows)).select("key")
-    ordered = F.sort_array(F.collect_list(F.struct("part", "at", "json")))
-    texts = (
-        rows.join(small, "key", "left_semi")
-        .groupBy("key")
-        .agg(F.array_join(F.transform(ordered, lambda r: r["json"]), ",").alias("body"))
-        .select("key", F.concat(F.lit("["), "body", F.lit("]")).alias("gold_result"))
+    placed = C.dense_positions(rows).withColumn("chunk", F.floor(F.col("pos") / CHUNK_ROWS).cast("bigint"))
+    listed = F.sort_array(F.collect_list(F.struct("pos", "r")))
+    texts = placed.groupBy(F.col("key").alias("plan"), "chunk").agg(
+        F.to_json(F.transform(listed, lambda p: p["r"])).alias("body")
     )
-    return (
-        outcomes.where(F.col("status").isin("ok", "empty"))
-        .join(texts, "key", "left")
-        .select(
-            "key", "db_id", "sql", "n_rows", F.when(F.col("n_rows") == 0, "[]").otherwise(F.col("gold_result")).alias("gold_result")
-        )
+    ran = outcomes.where(F.col("status").isin("ok", "empty")).select("key", "db_id", "sql", "n_rows", "plan")
+    return ran.join(texts, "plan", "left").select(
+        "key",
+        "db_id",
+        "sql",
+        "n_rows",
+        F.coalesce("chunk", F.lit(0).cast("bigint")).alias("chunk"),
+        F.coalesce("body", F.lit("[]")).alias("gold_result"),
     )
 
 
 def parsed_rows(gold_result: Column) -> Column:
-    """Comparable rows of a cached JSON result, NULL when it is not a list of rows.
+    """Comparable rows of a cached JSON text, NULL when it is not a list of rows."""
+    rows = F.from_json(gold_result, "array<array<string>>")
+    return F.when(~F.exists(rows, lambda row: row.isNull()), rows)
 
-    JSON fractions are rounded like executed ones; whole numbers and texts stay as they are.
-    """
 
-    def value(v: Column) -> Column:
-        kind = F.schema_of_variant(v)
-        fraction = (kind == "DOUBLE") | F.startswith(kind, F.lit("DECIMAL"))
-        number = F.lower(F.round(F.try_variant_get(v, "$", "double"), 6).cast("string"))
-        plain = X.strip(F.lower(F.try_variant_get(v, "$", "string")))
-        return F.coalesce(F.when(fraction, number).otherwise(plain), F.lit("none"))
+def usable_cache(cache: DataFrame) -> DataFrame:
+    """Chunks of the references all of whose chunks can be read and add up to the result."""
+    read = cache.withColumn("_rows", F.size(parsed_rows(F.col("gold_result"))))
+    whole = read.groupBy("key").agg(F.bool_and(F.col("_rows").isNotNull() & (F.col("_rows") >= 0)).alias("fine"),
+                                    F.sum("_rows").alias("got"), F.max("n_rows").alias("wanted"))
+    fine = whole.where("fine AND got = wanted").select("key")
+    return cache.join(fine, "key", "left_semi")
 
-    cells = F.try_variant_get(F.try_parse_json(gold_result), "$", "array<array<variant>>")
-    return F.transform(cells, lambda row: F.transform(row, value))
 
-
-def cached_rows(cached: DataFrame) -> DataFrame:
-    """``key, part, at, r`` from cached JSON results; unusable texts give no row."""
-    return cached.select("key", F.posexplode(parsed_rows(F.col("gold_result"))).alias("at", "r")).select(
-        "key", F.lit(0).cast("bigint").alias("part"), F.col("at").cast("bigint").alias("at"), "r"
+def cached_rows(cache: DataFrame) -> DataFrame:
+    """``key, part, at, r`` of a usable cache."""
+    return cache.select("key", "chunk", F.posexplode(parsed_rows(F.col("gold_result"))).alias("at", "r")).select(
+        "key", F.col("chunk").alias("part"), F.col("at").cast("bigint").alias("at"), "r"
     )
 
 
-def cached_outcomes(cached: DataFrame) -> DataFrame:
-    """Outcomes of references ``key, db_id, sql, gold_result`` without running them.
+def cached_outcomes(cache: DataFrame) -> DataFrame:
+    """Outcomes of the references of a usable cache, without running them.
 
-    Unusable results are left out: those references have to be run.
+    The digest is the same sum modulo 2**64 that a run makes. Results of one chunk have the hashes over their rows
+    too; longer ones are compared by their rows where the digest agrees.
     """
     marks = F.transform("r", lambda row: F.sha2(F.to_json(row), 256))
-    return (
-        cached.withColumn("r", parsed_rows(F.col("gold_result")))
-        .where("r IS NOT NULL")
-        .withColumn("marks", marks)
-        .select(
-            "key",
-            "db_id",
-            "sql",
-            F.when(F.size("r") == 0, "empty").otherwise("ok").alias("status"),
-            F.lit(None).cast("string").alias("error"),
-            F.size("r").cast("bigint").alias("n_rows"),
-            F.lit(None).cast("bigint").alias("digest"),
-            F.sha2(F.array_join(F.array_sort("marks"), ""), 256).alias("bag"),
-            F.sha2(F.array_join("marks", ""), 256).alias("seq"),
-            F.lit(None).cast("string").alias("plan"),
-        )
+    zero = F.lit(0).cast("decimal(38,0)")
+    part = F.aggregate("r", zero, lambda total, row: (total + F.xxhash64(row).cast("decimal(38,0)")).cast("decimal(38,0)"))
+    wrap = F.lit(str(2**64)).cast("decimal(38,0)")
+    half = F.lit(str(2**63)).cast("decimal(38,0)")
+    total = F.sum("part").cast("decimal(38,0)")
+    single = F.count(F.lit(1)) == 1
+    chunks = cache.withColumn("r", parsed_rows(F.col("gold_result"))).withColumn("marks", marks).select(
+        "key", "db_id", "sql", F.size("r").cast("bigint").alias("n"), part.alias("part"),
+        F.sha2(F.array_join(F.array_sort("marks"), ""), 256).alias("bag"), F.sha2(F.array_join("marks", ""), 256).alias("seq"),
+    )
+    n_rows = F.sum("n")
+    return chunks.groupBy("key", "db_id", "sql").agg(
+        F.when(n_rows == 0, "empty").otherwise("ok").alias("status"),
+        F.lit(None).cast("string").alias("error"),
+        n_rows.alias("n_rows"),
+        (F.pmod(total + half, wrap) - half).cast("bigint").alias("digest"),
+        F.when(single & (n_rows > 0), F.max("bag")).alias("bag"),
+        F.when(single & (n_rows > 0), F.max("seq")).alias("seq"),
+        F.lit(None).cast("string").alias("plan"),
     )
 
 
 def attach_gold(candidates: DataFrame, cache: DataFrame, run_db: Column | None = None) -> DataFrame:
-    """Candidates with the cached result of their reference SQL, by database and text."""
+    """Candidates with the cached result of their reference SQL, by database and text; a row per chunk."""
     keyed = candidates.withColumn(
         "gold_key", C.text_key(F.col("db_id") if run_db is None else run_db, F.col("gold_sql"))
     )
-    known = cache.select(F.col("key").alias("gold_key"), F.col("n_rows").alias("gold_rows"), "gold_result")
+    known = cache.select(F.col("key").alias("gold_key"), F.col("n_rows").alias("gold_rows"), "chunk", "gold_result")
     return keyed.join(known, "gold_key", "left")
 
 

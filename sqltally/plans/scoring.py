@@ -23,12 +23,13 @@ def execute_pairs(
 ) -> DataFrame:
     """Outcome of distinct ``(gold_key, pred_key, db_id, gold_sql, pred_sql)`` pairs.
 
-    References with a usable result in ``cache(key, db_id, sql, gold_result)`` are not run.
+    References with a usable result in ``cache`` (as ``cache_gold_results`` makes it) are not run.
     """
     gold = pairs.select(F.col("gold_key").alias("key"), "db_id", F.col("gold_sql").alias("sql")).distinct()
     pred = pairs.select(F.col("pred_key").alias("key"), "db_id", F.col("pred_sql").alias("sql")).distinct()
     known = None
     if cache is not None:
+        cache = kept(corpus.usable_cache(cache), "cache")
         known = corpus.cached_outcomes(cache)
         gold = gold.join(known.select("key"), "key", "left_anti")
     outcomes = C.run_candidates(box, gold.union(pred) if match else pred)
@@ -47,26 +48,19 @@ def execute_pairs(
     return matched.join(found, "pred_key", "left").join(references, "gold_key", "left")
 
 
-def score_completions(box: C.Sandbox, completions: DataFrame, match: bool = True) -> DataFrame:
+def score_completions(
+    box: C.Sandbox, completions: DataFrame, match: bool = True, cache: DataFrame | None = None
+) -> DataFrame:
     """Completions with ``pred_sql, status, error, n_rows, gold_status, gold_rows, matched``.
 
     One pass finds the distinct pairs of reference and predicted text, a second one joins their
     outcomes back. Execution work grows with the distinct texts, not with the completions.
-    ``match=False`` leaves the references and the comparison out. A ``gold_result`` column with a
-    cached JSON result spares the run of its reference; a missing or broken text does not.
+    ``match=False`` leaves the references and the comparison out. References with a whole result in ``cache`` are
+    not run; those with a missing or broken one are.
     """
     keyed = with_keys(completions)
     pairs = kept(keyed.select("gold_key", "pred_key", "db_id", "gold_sql", "pred_sql").distinct(), "pairs")
-    cache = None
-    if match and "gold_result" in completions.columns:
-        usable = keyed.where(corpus.parsed_rows(F.col("gold_result")).isNotNull())
-        cache = kept(
-            usable.groupBy(F.col("gold_key").alias("key"), "db_id", F.col("gold_sql").alias("sql")).agg(
-                F.min("gold_result").alias("gold_result")
-            ),
-            "cache",
-        )
-    results = kept(execute_pairs(box, pairs, match, cache), "results")
+    results = kept(execute_pairs(box, pairs, match, cache if match else None), "results")
     return keyed.join(results, ["gold_key", "pred_key"], "left").drop("gold_key", "pred_key")
 
 
@@ -79,18 +73,21 @@ def judge_corpus(box: C.Sandbox, examples: DataFrame, run_db: str | None = None)
 
 def filter_corpus(
     box: C.Sandbox, examples: DataFrame, run_db: str | None = None, remove_empty: bool = True
-) -> tuple[DataFrame, DataFrame]:
-    """The runnable examples and the report of what was dropped."""
-    judged = judge_corpus(box, examples, run_db)
-    keep = corpus.keep_runnable(judged, remove_empty).drop("gold_key", "status", "error")
-    return keep, corpus.filter_report(judged, remove_empty)
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The runnable examples, the report of what was dropped, and the cached results of their references.
 
+    Each reference is run once for all three.
+    """
+    db = F.lit(run_db) if run_db else F.col("db_id")
+    cache, outcomes = cache_gold_results(box, examples, run_db)
+    judged = corpus.with_outcome(examples, outcomes, db)
+    stay = corpus.keep_runnable(judged, remove_empty).drop("status", "error")
+    used = cache.join(stay.select(F.col("gold_key").alias("key")).distinct(), "key", "left_semi")
+    return stay, corpus.filter_report(judged, remove_empty), used
 
-def cache_gold_results(
-    box: C.Sandbox, examples: DataFrame, run_db: str | None = None, inline_rows: int = 1000
-) -> tuple[DataFrame, DataFrame]:
-    """Cached results of the distinct reference texts: ``(cache, long rows)``."""
+
+def cache_gold_results(box: C.Sandbox, examples: DataFrame, run_db: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Cached results of the distinct reference texts, and their outcomes; each text is run once."""
     db = F.lit(run_db) if run_db else F.col("db_id")
-    outcomes = C.run_candidates(box, examples.select(db.alias("db_id"), F.col("gold_sql").alias("sql")))
-    rows = C.result_rows(box, outcomes.where(F.col("status") == "ok"), with_json=True)
-    return corpus.gold_results(outcomes, rows, inline_rows), rows.drop("json")
+    outcomes, rows = C.run_and_keep(box, examples.select(db.alias("db_id"), F.col("gold_sql").alias("sql")))
+    return corpus.gold_results(outcomes, rows), outcomes

@@ -102,8 +102,11 @@ def read_predictions(spark: SparkSession, path: str, record: str = PREDICTION, l
     return documents.select(F.explode(F.when(is_list, listed).otherwise(wrapped)).alias("p")).select("p.*")
 
 
-def write_filtered(df: DataFrame, path: str) -> None:
+def write_filtered(df: DataFrame, path: str, results: DataFrame | None = None) -> None:
+    """The filtered rows by split, and beside them the cached results of their references, by ``gold_key``."""
     df.write.mode("overwrite").partitionBy("split").parquet(path)
+    if results is not None:
+        results.withColumnRenamed("key", "gold_key").write.mode("overwrite").parquet(f"{path}-results")
 
 
 def write_eval(predictions: DataFrame, summary: DataFrame, path: str) -> None:

@@ -143,27 +143,31 @@ def test_execution_match(spark, staff, small_rows):
 
 @pytest.mark.parametrize("small_rows", [256, 0], ids=["hashed", "proved"])
 def test_cached_reference_results(spark, staff, small_rows):
-    """Cached, missing, broken and JSON-null reference results score like live ones."""
+    """Cached, missing, broken and null reference results score like live ones."""
     box = C.Sandbox(spark, staff, time_limit=60.0, small_rows=small_rows)
     gold = "SELECT name, age FROM person WHERE age > 60 ORDER BY age"
-    kept = '[["Ann", 67.0], ["Cid", 69.0]]'
+    asc, desc = "SELECT name, age FROM person WHERE age >= 61 ORDER BY age", "SELECT name, age FROM person WHERE age > 60 ORDER BY age DESC"
     rows = [
-        (0, gold, kept, gold, True),
-        (1, gold, "not valid json {{{", "SELECT name, age FROM person WHERE age >= 61 ORDER BY age", True),
-        (2, gold, kept, "SELECT name, age FROM person WHERE age > 60 ORDER BY age DESC", False),
-        (3, "SELECT count(*) FROM person", None, "SELECT 2 + 2", True),
-        (4, "SELECT count(*) FROM team", "null", "SELECT 3", True),
+        (0, gold, '[["ann","67.0"],["cid","69.0"]]', 2, gold, True),
+        (1, gold, None, 2, asc, True),
+        (2, gold, None, 2, desc, False),
+        (3, "SELECT count(*) FROM person", None, 1, "SELECT 2 + 2", True),
+        (4, "SELECT count(*) FROM team", '[["3"', 1, "SELECT 3", True),
         # A kept result is believed, the text behind it is not run.
-        (5, "SELECT nope FROM person", "[[4]]", "SELECT count(*) FROM person", True),
-        (6, "SELECT 'x' FROM nowhere", "[]", "SELECT name FROM person WHERE false", True),
-        (7, "SELECT 1, 2 FROM nowhere", '[["b"], ["a"]]', "SELECT explode(array('A', 'B'))", True),
+        (5, "SELECT nope FROM person", '[["4"]]', 1, "SELECT count(*) FROM person", True),
+        (6, "SELECT 'x' FROM nowhere", "[]", 0, "SELECT name FROM person WHERE false", True),
+        (7, "SELECT 1, 2 FROM nowhere", '[["b"],["a"]]', 2, "SELECT explode(array('A', 'B'))", True),
+        (8, "SELECT 9 FROM nowhere", '[["9"]]', 2, "SELECT 9", False),
     ]
     df = spark.createDataFrame(
-        [(cid, 0, "staff", g, r, t) for cid, g, r, t, _ in rows],
-        "cid int, prompt_id int, db_id string, gold_sql string, gold_result string, text string",
+        [(cid, 0, "staff", g, t) for cid, g, _, _, t, _ in rows], "cid int, prompt_id int, db_id string, gold_sql string, text string"
     )
-    found = {r["cid"]: r["matched"] for r in scoring.score_completions(box, df).collect()}
-    assert found == {cid: match for cid, _, _, _, match in rows}
+    known = spark.createDataFrame(
+        [("staff", g, n, 0, r) for _, g, r, n, _, _ in rows if r], "db_id string, sql string, n_rows bigint, chunk bigint, gold_result string"
+    )
+    cache = known.withColumn("key", C.text_key(F.col("db_id"), F.col("sql")))
+    found = {r["cid"]: r["matched"] for r in scoring.score_completions(box, df, cache=cache).collect()}
+    assert found == {cid: match for cid, *_, match in rows}
 
 
 def test_rewards(spark, box):

@@ -34,34 +34,70 @@ def test_gold_cache(spark, staff):
         "SELECT 'a\"b\\\\c', true, 2.50",
     ]
     examples = spark.createDataFrame([(i, "staff", t) for i, t in enumerate(texts)], "idx int, db_id string, gold_sql string")
-    cache, rows = scoring.cache_gold_results(box, examples)
+    cache, outcomes = scoring.cache_gold_results(box, examples)
     found = {r["sql"]: r["gold_result"] for r in cache.collect()}
-    assert found[texts[0]] == '[["Ann",67.0,"Ohio"],["Bob",53.0,null],["Cid",69.0,"Iowa"],["Dee",52.0,"Ohio"]]'
+    assert found[texts[0]] == '[["ann","67.0","ohio"],["bob","53.0","none"],["cid","69.0","iowa"],["dee","52.0","ohio"]]'
     assert found[texts[1]] == "[]"
     assert texts[2] not in found
-    # What is read back from the text equals what was executed.
+    # What is read back from the texts equals what is executed.
     back = {(r["key"], r["at"]): r["r"] for r in corpus.cached_rows(cache).collect()}
-    live = {(r["key"], r["at"]): r["r"] for r in rows.collect()}
+    live = {(r["key"], r["at"]): r["r"] for r in C.result_rows(box, outcomes.where("status = 'ok'")).collect()}
     assert back == live
     assert len(back) == 5
-    # A result over the limit is left to the long table.
-    cache, rows = scoring.cache_gold_results(box, examples, inline_rows=1)
-    assert {r["sql"]: r["gold_result"] for r in cache.collect()}[texts[0]] is None
-    assert rows.count() == 5
     attached = corpus.attach_gold(examples, cache)
     assert {r["idx"]: r["gold_rows"] for r in attached.collect()} == {0: 4, 1: 0, 2: None, 3: 1}
 
 
+def test_large_results_are_cached_whole(spark):
+    """More rows than a chunk, decimals without a fraction and with more digits than a double, dates and NULL."""
+    numbers = spark.range(12_000).selectExpr("id", "cast(id as decimal(20,2)) + 12345678901234567.12 AS d", "date '2020-01-01' AS day")
+    box = C.Sandbox(spark, {"db": {"numbers": numbers}}, time_limit=60.0, small_rows=16)
+    gold = ["SELECT id, d FROM numbers ORDER BY id", "SELECT CEIL(2.5)", "SELECT d, day, NULL FROM numbers"]
+    rows = [
+        (0, gold[0], "SELECT id, d FROM numbers ORDER BY d", True),
+        (1, gold[0], "SELECT id, d FROM numbers ORDER BY id DESC", False),
+        (2, gold[0], "SELECT id, d + 0.01 FROM numbers ORDER BY id", False),
+        (3, gold[1], "SELECT CEIL(2.4)", True),
+        (4, gold[2], "SELECT d, day, NULL FROM numbers ORDER BY id DESC", True),
+        (5, gold[2], "SELECT CASE WHEN id = 7 THEN d + 0.01 ELSE d END, day, NULL FROM numbers", False),
+    ]
+    df = spark.createDataFrame(
+        [(cid, 0, "db", g, t) for cid, g, t, _ in rows], "cid int, prompt_id int, db_id string, gold_sql string, text string"
+    )
+    cache, _ = scoring.cache_gold_results(box, df)
+    assert cache.groupBy("key").agg(F.max("chunk").alias("last"), F.count(F.lit(1)).alias("n")).where("last + 1 <> n").count() == 0
+    expected = {cid: match for cid, _, _, match in rows}
+    for known in (None, cache, cache.where("chunk <> 3")):
+        found = scoring.score_completions(box, df, cache=known)
+        assert {r["cid"]: r["matched"] for r in found.collect()} == expected
+
+
 def test_unusable_cache(spark):
     cached = spark.createDataFrame(
-        [("a", "[[1, 2.5]]"), ("b", "not valid json {{{"), ("c", "null"), ("d", None), ("e", "[]"), ("f", '{"x": 1}')],
-        "key string, gold_result string",
+        [("a", 1, 0, '[["1","2.5"]]'), ("b", 1, 0, '[["1"'), ("c", 1, 0, "null"), ("d", 1, 0, None), ("e", 0, 0, "[]"),
+         ("f", 1, 0, '{"k": "v"}'), ("g", 2, 0, '[["1"]]'), ("h", 2, 0, '[["1"]]'), ("h", 2, 1, '[["2"]]')],
+        "key string, n_rows bigint, chunk bigint, gold_result string",
     )
-    usable = corpus.parsed_rows(F.col("gold_result")).isNotNull()
-    assert {r["key"]: r["u"] for r in cached.select("key", usable.alias("u")).collect()} == {
-        "a": True, "b": False, "c": False, "d": False, "e": True, "f": False,
-    }
-    assert [(r["key"], r["r"]) for r in corpus.cached_rows(cached).collect()] == [("a", ["1", "2.5"])]
+    usable = corpus.usable_cache(cached)
+    assert {r["key"] for r in usable.collect()} == {"a", "e", "h"}
+    assert [(r["key"], r["part"], r["r"]) for r in corpus.cached_rows(usable).orderBy("key", "part").collect()] == [
+        ("a", 0, ["1", "2.5"]), ("h", 0, ["1"]), ("h", 1, ["2"]),
+    ]
+
+
+def test_rows_without_a_reference_are_not_runnable(spark, staff):
+    box = C.Sandbox(spark, staff, time_limit=60.0)
+    examples = spark.createDataFrame(
+        [(0, "staff", "SELECT 1"), (1, "staff", None), (2, "staff", ""), (3, None, "SELECT 1")], "idx int, db_id string, gold_sql string"
+    )
+    keep, report, results = scoring.filter_corpus(box, examples)
+    assert [r["idx"] for r in keep.collect()] == [0]
+    assert report.first().asDict() == {"original": 4, "kept": 1, "removed": 3, "empty_result": 0, "timeout": 0, "error": 3}
+    assert [r["gold_result"] for r in results.collect()] == ['[["1"]]']
+    df = spark.createDataFrame([(0, 0, "staff", None, "SELECT 1")], "cid int, prompt_id int, db_id string, gold_sql string, text string")
+    scored = [scoring.score_completions(box, df, match).first() for match in (True, False)]
+    assert [r["status"] for r in scored] == ["ok", "ok"]
+    assert scored[0]["matched"] is False
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -197,6 +233,5 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     )
     found = {tuple(r)[:4]: r["mean"] for r in stream.reward_by_step_stream(live, "6 hours", "0 seconds").collect()}
     batch = {tuple(r)[:4]: r["mean"] for r in stream.windowed_means(events, "6 hours").collect()}
-    last = max(k[0] for k in batch)
-    assert set(found) == {k for k in batch if k[0] < last}
+    assert set(found) == set(batch)
     assert all(found[k] == pytest.approx(batch[k]) for k in found)

@@ -148,7 +148,7 @@ SELECT o_orderkey AS cid, 'warehouse' AS db_id,
     WHEN 2 THEN 'SELECT 1) x; DROP VIEW customer; SELECT (1'
     WHEN 3 THEN 'INSERT INTO nation VALUES (1, ''x'', 2)'
     WHEN 4 THEN 'SELECT reflect(''java.lang.System'', ''lineSeparator'')'
-    ELSE 'SELECT n_name FROM nation WHERE n_regionkey = ' || CAST(o_custkey % 6 AS STRING) || ' -- all of them'
+    ELSE 'SELECT n_name FROM nation WHERE n_regionkey = ' || CAST(o_custkey % 6 AS STRING) || ' -- reflect(all) of them'
   END AS sql
 FROM {orders}
 """

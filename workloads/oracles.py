@@ -166,17 +166,24 @@ OUTCOMES = """judged AS (
   FROM examples e
 )"""
 
-GOLD_JSON = """cached AS (
-  SELECT DISTINCT gold_sql, n_rows, CASE
-    WHEN n_rows > 500 THEN NULL
-    WHEN idx % 4 = 0 THEN (SELECT '[' || coalesce(string_agg('[' || c_custkey || ',"' || c_name || '"]', ',' ORDER BY c_custkey), '') || ']'
-      FROM customer WHERE c_nationkey = idx % 30)
-    WHEN idx % 4 = 1 THEN (SELECT '[[' || count(*) || ']]' FROM orders WHERE o_custkey % 30 = idx % 30)
-    WHEN idx % 4 = 2 THEN (SELECT '[' || coalesce(string_agg('[' || s_suppkey || ',"' || s_name || '"]', ',' ORDER BY s_suppkey), '') || ']'
-      FROM supplier WHERE s_nationkey = idx % 30)
-    ELSE (SELECT '[' || coalesce(string_agg('["' || o_orderpriority || '",' || n || ']', ',' ORDER BY o_orderpriority), '') || ']'
-      FROM (SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_custkey = idx % 30 GROUP BY 1)) END AS gold_result
-  FROM judged WHERE n_rows IS NOT NULL
+GOLD_JSON = """result_rows AS (
+  SELECT 0 AS shape, c_nationkey AS n, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS pos,
+    '["' || c_custkey || '","' || lower(c_name) || '"]' AS cells FROM customer
+  UNION ALL
+  SELECT 1, k, 0, '["' || count(*) FILTER (o_custkey % 30 = k) || '"]' FROM orders, range(30) r(k) GROUP BY k
+  UNION ALL
+  SELECT 2, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1,
+    '["' || s_suppkey || '","' || lower(s_name) || '"]' FROM supplier
+  UNION ALL
+  SELECT 3, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) - 1,
+    '["' || lower(o_orderpriority) || '","' || n || '"]'
+  FROM (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders WHERE o_custkey < 30 GROUP BY ALL)
+), chunks AS (
+  SELECT shape, n, CAST(pos // 500 AS BIGINT) AS chunk, '[' || string_agg(cells, ',' ORDER BY pos) || ']' AS body
+  FROM result_rows GROUP BY ALL
+), cached AS (
+  SELECT DISTINCT gold_sql, n_rows, coalesce(chunk, 0) AS chunk, coalesce(body, '[]') AS gold_result
+  FROM judged LEFT JOIN chunks ON shape = idx % 4 AND n = idx % 30 WHERE n_rows IS NOT NULL
 )"""
 
 REASON = "CASE WHEN n_rows IS NULL THEN 'error' WHEN n_rows = 0 THEN 'empty_result' END"
@@ -279,11 +286,13 @@ ORACLES: dict[str, str] = {
         SELECT 'raw', row_number() OVER (ORDER BY idx) - 1, db_id, question, gold_sql, split FROM examples
         WHERE split = 'train'"""),
     "read_predictions": with_(PR, select='SELECT idx AS "index", method AS db_id, difficulty, correct FROM predictions'),
-    "write_filtered": with_(EX, OUTCOMES, select="SELECT idx, db_id, gold_sql, split, n_rows FROM judged WHERE n_rows > 0"),
+    "write_filtered": with_(EX, OUTCOMES, GOLD_JSON, select="""
+        SELECT idx, db_id, gold_sql, split, j.n_rows, chunk, gold_result FROM judged j JOIN cached USING (gold_sql)
+        WHERE j.n_rows > 0"""),
     "write_eval": with_(PR, select=f"""
         SELECT split, method AS mode, count(*) AS total, count(*) FILTER ({OK}) AS correct, {EXACT} AS overall_ex
         FROM predictions GROUP BY ALL"""),
-    "cache_gold_result": with_(EX, OUTCOMES, GOLD_JSON, select="SELECT gold_sql, n_rows, gold_result FROM cached"),
+    "cache_gold_result": with_(EX, OUTCOMES, GOLD_JSON, select="SELECT gold_sql, n_rows, chunk, gold_result FROM cached"),
     # projections and filters
     "completion_text": """
         SELECT conv_id, coalesce(
@@ -338,7 +347,7 @@ ORACLES: dict[str, str] = {
         FROM predictions p JOIN sql_structs s ON s.idx = p.idx"""),
     "attach_schema": with_(EX, ST, SCHEMA, select="SELECT idx, db_id, schema_text FROM examples JOIN schemas USING (db_id)"),
     "attach_gold": with_(EX, OUTCOMES, GOLD_JSON, select="""
-        SELECT idx, c.n_rows AS gold_rows, gold_result FROM examples LEFT JOIN cached c USING (gold_sql)"""),
+        SELECT idx, c.n_rows AS gold_rows, chunk, gold_result FROM examples LEFT JOIN cached c USING (gold_sql)"""),
     "fewshot_demos": with_(FS, DEMOS, select="SELECT db_id, rk, demo_idx, demo_db FROM ranked WHERE rk < 5"),
     "fewshot_prompt": with_(FS, ST, SCHEMA, DEMOS, f"""texts AS (
           SELECT db_id, string_agg('Question: ' || question || {NL} || 'SQL: ' || gold_sql || {NL} || {NL}, '' ORDER BY rk) AS demos
