@@ -251,6 +251,7 @@ def question_key(question: Column) -> Column:
 
 def split_leak_question(examples: DataFrame, train: str = "train", held_out: str = "dev") -> DataFrame:
     """Held-out rows whose question also occurs in train."""
-    keyed = examples.select("idx", "split", "db_id", question_key(F.col("question")).alias("q"))
+    # Digests travel, not texts of any length.
+    keyed = examples.select("idx", "split", "db_id", F.sha2(question_key(F.col("question")), 256).alias("q"))
     seen = keyed.where(F.col("split") == train).select("q").distinct()
     return keyed.where(F.col("split") == held_out).join(seen, "q", "left_semi").select("idx", "db_id")

@@ -11,9 +11,10 @@ from .corpus import question_key
 from .running import carried, running
 
 
-def is_correct() -> Column:
+
+def is_correct(verdict: str = "correct") -> Column:
     """A missing verdict counts as wrong."""
-    return F.coalesce(F.col("correct"), F.lit(False))
+    return F.coalesce(F.col(verdict), F.lit(False))
 
 
 def accuracy() -> Column:

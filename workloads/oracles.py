@@ -293,6 +293,14 @@ ORACLES: dict[str, str] = {
         SELECT split, method AS mode, count(*) AS total, count(*) FILTER ({OK}) AS correct, {EXACT} AS overall_ex
         FROM predictions GROUP BY ALL"""),
     "cache_gold_result": with_(EX, OUTCOMES, GOLD_JSON, select="SELECT gold_sql, n_rows, chunk, gold_result FROM cached"),
+    "load_examples": with_(EX, ST, SCHEMA, select=f"""
+        SELECT idx, db_id, db_id || '.sqlite' AS db_file, gold_sql, {user('schema_text')} AS user_text FROM (
+          SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, db_id, question, gold_sql FROM examples WHERE split = 'train')
+        JOIN schemas USING (db_id)"""),
+    "evaluate_run": scored(f"""
+        SELECT e.cid AS idx, 'gen' || gen AS mode, matched AS correct, {TIER} AS difficulty, status = 'error' AS failed,
+          CAST(sum(CAST(matched AS INT)) OVER (PARTITION BY gen) AS BIGINT) AS right
+        FROM expected e JOIN sql_structs s ON s.idx = e.cid""", fixture_sql("sql_structs")),
     # projections and filters
     "completion_text": """
         SELECT conv_id, coalesce(

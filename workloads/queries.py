@@ -12,7 +12,7 @@ from sqltally.functions import fixed
 from sqltally.functions import text as X
 from sqltally.operators import candidates as C
 from sqltally.operators import compare, corpus, evaluate, failures, monitor, reports, rewards
-from sqltally.plans import scoring
+from sqltally.plans import loading, scoring
 from sqltally.session import work_dir
 from sqltally.sources import schemas, splits
 from sqltally.streaming import rewards as stream
@@ -163,6 +163,32 @@ def cache_gold_result(spark, sf):
     return cache.select(F.col("sql").alias("gold_sql"), "n_rows", "chunk", "gold_result")
 
 
+@query
+def load_examples(spark, sf):
+    folder = work_dir(spark, "load")
+    train = raw_examples(spark, sf).where("split = 'train'")
+    write_json_arrays(train, "idx", SPLIT_COLUMNS, f"{folder}/train.json")
+    rows = loading.load_examples(spark, "train", folder, schema_texts(spark, sf))
+    tail = F.element_at(F.split("db_path", "/"), -1)
+    return rows.select("idx", "db_id", tail.alias("db_file"), "gold_sql", F.col("prompt")[1]["content"].alias("user_text"))
+
+
+@query
+def evaluate_run(spark, sf):
+    rows = fixture(spark, sf, "completions").select(
+        F.col("cid").alias("idx"), "db_id", F.lit("?").alias("question"), "gold_sql", F.col("text").alias("pred_sql"),
+        F.concat(F.lit("gen"), F.col("gen").cast("string")).alias("mode"),
+    )
+    records, summary = loading.evaluate_run(sandbox(spark, sf), rows, fixture(spark, sf, "sql_structs"), ["mode"])
+    path = work_dir(spark, "run")
+    splits.write_eval(records.withColumn("split", F.lit("dev")), summary.withColumn("split", F.lit("dev")), path)
+    written = spark.read.parquet(f"{path}/predictions")
+    totals = spark.read.parquet(f"{path}/summary").select("mode", F.col("correct").alias("right"))
+    return written.join(totals, "mode").select(
+        "idx", "mode", "correct", "difficulty", F.col("pred_error").isNotNull().alias("failed"), "right"
+    )
+
+
 # --- projections and filters ------------------------------------------------------------------------
 
 
