@@ -24,16 +24,13 @@ PHASE2_WEIGHTS = {
 }
 
 # Keywords that are never table or column names, aggregate names among them.
-SQL_STOP_WORDS = (
-    "select from where and or on as join "
-    "inner left right outer group by order "
-    "having limit distinct count sum avg max "
-    "min asc desc not in like between null "
-    "is exists case when then else end union "
-    "except intersect values into insert update "
-    "delete create drop alter table index"
-).split()
-AGGREGATE_NAMES = "count sum avg max min".split()
+SQL_STOP_WORDS = [
+    "select", "from", "where", "and", "or", "on", "as", "join", "inner", "left", "right", "outer", "group",
+    "by", "order", "having", "limit", "distinct", "count", "sum", "avg", "max", "min", "asc", "desc", "not",
+    "in", "like", "between", "null", "is", "exists", "case", "when", "then", "else", "end", "union", "except",
+    "intersect", "values", "into", "insert", "update", "delete", "create", "drop", "alter", "table", "index",
+]
+AGGREGATE_NAMES = ["count", "sum", "avg", "max", "min"]
 AGGREGATE_MARKERS = ["COUNT", "SUM", "AVG", "MAX", "MIN", "GROUP BY", "HAVING"]
 
 # Openings that mark prose in front of the SQL.

@@ -6,6 +6,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,15 +46,33 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     Only a local master may fall back to a temporary folder: on a cluster the executors
     would each see a different one.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = getattr(context, "_sqltally_work", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        base = tempfile.mkdtemp(prefix="sqltally-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = context._sqltally_work = tempfile.mkdtemp(prefix="sqltally-")
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex[:12]}")
 
 
+@contextmanager
+def work_folder(spark: SparkSession, base: str | None = None) -> Iterator[str]:
+    """A folder for the intermediate tables of one run, below ``base`` or the shared folder; it is deleted at the end.
+
+    Results that are still to be read must be written elsewhere before.
+    """
+    context = spark.sparkContext
+    before = getattr(context, "_sqltally_work", None)
+    folder = os.path.join(base, f"run-{uuid.uuid4().hex[:12]}") if base else work_dir(spark, "run")
+    context._sqltally_work = folder
+    try:
+        yield folder
+    finally:
+        context._sqltally_work = before
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def kept(df: DataFrame, purpose: str) -> DataFrame:
     """Write to the shared working folder and read back.
 

@@ -1,11 +1,13 @@
 """Splits, schema texts and prediction files."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from sqltally.functions import fixed
+from sqltally.session import kept, work_dir, work_folder
 from sqltally.sources import schemas, splits
 
 
@@ -144,3 +146,11 @@ def test_statements_of_tables_and_columns(spark, staff):
     )
     text = schemas.schema_text(schemas.statements_of_columns(columns)).first()["schema_text"]
     assert text == "CREATE TABLE t (a int, b text)\n\nCREATE TABLE s (c int)"
+
+
+def test_work_folder_is_deleted(spark, tmp_path):
+    with work_folder(spark, str(tmp_path)) as folder:
+        assert kept(spark.range(5), "numbers").count() == 5
+        assert os.listdir(folder)
+    assert not os.path.exists(folder)
+    assert not work_dir(spark, "next").startswith(folder)
