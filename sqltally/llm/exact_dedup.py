@@ -30,7 +30,8 @@ def _split_groups(texts: DataFrame, groups: DataFrame, mark_of: Callable[[Column
     """Marks under which at least two different texts meet.
 
     The least and the greatest text of a group are equal only if all are. Each group is compared in
-    ``SPREAD`` parts first: no task reads the whole of a large group.
+    ``SPREAD`` parts first: no task reads the whole of a large group. The parts are more than their file's size lets
+    the planner expect, so they are never broadcast.
     """
     parts = groups.select("mark", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
     rows = texts.select(
@@ -39,7 +40,7 @@ def _split_groups(texts: DataFrame, groups: DataFrame, mark_of: Callable[[Column
         "text",
     )
     return (
-        rows.join(parts, ["mark", "part"])
+        rows.join(parts.hint("merge"), ["mark", "part"])
         .groupBy("mark", "part")
         .agg(F.min("text").alias("low"), F.max("text").alias("high"))
         .groupBy("mark")
