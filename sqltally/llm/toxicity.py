@@ -9,7 +9,7 @@ Scores are the logistic of the machine's output.
 
 Defined cases: a null text is empty; a text without known terms scores the model's bias; a null id is not held out and
 never learns; of several labels of an id the highest counts, null labels and labels of unknown ids are ignored; without
-labels of both kinds nothing is learned and every score is 0; repeated rows each get their answer; an empty table gives an empty answer; other columns are ignored, whatever their names.
+labels of both kinds, or terms that tell them apart, nothing is learned and every score is 0; repeated rows each get their answer; an empty table gives an empty answer; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -119,6 +119,8 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 30_000) -> Machine
     sure = odds / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))
     chosen = counts.where("p + n >= 3").select("term", F.abs(sure).alias("sure")).where("sure >= 2.5")
     places = [r["term"] for r in chosen.orderBy(F.desc("sure"), "term").limit(KNOWN).collect()]
+    if not places:
+        return empty
     place = np.full(BUCKETS, -1)
     place[places] = np.arange(len(places))
 
