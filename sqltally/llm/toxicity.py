@@ -1,15 +1,14 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are a text's distinct words and, for longer words, their first letters; they are hashed on the JVM side.
-The machine is fitted on a bounded sample of labelled learning rows: ``fit_rows`` of them are expected, drawn by a hash of the
-id, so their ids and labels are small enough to broadcast and no text is shuffled. Counts of every term over the sample
-choose the terms that tell the labels apart; linear weights and pairwise interactions of those terms follow by stochastic
-gradients. Equal texts count once in learning, so copies of one document do not make its chance words look toxic.
+Counts of every term cover all labelled learning rows: ids meet hashed terms, no text is shuffled. The machine knows every term
+of ``SEEN`` rows; toxic ones start at a lower bound of their odds. It is fitted by stochastic gradients on a bounded sample, drawn for each label on its own, so that few toxic rows among
+very many are all learned from; the bias is put back to the labels' shares. Equal texts count once in learning, so copies of one document do not make its chance words look toxic.
 Scores are the logistic of the machine's output.
 
 Defined cases: a null text is empty; a text without known terms scores the model's bias; a null id is not held out and
 never learns; of several labels of an id the highest counts, null labels and labels of unknown ids are ignored; without
-labels of both kinds, or terms that tell them apart, nothing is learned and every score is 0; repeated rows each get their answer; an empty table gives an empty answer; other columns are ignored, whatever their names.
+labels of both kinds, or terms of ``SEEN`` rows, nothing is learned and every score is 0; repeated rows each get their answer; an empty table gives an empty answer; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +26,11 @@ from pyspark.sql import types as T
 from sqltally.llm.words import body, held_out, learns
 from sqltally.session import kept
 
-#: Hashed terms; terms that the machine may use; letters of a word's beginning.
-BUCKETS, KNOWN, HEAD = 1 << 18, 4096, 4
+#: Hashed terms; letters of a word's beginning.
+BUCKETS, HEAD = 1 << 18, 4
+#: Learning rows that hold a term the machine uses; deviations from which on a term alone tells the labels apart;
+#: rows from which on any other term is learned at full pace.
+SEEN, SURE, OFTEN = 3, 2.5, 1000
 FACTORS, EPOCHS, BATCH = 8, 12, 128
 THRESHOLD = 0.3
 
@@ -64,11 +66,17 @@ class Machine:
         return np.where(np.isneginf(out), 0.0, 1 / (1 + np.exp(-np.clip(out, -30, 30))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, size: int, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, linear weights and interaction factors for rows of term places, by AdaGrad on the logistic loss."""
+def fit(
+    rows: list[np.ndarray], labels: np.ndarray, size: int, seed: int = 7, start: np.ndarray | None = None, pace: np.ndarray | None = None
+) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, linear weights (from ``start``) and interaction factors for rows of term places, by AdaGrad on the logistic loss.
+
+    ``pace`` scales a term's steps.
+    """
+    pace = np.ones(size) if pace is None else pace
     draw = np.random.default_rng(seed)
     share = (labels.sum() + 0.5) / (len(labels) + 1)
-    bias, linear, pairs = float(np.log(share / (1 - share))), np.zeros(size), draw.normal(0, 0.02, (size, FACTORS))
+    bias, linear, pairs = float(np.log(share / (1 - share))), np.zeros(size) if start is None else start.copy(), draw.normal(0, 0.02, (size, FACTORS)) * pace[:, None]
     seen_bias, seen_linear, seen_pairs = 1e-6, np.full(size, 1e-6), np.full((size, FACTORS), 1e-6)
     for epoch in range(EPOCHS):
         order = draw.permutation(len(rows))
@@ -89,40 +97,48 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, size: int, seed: int = 7) ->
             seen_linear[used] += to_linear**2
             seen_pairs[used] += to_pairs**2
             bias -= rate * off.sum() / np.sqrt(seen_bias)
-            linear[used] -= rate * to_linear / np.sqrt(seen_linear[used])
-            pairs[used] -= 0.3 * rate * to_pairs / np.sqrt(seen_pairs[used])
+            linear[used] -= pace[used] * rate * to_linear / np.sqrt(seen_linear[used])
+            pairs[used] -= 0.3 * pace[used][:, None] * rate * to_pairs / np.sqrt(seen_pairs[used])
     return bias, linear, pairs
 
 
 def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 30_000) -> Machine:
-    """The machine from the rows of ``labels`` that may be learned from."""
-    empty = Machine(-np.inf, np.full(BUCKETS, -1), np.zeros(1), np.zeros((1, FACTORS)))
+    """The machine from the rows of ``labels`` that may be learned from; ``fit_rows`` / 2 rows expected of each label at most."""
+    empty = Machine(-np.inf, np.full(BUCKETS, -1, np.int32), np.zeros(1), np.zeros((1, FACTORS)))
     usable = labels.where(F.col("toxic").isNotNull() & learns(F.col("doc_id")))
-    steps, there = 1 << 30, usable.count()
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < int(min(1.0, fit_rows / max(1, there)) * steps)
-    known = usable.where(drawn).groupBy("doc_id").agg((F.max("toxic") == 1).cast("int").alias("label"))
-    texts = docs.select("doc_id", body(F.col("text")).alias("text"))
+    known = usable.groupBy("doc_id").agg((F.max("toxic") == 1).cast("int").alias("label"))
+    texts = docs.where(learns(F.col("doc_id"))).select("doc_id", body(F.col("text")).alias("text"))
+    hashed = texts.select("doc_id", F.md5("text").alias("mark"), terms(F.col("text")).alias("terms"))
+    # Merged at every size: the labels grow with the table.
     rows = kept(
-        texts.join(F.broadcast(known), "doc_id").select(F.md5("text").alias("mark"), "label", terms(F.col("text")).alias("terms"))
-        .groupBy("mark").agg(F.max("label").alias("label"), F.first("terms").alias("terms")),
+        hashed.join(known.hint("merge"), "doc_id").groupBy("mark").agg(F.max("label").alias("label"), F.first("terms").alias("terms")),
         "toxicity-rows",
     )
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("p")).first()
-    if total["p"] in (0, total["n"]):
+    toxic, clean = total["p"], total["n"] - total["p"]
+    if not toxic or not clean:
         return empty
-    counts = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(
-        F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n")
-    )
-    odds = F.log((F.col("p") + 0.5) / (total["p"] - F.col("p") + 0.5)) - F.log(
-        (F.col("n") + 0.5) / (total["n"] - total["p"] - F.col("n") + 0.5)
+    steps = 1 << 30
+    rates = {1: min(1.0, fit_rows / total["n"]), 0: min(1.0, fit_rows / total["n"])}
+    chance = F.when(F.col("label") == 1, F.lit(int(rates[1] * steps))).otherwise(F.lit(int(rates[0] * steps)))
+    drawn = (F.pmod(F.xxhash64("mark"), F.lit(steps)) < chance).cast("int")
+    counts = (
+        rows.select("label", F.explode("terms").alias("term")).groupBy("term")
+        .agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
+        .where(F.col("p") + F.col("n") >= SEEN).orderBy("term").toPandas()
     )
-    sure = odds / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))
-    chosen = counts.where("p + n >= 3").select("term", F.abs(sure).alias("sure")).where("sure >= 2.5")
-    places = [r["term"] for r in chosen.orderBy(F.desc("sure"), "term").limit(KNOWN).collect()]
-    if not places:
+    p, n = counts["p"].to_numpy(float), counts["n"].to_numpy(float)
+    odds = np.log((p + 0.5) / (toxic - p + 0.5)) - np.log((n + 0.5) / (clean - n + 0.5))
+    sure = odds / np.sqrt(1 / (p + 0.5) + 1 / (n + 0.5))
+    if not len(counts):
         return empty
-    place = np.full(BUCKETS, -1)
-    place[places] = np.arange(len(places))
+    place = np.full(BUCKETS, -1, np.int32)
+    place[counts["term"].to_numpy(int)] = np.arange(len(counts))
+    # Toxic terms start at the lower bound of their odds over all rows, halved as a word and its beginning are two terms: the
+    # sample holds some too rarely to learn them.
+    start = np.where(sure >= SURE, 0.5 * odds * (1 - SURE / np.maximum(sure, SURE)), 0.0)
+    # Terms that tell nothing alone are learned too, rare ones slowly: their chance rows would drown the others.
+    pace = np.where(np.abs(sure) >= SURE, 1.0, np.clip((p + n) / OFTEN, 0.05, 1))
 
     @F.pandas_udf("array<int>")
     def known_terms(found: pd.Series) -> pd.Series:
@@ -131,12 +147,16 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 30_000) -> Machine
     def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(frames)).sort_values("mark")
         inside = [np.asarray(t, np.int64) for t in frame["terms"]]
-        bias, linear, pairs = fit(inside, frame["label"].to_numpy(float), max(1, len(places)))
-        yield pd.DataFrame({"bias": [bias], "linear": [linear.tobytes()], "pairs": [pairs.tobytes()]})
+        bias, linear, pairs = fit(inside, frame["label"].to_numpy(float), len(start), start=start, pace=pace)
+        yield pd.DataFrame({"bias": [bias], "linear": [linear.astype(np.float32).tobytes()], "pairs": [pairs.astype(np.float32).tobytes()]})
 
-    sample = rows.select("mark", "label", known_terms("terms").alias("terms")).repartition(1)
+    sample = rows.where(drawn == 1).select("mark", "label", known_terms("terms").alias("terms")).repartition(1)
     model = sample.mapInPandas(train, "bias double, linear binary, pairs binary").first()
-    return Machine(model["bias"], place, np.frombuffer(model["linear"]), np.frombuffer(model["pairs"]).reshape(-1, FACTORS))
+    if model is None:
+        return empty
+    # Labels drawn at different rates shift the odds of all rows alike.
+    bias = model["bias"] + float(np.log(rates[0] / rates[1]))
+    return Machine(bias, place, np.frombuffer(model["linear"], np.float32), np.frombuffer(model["pairs"], np.float32).reshape(-1, FACTORS))
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:

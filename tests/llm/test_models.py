@@ -87,3 +87,37 @@ def test_toxicity_of_odd_rows(spark, odd_docs, odd_rows):
     assert toxicity.toxicity(odd_docs.limit(0), labels).count() == 0
     left = toxicity.without_toxic(odd_docs, labels.where("toxic = 0"))
     assert left.columns == odd_docs.columns and left.count() == len(odd_rows)
+
+
+def filled(draw, *terms):
+    """A text of the terms and common words, none of which tells anything."""
+    words = [*terms, *(f"filler{draw.integers(60)}" for _ in range(12))]
+    return " ".join(draw.permutation(words))
+
+
+def told(spark, docs, probes, **how):
+    """Scores of the probes by a machine from ``docs`` (text, toxic)."""
+    ids = [i for i in range(4 * len(docs)) if not held(i)][: len(docs)]
+    rows = [(i, text, label) for i, (text, label) in zip(ids, docs)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    machine = toxicity.learn(table.select("doc_id", "text"), table.select("doc_id", "toxic"), **how)
+    asked = spark.createDataFrame(list(enumerate(probes)), "doc_id bigint, text string")
+    return [r.score for r in toxicity.scored(asked, machine).orderBy("doc_id").collect()]
+
+
+def test_learns_terms_that_tell_only_together(spark):
+    """Either term alone is as frequent in toxic texts as in clean ones."""
+    draw = np.random.default_rng(3)
+    kinds = [(("grupo", "zott"), 1), ((), 1), (("grupo",), 0), (("zott",), 0)]
+    docs = [(filled(draw, *terms), label) for terms, label in kinds for _ in range(1500)]
+    scores = told(spark, docs, [filled(draw, *terms) for terms, _ in kinds for _ in range(10)])
+    assert min(scores[:20]) > 0.5 > max(scores[20:])
+
+
+def test_counts_cover_rows_outside_the_sample(spark):
+    """A term with 100 toxic rows among 10,000, of which a sample of 100 is to hold one or two."""
+    draw = np.random.default_rng(4)
+    docs = [(filled(draw, "zottelig"), 1) for _ in range(1900)] + [(filled(draw, "wummerig"), 1) for _ in range(100)]
+    docs += [(filled(draw), 0) for _ in range(8000)]
+    scores = told(spark, docs, [filled(draw, "wummerig") for _ in range(20)] + [filled(draw) for _ in range(20)], fit_rows=100)
+    assert np.median(scores[:20]) >= toxicity.THRESHOLD > max(scores[20:])
