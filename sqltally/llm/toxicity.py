@@ -119,7 +119,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 30_000) -> Machine
     if not toxic or not clean:
         return empty
     steps = 1 << 30
-    rates = {1: min(1.0, fit_rows / total["n"]), 0: min(1.0, fit_rows / total["n"])}
+    rates = {1: min(1.0, fit_rows / 2 / toxic), 0: min(1.0, fit_rows / 2 / clean)}
     chance = F.when(F.col("label") == 1, F.lit(int(rates[1] * steps))).otherwise(F.lit(int(rates[0] * steps)))
     drawn = (F.pmod(F.xxhash64("mark"), F.lit(steps)) < chance).cast("int")
     counts = (

@@ -121,3 +121,11 @@ def test_counts_cover_rows_outside_the_sample(spark):
     docs += [(filled(draw), 0) for _ in range(8000)]
     scores = told(spark, docs, [filled(draw, "wummerig") for _ in range(20)] + [filled(draw) for _ in range(20)], fit_rows=100)
     assert np.median(scores[:20]) >= toxicity.THRESHOLD > max(scores[20:])
+
+
+def test_few_toxic_rows_among_many(spark):
+    """12 toxic rows among 12,012: a sample of 1,000 at one rate is to hold one of them."""
+    draw = np.random.default_rng(5)
+    docs = [(filled(draw, "zottelig"), 1) for _ in range(12)] + [(filled(draw), 0) for _ in range(12_000)]
+    scores = told(spark, docs, [filled(draw, "zottelig") for _ in range(20)] + [filled(draw) for _ in range(200)], fit_rows=1000)
+    assert min(scores[:20]) >= toxicity.THRESHOLD > max(scores[20:])
