@@ -2,7 +2,7 @@
 
 A text becomes a vector of hashed letter pairs and triples (blanks stand for all that is not a letter), weighted by root frequency and
 inverse document frequency and scaled to length one. Each language has several centroids, found by spherical
-k-means in one task per language on a bounded sample (``per_lang`` texts expected, a documented bound); document frequencies
+k-means in one task per language on a bounded sample (``per_lang`` distinct texts expected, a documented bound); document frequencies
 cover all learning rows. A text gets the language of the centroid with the highest cosine. Texts farther from
 it than nearly all learned texts of that language are marked as rejected.
 
@@ -131,7 +131,9 @@ def cluster(points: np.ndarray, k: int, rounds: int = 12, least: float = 0.1) ->
 def learn(docs: DataFrame, k: int = 4, per_lang: int = 250, reject: float = 0.005) -> tuple[np.ndarray, list[dict]]:
     """Weights, and per centroid its language, direction and the cosine below which texts are rejected."""
     rows = docs.where(learns(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "lang", body(F.col("text")).alias("text"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Texts are drawn once each, so the chance follows the distinct ones. Hashes go, no text is shuffled.
+    marks = rows.select("lang", F.xxhash64("text").alias("mark")).distinct()
+    sizes = {r["lang"]: r["n"] for r in marks.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return np.ones(SIZE, np.float32), []
     weight = document_weights(rows)

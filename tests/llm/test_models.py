@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sqltally.llm import language, toxicity
 from sqltally.llm.queries import QUERIES
@@ -129,3 +130,19 @@ def test_few_toxic_rows_among_many(spark):
     docs = [(filled(draw, "zottelig"), 1) for _ in range(12)] + [(filled(draw), 0) for _ in range(12_000)]
     scores = told(spark, docs, [filled(draw, "zottelig") for _ in range(20)] + [filled(draw) for _ in range(200)], fit_rows=1000)
     assert min(scores[:20]) >= toxicity.THRESHOLD > max(scores[20:])
+
+
+def test_copies_do_not_thin_a_language(spark):
+    """300,000 copies of one text beside 300 others, which are all to be learned from but for the bound."""
+    draw = np.random.default_rng(6)
+    word = lambda letters: "".join(draw.choice(list(letters), 5))
+    texts = {name: [" ".join(word(letters) for _ in range(12)) for _ in range(300)] for name, letters in (("xx", "abcdef"), ("yy", "uvwxyz"))}
+    ids = iter(i for i in range(10**6) if not held(i))
+    rows = spark.createDataFrame([(next(ids), t, name) for name in texts for t in texts[name]], "doc_id bigint, text string, lang string")
+    copies = spark.range(10**6, 14 * 10**5).select(F.col("id").alias("doc_id"), F.lit("uvw uvw").alias("text"), F.lit("yy").alias("lang"))
+    _, model = language.learn(rows.unionByName(copies))
+    centres = np.stack([m["centre"] for m in model if m["lang"] == "yy"])
+    weight = np.ones(language.SIZE, np.float32)
+    assert (language.vectors(language.counts(texts["yy"][:50]), weight) @ centres.T).max(1).min() > 0.2
+    found = language.languages(rows.unionByName(copies)).join(rows.select("doc_id", "lang"), "doc_id").collect()
+    assert all(r.lang_pred == r.lang for r in found)
