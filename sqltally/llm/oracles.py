@@ -76,4 +76,51 @@ SELECT doc_id, size, source_size, target,
 FROM sums
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op8_exact_dedup": OP8, "op10_source_mixing": OP10}
+OP11 = r"""
+WITH worded AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), masked AS (
+  SELECT doc_id, part,
+    [len(words) < 100,
+     100 * len(list_distinct(words)) < 80 * len(words),
+     100 * len(regexp_replace(body, '[^A-Z]', '', 'g')) > 10 * len(body),
+     regexp_matches(body, '[#$%&*|]'),
+     coalesce(doc_id > min(doc_id) OVER (PARTITION BY body), false)] AS fails
+  FROM worded
+), told AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), counted AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM masked LEFT JOIN told USING (doc_id) GROUP BY part, fails
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS name, unnest([1, 2, 3, 4, 5]) AS place
+), orders AS (
+  SELECT [a.place, b.place, c.place, d.place, e.place] AS filters, a.name || b.name || c.name || d.name || e.name AS filter_order
+  FROM letters a JOIN letters b ON b.place <> a.place JOIN letters c ON c.place NOT IN (a.place, b.place)
+  JOIN letters d ON d.place NOT IN (a.place, b.place, c.place) JOIN letters e ON e.place NOT IN (a.place, b.place, c.place, d.place)
+), steps AS (
+  SELECT filters, filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM orders
+), judged AS (
+  SELECT part, filter_order, step, filters[step] AS own, n, good, toxic,
+    fails[filters[step]] AS failed,
+    len(list_filter(filters[:step - 1], lambda f: fails[f])) > 0 AS gone,
+    len(list_filter(fails, lambda f: f)) AS n_fails
+  FROM counted, steps
+), reported AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (NOT failed AND NOT gone), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (failed AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (failed AND gone), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (failed AND n_fails = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (failed AND NOT gone), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (failed AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM judged GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM reported
+"""
+
+ORACLES = {"op1_line_dedup": OP1, "op8_exact_dedup": OP8, "op10_source_mixing": OP10, "op11_filter_audit": OP11}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sqltally.llm import chat, exact_dedup, language, line_dedup, mixing, packing, quality_rules, simhash, substring_dedup, toxicity
+from sqltally.llm import chat, exact_dedup, filter_audit, language, line_dedup, mixing, packing, quality_rules, simhash, substring_dedup, toxicity
 from sqltally.llm.words import table
 
 
@@ -56,6 +56,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masked = filter_audit.failures(table(spark, sf_dir, "documents"))
+    return filter_audit.audit(masked, table(spark, sf_dir, "labels"), filter_audit.NAMES)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -67,4 +72,5 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_source_mixing": op10_source_mixing,
+    "op11_filter_audit": op11_filter_audit,
 }
