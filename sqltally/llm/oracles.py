@@ -123,4 +123,19 @@ SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_f
 FROM reported
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op8_exact_dedup": OP8, "op10_source_mixing": OP10, "op11_filter_audit": OP11}
+OP13 = """
+WITH paid AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex,
+    row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST) AS place,
+    first_value(page_id) OVER (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST) AS first_id
+  FROM pages
+)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (5 * (3 - i % 4))::BIGINT) & 31), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN place > 1 THEN first_id END AS refers_to
+FROM paid
+"""
+
+ORACLES = {"op1_line_dedup": OP1, "op8_exact_dedup": OP8, "op10_source_mixing": OP10, "op11_filter_audit": OP11, "op13_warc": OP13}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sqltally.llm import chat, exact_dedup, filter_audit, language, line_dedup, mixing, packing, quality_rules, simhash, substring_dedup, toxicity
+from sqltally.llm import chat, exact_dedup, filter_audit, language, line_dedup, mixing, packing, quality_rules, simhash, substring_dedup, toxicity, warc
 from sqltally.llm.words import table
 
 
@@ -61,6 +61,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(masked, table(spark, sf_dir, "labels"), filter_audit.NAMES)
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -73,4 +77,5 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_source_mixing": op10_source_mixing,
     "op11_filter_audit": op11_filter_audit,
+    "op13_warc": op13_warc,
 }
