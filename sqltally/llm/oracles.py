@@ -138,4 +138,44 @@ SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
 FROM paid
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op8_exact_dedup": OP8, "op10_source_mixing": OP10, "op11_filter_audit": OP11, "op13_warc": OP13}
+# The head of a conversation follows the CRC-32 of its id's digits, bit by bit.
+OP12 = """
+WITH ranked AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+    sha256(len(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS source,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda x, i: xor(x >> 1::BIGINT, 3988292384::BIGINT * (x & 1::BIGINT)))), 4294967295::BIGINT) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM ranked)
+), rebuilt AS (
+  SELECT i.conv_id, 0 AS own, r.pos, r.role, r.text FROM ids i JOIN ranked r ON r.conv_id = i.source AND r.pos <= i.h
+  UNION ALL
+  SELECT i.conv_id, 1, r.pos, r.role, r.text FROM ids i JOIN ranked r ON r.conv_id = i.conv_id AND r.pos > i.h
+), sequences AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY own, pos) AS s FROM rebuilt GROUP BY conv_id
+), members AS (
+  SELECT conv_id, len(s) AS n, unnest(range(len(s) + 1)) AS depth, s
+  FROM (SELECT i.conv_id, coalesce(s, []) AS s FROM ids i LEFT JOIN sequences q ON q.conv_id = i.conv_id)
+), nodes AS (
+  SELECT s[:depth] AS p, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM members GROUP BY s[:depth], depth
+), weighed AS (
+  SELECT c.*, u.conv_id AS parent_conv_id, count(k.p) AS n_children,
+    CASE WHEN c.depth > 0 THEN (c.n_convs - 1) * len(c.p[-1].text) ELSE 0 END AS saved
+  FROM nodes c LEFT JOIN nodes u ON u.depth = c.depth - 1 AND u.p = c.p[:c.depth - 1]
+  LEFT JOIN nodes k ON k.depth = c.depth + 1 AND k.p[:c.depth] = c.p
+  GROUP BY ALL
+), above AS (
+  SELECT p[:up] AS p, up AS depth, saved, n_children = 0 AS leaf FROM (SELECT *, unnest(range(depth + 1)) AS up FROM weighed)
+), subtrees AS (
+  SELECT p, depth, sum(saved) AS saved_tokens, count(*) FILTER (leaf) AS n_leaves FROM above GROUP BY p, depth
+)
+SELECT conv_id, w.depth::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM weighed w JOIN subtrees t ON t.p = w.p AND t.depth = w.depth
+"""
+
+ORACLES = {"op1_line_dedup": OP1, "op8_exact_dedup": OP8, "op10_source_mixing": OP10, "op11_filter_audit": OP11, "op12_prefix_trie": OP12, "op13_warc": OP13}

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sqltally.llm import chat, exact_dedup, filter_audit, language, line_dedup, mixing, packing, quality_rules, simhash, substring_dedup, toxicity, warc
+from sqltally.llm import chat, exact_dedup, filter_audit, language, line_dedup, mixing, packing, prefix_trie, quality_rules, simhash, substring_dedup, toxicity, warc
 from sqltally.llm.words import table
 
 
@@ -61,6 +62,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(masked, table(spark, sf_dir, "labels"), filter_audit.NAMES)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations rebuilt so that a hundred may share their first turns."""
+    turns = prefix_trie.turn_rows(table(spark, sf_dir, "conversations"))
+    conv_id = F.col("conv_id")
+    head = F.crc32(conv_id.cast("string").cast("binary")) % 6
+    return prefix_trie.trie(*prefix_trie.spliced(turns, conv_id - conv_id % 100, head))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
@@ -77,5 +86,6 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_source_mixing": op10_source_mixing,
     "op11_filter_audit": op11_filter_audit,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_warc": op13_warc,
 }
