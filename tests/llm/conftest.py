@@ -34,6 +34,6 @@ def odd_docs(spark, odd_rows):
 @pytest.fixture(scope="session")
 def engine(sf):
     connection = duckdb.connect()
-    for name in ("documents", "labels", "conversations"):
+    for name in ("documents", "labels", "conversations", "pages"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     return connection

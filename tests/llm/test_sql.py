@@ -25,4 +25,4 @@ def test_query(spark, sf, engine, name):
 
 def test_every_query_is_registered():
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
