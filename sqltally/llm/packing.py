@@ -1,7 +1,7 @@
 """Packing whole documents into token sequences of a fixed length, by linear grouping.
 
-Documents are tokenised in Python tasks; words seen before come from a bounded table of the worker, which lives as long as
-the worker. Only documents longer than a sequence are cut. The lengths' histogram (one count per length, so at most
+Documents are tokenised in Python tasks, the distinct words of many texts at once; words seen before come from a bounded table of the
+worker, which lives as long as the worker. Only documents longer than a sequence are cut. The lengths' histogram (one count per length, so at most
 the capacity's number of rows) is planned on the driver, see ``bin_plans``; every piece then finds its sequence and offset from its
 rank among the pieces of its length. Ranks come from blocks of a hash, so a length that a third of all pieces share
 is ranked by many tasks.
@@ -19,6 +19,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,16 +29,16 @@ from sqltally.llm.words import body
 from sqltally.operators.running import rank_rows
 from sqltally.session import kept
 
-#: Chunks and pieces of text that a worker remembers, each.
-REMEMBERED = 400_000
+#: Chunks and pieces of text that a worker remembers, each; bytes of texts that are encoded together.
+REMEMBERED, TOGETHER = 700_000, 8 << 20
 #: Chunks of printable ASCII and Latin-1 letters fall apart into pieces that are encoded each for itself. An
 #: apostrophe is left out: it may start a contraction.
 SIMPLE = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
-PIECE = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+PIECE = re.compile("[a-zß-öø-ÿ]+|[0-9]|\n|[^a-z0-9ß-öø-ÿ\n]+")
 
 
 class WordTokenizer:
-    """Ids of a tokenizer that lower-cases, splits at white space and marks the ends of words, as bytes of unsigned 32-bit numbers."""
+    """Ids of a tokenizer that lower-cases, splits at white space and marks the ends of words, as unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -48,7 +49,7 @@ class WordTokenizer:
         for word, i in vocabulary.items():
             self.ends[i] = word.endswith("</w>")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.chunks: dict[str, bytes] = {"": b""}
+        self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _one(self, text: str) -> bytes:
@@ -64,25 +65,67 @@ class WordTokenizer:
         raw, stops = ids.tobytes(), stops.tolist()
         return [raw[a:b] for a, b in zip([0, *stops[:-1]], stops)]
 
-    def encode(self, text: str) -> bytes:
-        if any(t in text for t in self.added):
-            return self._one(text)
-        chunks = text.replace("\n", " ").split(" ")
-        new = set(chunks).difference(self.chunks)
+    def _learn(self, new: list[str]) -> None:
+        """Remember the ids of chunks."""
+        simple, other = [], []
+        for c in new:
+            (simple if SIMPLE.fullmatch(c) else other).append(c)
+        for c in other:
+            self.chunks[c] = self._one(c)
+        found = PIECE.findall("\n".join(simple).lower())
+        wanted = set(found) - {"\n"}
+        if len(self.pieces) + len(wanted) > REMEMBERED:
+            self.pieces = {}
+        unknown = list(wanted.difference(self.pieces))
+        if unknown:
+            self.pieces.update(zip(unknown, self._many(unknown)))
+        at = 0
+        for c in simple:
+            stop = found.index("\n", at) if c is not simple[-1] else len(found)
+            self.chunks[c] = b"".join([self.pieces[p] for p in found[at:stop]])
+            at = stop + 1
+
+    def _known(self, chunks: list[str]) -> list[bytes]:
+        new = [c for c in chunks if c not in self.chunks]
+        if len(self.chunks) + len(new) > REMEMBERED:
+            self.chunks, new = {}, chunks
         if new:
-            if len(self.chunks) + len(new) > REMEMBERED:
-                self.chunks = {"": b""}
-                new = set(chunks) - {""}
-            cut = {c: PIECE.findall(c.lower()) for c in new if SIMPLE.fullmatch(c)}
-            unknown = list({p for pieces in cut.values() for p in pieces}.difference(self.pieces))
-            if len(self.pieces) + len(unknown) > REMEMBERED:
-                self.pieces = {}
-                unknown = list({p for pieces in cut.values() for p in pieces})
-            if unknown:
-                self.pieces.update(zip(unknown, self._many(unknown)))
-            for c in new:
-                self.chunks[c] = b"".join([self.pieces[p] for p in cut[c]]) if c in cut else self._one(c)
-        return b"".join([self.chunks[c] for c in chunks])
+            self._learn(new)
+        return [self.chunks[c] for c in chunks]
+
+    def encode_all(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, each followed by ``end``, and where each text's begin and the last one's end.
+
+        A text's chunks are looked up once for all texts together; a text that spells a control token is encoded whole.
+        """
+        odd = {i for t in self.added for i in np.flatnonzero(pc.match_substring(texts, t).to_numpy(zero_copy_only=False)).tolist()}
+        if odd:
+            mask = np.zeros(len(texts), bool)
+            mask[list(odd)] = True
+            plain = pc.if_else(pa.array(mask), "", texts)
+        else:
+            plain = texts
+        lists = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        # Behind the chunks' ids lie the end and the texts that were encoded whole.
+        whole = sorted(odd)
+        parts = [*self._known(coded.dictionary.to_pylist()), end, *[self._one(texts[i].as_py()) for i in whole]]
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        first = np.cumsum(sizes) - sizes
+        stops = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+        picked = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        last = len(parts) - len(whole) - 1
+        picked = np.insert(picked, np.concatenate([stops[whole], stops]), [*range(last + 1, len(parts)), *[last] * len(texts)])
+        lengths = sizes[picked]
+        ahead = np.cumsum(lengths)
+        places = np.arange(ahead[-1] if len(ahead) else 0) + np.repeat(first[picked] - ahead + lengths, lengths)
+        # A text's items are its chunks, itself if it is encoded whole, and the end.
+        items = stops + np.cumsum(np.isin(np.arange(len(texts)), whole)) + np.arange(1, len(texts) + 1)
+        return ids[places], np.concatenate([[0], ahead[items - 1]]).astype(np.int64)
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all(pa.array([text], pa.string()))[0].tobytes()
 
 
 @cache
@@ -103,17 +146,23 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
         tokenizer = word_tokenizer(path)
         for batch in batches:
             origin, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(batch.column("text")):
-                raw = tokenizer.encode(text.as_py()) + end
-                for k, at in enumerate(range(0, len(raw), width)):
-                    part = raw[at : at + width]
-                    origin.append(i)
-                    piece.append(k)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    if with_ids:
-                        ids.append(np.frombuffer(part, "<u4").astype(np.int32))
+            texts = batch.column("text")
+            sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+            groups = np.searchsorted(sizes // TOGETHER, np.unique(sizes // TOGETHER), "left").tolist()
+            for a, b in zip(groups, [*groups[1:], len(texts)]):
+                ids_of, bounds = tokenizer.encode_all(texts.slice(a, b - a), end)
+                raw = memoryview(ids_of.tobytes())
+                bounds = (4 * bounds).tolist()
+                for i, (begin, stop) in enumerate(zip(bounds, bounds[1:]), a):
+                    for k, at in enumerate(range(begin, stop, width)):
+                        part = raw[at : min(at + width, stop)]
+                        origin.append(i)
+                        piece.append(k)
+                        start.append((at - begin) // 4)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
+                        if with_ids:
+                            ids.append(np.frombuffer(part, "<u4").astype(np.int32))
             columns = [batch.column("doc_id").take(pa.array(origin, pa.int64())), pa.array(piece, pa.int32()),
                        pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             if with_ids:

@@ -2,6 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -68,6 +69,23 @@ def test_forgetting_changes_nothing(monkeypatch):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == expected
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(max_size=30) | st.text("aZ é'1. \n\t<|>", max_size=30) | st.just("x <|endoftext|> y"), max_size=8))
+def test_tokens_of_many_texts(texts):
+    plain = Tokenizer.from_file(PATH)
+    ids, bounds = packing.word_tokenizer(PATH).encode_all(pa.array(texts, pa.string()), np.array([0], "<u4").tobytes())
+    found = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+    assert found == [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+
+
+def test_long_texts(spark, monkeypatch):
+    """One word of a megabyte, one text of a million words, and texts that are not encoded together."""
+    monkeypatch.setattr(packing, "TOGETHER", 1 << 10)
+    rows = [(1, "ab" * 500_000), (2, " ".join(f"w{i % 5000}" for i in range(1_000_000))), (3, "one two"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    check_packed(rows, packing.pack(docs, PATH).collect(), 2048)
+
+
 def check_packed(docs, rows, capacity):
     """Every document's ids come back from its pieces, and sequences are filled without gaps or overlaps."""
     plain = Tokenizer.from_file(PATH)
