@@ -1,7 +1,7 @@
 """Packing whole documents into token sequences of a fixed length, by linear grouping.
 
-Documents are tokenised in Python tasks, the distinct words of many texts at once; words seen before come from a bounded table of the
-worker, which lives as long as the worker. Only documents longer than a sequence are cut. The lengths' histogram (one count per length, so at most
+Documents are tokenised in Python tasks, the distinct words of many texts at once; words seen before come from a bounded table,
+which lives as long as the task. Only documents longer than a sequence are cut. The lengths' histogram (one count per length, so at most
 the capacity's number of rows) is planned on the driver, see ``bin_plans``; every piece then finds its sequence and offset from its
 rank among the pieces of its length. Ranks come from blocks of a hash, so a length that a third of all pieces share
 is ranked by many tasks.
@@ -29,8 +29,8 @@ from sqltally.llm.words import body
 from sqltally.operators.running import rank_rows
 from sqltally.session import kept
 
-#: Chunks and pieces of text that a worker remembers, each; bytes of texts that are encoded together.
-REMEMBERED, TOGETHER = 700_000, 8 << 20
+#: Pieces of text that a worker remembers, and those in one call of the tokenizer; bytes of texts that are encoded together.
+REMEMBERED, AT_ONCE, TOGETHER = 400_000, 1 << 13, 8 << 20
 #: Chunks of printable ASCII and Latin-1 letters fall apart into pieces that are encoded each for itself. An
 #: apostrophe is left out: it may start a contraction.
 SIMPLE = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
@@ -49,7 +49,6 @@ class WordTokenizer:
         for word, i in vocabulary.items():
             self.ends[i] = word.endswith("</w>")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _one(self, text: str) -> bytes:
@@ -65,33 +64,29 @@ class WordTokenizer:
         raw, stops = ids.tobytes(), stops.tolist()
         return [raw[a:b] for a, b in zip([0, *stops[:-1]], stops)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Remember the ids of chunks."""
-        simple, other = [], []
-        for c in new:
-            (simple if SIMPLE.fullmatch(c) else other).append(c)
-        for c in other:
-            self.chunks[c] = self._one(c)
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each of some different chunks."""
+        simple, made = [], {}
+        for c in chunks:
+            if SIMPLE.fullmatch(c):
+                simple.append(c)
+            elif c:
+                made[c] = self._one(c)
         found = PIECE.findall("\n".join(simple).lower())
         wanted = set(found) - {"\n"}
-        if len(self.pieces) + len(wanted) > REMEMBERED:
-            self.pieces = {}
         unknown = list(wanted.difference(self.pieces))
-        if unknown:
-            self.pieces.update(zip(unknown, self._many(unknown)))
+        if len(self.pieces) + len(unknown) > REMEMBERED:
+            self.pieces, unknown = {}, list(wanted)
+        for start in range(0, len(unknown), AT_ONCE):
+            part = unknown[start : start + AT_ONCE]
+            self.pieces.update(zip(part, self._many(part)))
         at = 0
         for c in simple:
             stop = found.index("\n", at) if c is not simple[-1] else len(found)
-            self.chunks[c] = b"".join([self.pieces[p] for p in found[at:stop]])
+            made[c] = self.pieces[found[at]] if stop == at + 1 else b"".join([self.pieces[p] for p in found[at:stop]])
             at = stop + 1
-
-    def _known(self, chunks: list[str]) -> list[bytes]:
-        new = [c for c in chunks if c not in self.chunks]
-        if len(self.chunks) + len(new) > REMEMBERED:
-            self.chunks, new = {}, chunks
-        if new:
-            self._learn(new)
-        return [self.chunks[c] for c in chunks]
+        made[""] = b""
+        return [made[c] for c in chunks]
 
     def encode_all(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each followed by ``end``, and where each text's begin and the last one's end.
@@ -109,7 +104,7 @@ class WordTokenizer:
         coded = lists.flatten().dictionary_encode()
         # Behind the chunks' ids lie the end and the texts that were encoded whole.
         whole = sorted(odd)
-        parts = [*self._known(coded.dictionary.to_pylist()), end, *[self._one(texts[i].as_py()) for i in whole]]
+        parts = [*self._ids(coded.dictionary.to_pylist()), end, *[self._one(texts[i].as_py()) for i in whole]]
         ids = np.frombuffer(b"".join(parts), "<u4")
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         first = np.cumsum(sizes) - sizes
@@ -168,6 +163,9 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
             if with_ids:
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
+        # The worker lives on, perhaps idle: what the task learned would take memory from others.
+        tokenizer.pieces = {}
+        pa.default_memory_pool().release_unused()
 
     return slim.mapInArrow(run, T.StructType(fields))
 
