@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 BLOCK = 1 << 16
 
 
@@ -58,6 +60,23 @@ def running(
     return joined.withColumns(results).select(*df.columns, *[n for n in totals if n not in df.columns])
 
 
+def totals_before(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over all rows before each row in the order of some columns, unique together.
+
+    The rows are sorted over many tasks and written; only one total per task is scanned in order.
+    """
+    placed = df.orderBy(*order).withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    placed = kept(placed, "ordered")
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_range").agg(F.sum(value).alias("_total")).select(
+        F.col("_range").alias("_of"), F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before")
+    )
+    inside = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    summed = placed.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    joined = summed.join(totals, F.col("_range") == F.col("_of"))
+    return joined.select(*df.columns, (F.col("_before") + F.col("_inside")).alias(name))
+
+
 def carried(df: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
     """Add ``name``: the last non-null ``value`` strictly before each row in ``order``, per ``keys``.
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .json_arrays import read_objects
+
 # File (or folder of part files) of each split, the optional second part of train last.
 SPLIT_FILES: Mapping[str, Sequence[str]] = {
     "train": ("train.json", "train_others.json"),
@@ -15,6 +17,7 @@ SPLIT_FILES: Mapping[str, Sequence[str]] = {
     "test": ("test.json",),
 }
 
+EXAMPLE = ["idx", "db_id", "question", "gold_sql", "split"]
 RECORD = "db_id string, question string, query string, sql string"
 
 
@@ -29,24 +32,11 @@ def path_exists(spark: SparkSession, path: str, source: str = "text") -> bool:
 def read_json_arrays(spark: SparkSession, paths: Sequence[str], record: str = RECORD) -> DataFrame:
     """Elements of JSON-array files with a dense ``idx`` in reading order.
 
-    A path is one file or a folder of part files, read in name order; each file is one task. Only
-    ``(file, length)`` pairs are brought into order to number the rows.
+    A path is one file or a folder of part files, read in name order. Files are read in splits and parsed object by
+    object, so a file may be larger than the memory of a task.
     """
-    files = None
-    for part, path in enumerate(paths):
-        found = (
-            spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-            .select(F.lit(part).alias("part"), F.col("_metadata.file_path").alias("file"), "value")
-        )
-        files = found if files is None else files.union(found)
-    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = files.select("part", "file", F.json_array_length("value").cast("bigint").alias("n")).select(
-        "part", "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
-    )
-    rows = files.select(
-        "part", "file", F.posexplode(F.from_json("value", f"array<struct<{record}>>")).alias("pos", "row")
-    )
-    return rows.join(offsets, ["part", "file"]).select((F.col("pos") + F.col("offset")).alias("idx"), "part", "row.*")
+    rows = read_objects(spark, paths).select("idx", "part", F.from_json("text", f"struct<{record}>").alias("row"))
+    return rows.select("idx", "part", "row.*")
 
 
 def read_split(
@@ -75,10 +65,10 @@ def append_rows(first: DataFrame, second: DataFrame) -> DataFrame:
 def read_filtered_or_raw(
     spark: SparkSession, filtered_path: str | None, data_dir: str, split: str = "train", **options
 ) -> DataFrame:
-    """The filtered corpus when it is configured and present, else the raw split."""
+    """The filtered corpus when it is configured and present, else the raw split; ``EXAMPLE`` columns either way."""
     if filtered_path and path_exists(spark, filtered_path, "parquet"):
-        return spark.read.parquet(filtered_path)
-    return read_split(spark, split, data_dir, **options)
+        return spark.read.parquet(filtered_path).select(*EXAMPLE)
+    return read_split(spark, split, data_dir, **options).select(*EXAMPLE)
 
 
 PREDICTION = (
@@ -90,16 +80,12 @@ PREDICTION = (
 def read_predictions(spark: SparkSession, path: str, record: str = PREDICTION, lines: bool = False) -> DataFrame:
     """Prediction records from JSON: an object with ``predictions``, or a bare list.
 
-    Each file is one document and one task. ``lines=True`` reads one record per line instead, which
-    splits inside files.
+    Files are read in splits, see ``json_arrays``. ``lines=True`` reads one record per line instead.
     """
     if lines:
         return spark.read.schema(record).json(path)
-    documents = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    listed = F.from_json("value", f"array<struct<{record}>>")
-    wrapped = F.from_json("value", f"predictions array<struct<{record}>>")["predictions"]
-    is_list = F.startswith(F.btrim("value", F.lit(" \t\n\r﻿")), F.lit("["))
-    return documents.select(F.explode(F.when(is_list, listed).otherwise(wrapped)).alias("p")).select("p.*")
+    objects = read_objects(spark, [path], key="predictions")
+    return objects.select(F.from_json("text", f"struct<{record}>").alias("p")).select("p.*")
 
 
 def write_filtered(df: DataFrame, path: str, results: DataFrame | None = None) -> None:
