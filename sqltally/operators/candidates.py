@@ -14,9 +14,10 @@ from __future__ import annotations
 import functools
 import re
 import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator, Mapping
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from itertools import islice
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions import text as X
-from ..session import work_dir
+from ..session import kept, work_dir
 
 # Read-only by grammar, yet able to reach past the data: they call any JVM method.
 FORBIDDEN = re.compile(r"\b(reflect|java_method|try_reflect)\b`?\s*\(", re.IGNORECASE)
@@ -58,6 +59,12 @@ OUTCOME = T.StructType(
 PARTITION_BITS = 33
 
 
+#: Outcomes that are written together, about.
+OUTCOMES_A_FILE = 8192
+#: Seconds between two looks at a running candidate; limits that it may wait for others before it is given up.
+CLOCK, WAITS = 0.1, 10
+
+
 class TimeLimitExceeded(Exception):
     pass
 
@@ -80,8 +87,8 @@ class Sandbox:
     databases: Mapping[str, Mapping[str, str | DataFrame]]
     time_limit: float = fixed.TIME_LIMIT_SECONDS
     batch_size: int = 16
-    parallel_batches: int = 8
-    wave_size: int = 2048
+    parallel_batches: int = 16
+    wave_size: int = 512
     # Rows per partition, and partitions, up to which a result is also hashed row by row.
     small_rows: int = 2048
     small_parts: int = 64
@@ -158,32 +165,70 @@ def first_line(error: BaseException) -> str:
     return lines[0] if lines else type(error).__name__
 
 
+def _waiting(spark: SparkSession, group: str) -> bool:
+    """Do the jobs of a group only wait for others: some run, and none of their tasks does?"""
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [job for i in tracker.getJobIdsForGroup(group) if (job := tracker.getJobInfo(i)) and job.status == "RUNNING"]
+    stages = [tracker.getStageInfo(s) for job in jobs for s in job.stageIds]
+    return bool(jobs) and not any(stage is not None and stage.numActiveTasks for stage in stages)
+
+
+@contextmanager
+def _own_jobs(spark: SparkSession, group: str, pool: str) -> Iterator[None]:
+    """Spark jobs of this thread run in a group and a scheduler pool of their own."""
+    sc = spark.sparkContext
+    names = {"spark.jobGroup.id": group, "spark.scheduler.pool": pool}
+    before = {name: sc.getLocalProperty(name) for name in names}
+    try:
+        for name, value in names.items():
+            sc.setLocalProperty(name, value)
+        sc.addJobTag(group)
+        yield
+    finally:
+        sc.removeJobTag(group)
+        for name, value in before.items():
+            sc.setLocalProperty(name, value)
+
+
 def within(spark: SparkSession, seconds: float | None, action: Callable[[], object]):
-    """Run an action in this thread; cancel its Spark jobs and raise once the time is up."""
+    """Run an action in this thread; cancel its Spark jobs and raise once its time is up.
+
+    Only time counts in which its own tasks run, or the driver works for it: what waits for the tasks of others is not late, but for
+    ``WAITS`` limits at most. (A cancelled task ends where it next looks; inside the loops of a product that may be long.)
+    Under ``spark.scheduler.mode=FAIR`` actions of several threads run side by side, each from a pool of its own.
+    """
     if seconds is None:
         return action()
     sc = spark.sparkContext
-    tag = f"candidates-{uuid.uuid4().hex}"
+    group = f"candidates-{uuid.uuid4().hex}"
     finished, expired = threading.Event(), threading.Event()
 
     def watch():
-        if not finished.wait(seconds):
-            expired.set()
-            # A job may start just after a cancellation: repeat until the action returns.
-            while not finished.wait(0.1):
-                sc.cancelJobsWithTag(tag)
-
-    sc.addJobTag(tag)
-    threading.Thread(target=watch, daemon=True).start()
-    try:
-        result = action()
-    except Exception as error:
-        if expired.is_set():
-            raise TimeLimitExceeded from error
-        raise
-    finally:
-        finished.set()
-        sc.removeJobTag(tag)
+        used, start = 0.0, time.monotonic()
+        last = start
+        while not expired.is_set():
+            if finished.wait(CLOCK):
+                return
+            now = time.monotonic()
+            if not _waiting(spark, group):
+                used += now - last
+            last = now
+            if used > seconds or now - start > WAITS * seconds:
+                expired.set()
+        # A job may start just after a cancellation: repeat until the action returns.
+        while not finished.wait(CLOCK):
+            sc.cancelJobsWithTag(group)
+
+    with _own_jobs(spark, group, f"candidates-{threading.get_ident()}"):
+        threading.Thread(target=watch, daemon=True).start()
+        try:
+            result = action()
+        except Exception as error:
+            if expired.is_set():
+                raise TimeLimitExceeded from error
+            raise
+        finally:
+            finished.set()
     if expired.is_set():
         raise TimeLimitExceeded
     return result
@@ -292,7 +337,22 @@ def _same_plans(analysed: list[tuple[str, DataFrame, int]]) -> dict[str, str]:
     return first
 
 
-def _run_wave(box: Sandbox, wave: list, run: Callable[[list], dict[str, tuple]]) -> list[tuple]:
+@dataclass
+class Wave:
+    """Texts that were analysed together: outcomes of those that do not run, and batches of plans for the others."""
+
+    rows: list
+    outcomes: dict[str, tuple]
+    first: dict[str, str]
+    batches: list[list[tuple[str, DataFrame]]]
+
+    def told(self) -> list[tuple]:
+        text_of = {row["key"]: (row["db_id"], row["sql"]) for row in self.rows}
+        found = ((key, self.first.get(key, key)) for key in text_of)
+        return [(key, *text_of[key], *self.outcomes[twin], twin) for key, twin in found]
+
+
+def _analyse(box: Sandbox, rows: list, pool: ThreadPoolExecutor) -> Wave:
     def analyse(row):
         if not row["sql"].strip(X.BLANKS):
             return row, None, fixed.EMPTY_SQL
@@ -305,58 +365,56 @@ def _run_wave(box: Sandbox, wave: list, run: Callable[[list], dict[str, tuple]])
 
     outcomes: dict[str, tuple] = {}
     by_db: dict[str, list] = {}
-    with _no_analysis_log():
-        analysed_rows = _spread(box.spark, box.parallel_batches, analyse, wave)
-    for row, found, error in analysed_rows:
+    for row, found, error in pool.map(inheritable_thread_target(box.spark)(analyse), rows):
         if found is None:
             outcomes[row["key"]] = _failed("error", error)
         else:
             by_db.setdefault(row["db_id"], []).append((row["key"], *found))
     first = {key: twin for analysed in by_db.values() for key, twin in _same_plans(analysed).items()}
-
     batches = []
     for analysed in by_db.values():
         plans = [(key, plan) for key, plan, _ in analysed if first[key] == key]
         batches += [plans[i : i + box.batch_size] for i in range(0, len(plans), box.batch_size)]
+    return Wave(rows, outcomes, first, batches)
 
-    def attempt(batch):
-        # A batch within the limit of one candidate proves that each member is.
-        try:
-            return batch, within(box.spark, box.time_limit, lambda: run(batch))
-        except Exception:  # one member failed or ran too long; found out below, one by one
-            return batch, None
 
-    suspects = []
-    for batch, found in _spread(box.spark, box.parallel_batches, attempt, batches):
-        if found is None:
-            suspects.extend(batch)
-        else:
-            outcomes.update({key: _ran(result) for key, result in found.items()})
-    def alone(member):
-        try:
-            return member, _ran(within(box.spark, box.time_limit, lambda: run([member]))[member[0]])
-        except TimeLimitExceeded:
-            return member, None
-        except Exception as error:
-            return member, _failed("error", first_line(error))
-
-    # Side by side first: whoever ends within the limit, or fails, is done. Those that do not may have been starved
-    # by a runaway text, so they run once more, one at a time.
-    late = []
-    for member, result in _spread(box.spark, box.parallel_batches, alone, suspects):
-        if result is None:
-            late.append(member)
-        else:
-            outcomes[member[0]] = result
-    for key, plan in late:
+def _ahead(items: Iterator, made: Callable, spark: SparkSession) -> Iterator:
+    """``made(item)`` for all items in their order, one item ahead of the caller."""
+    with ThreadPoolExecutor(max_workers=1) as one:
+        step = inheritable_thread_target(spark)(lambda: made(item) if (item := next(items, None)) is not None else None)
+        coming = one.submit(step)
+        while (now := coming.result()) is not None:
+            coming = one.submit(step)
+            yield now
+
+
+def _execute(box: Sandbox, wave: Wave, run: Callable[[list], dict[str, tuple]]) -> None:
+    """Run a wave's batches side by side and put the outcomes into it.
+
+    A batch that ends within the limit of one candidate proves that each member does. One that fails is run again in halves. The
+    members of one that is late run again each for itself, so late texts of many batches use up their time together.
+    """
+
+    def attempt(batch):
         try:
-            outcomes[key] = _ran(within(box.spark, box.time_limit, lambda: run([(key, plan)]))[key])
+            return {key: _ran(result) for key, result in within(box.spark, box.time_limit, lambda: run(batch)).items()}, []
         except TimeLimitExceeded:
-            outcomes[key] = _failed("timeout", fixed.TIMEOUT)
-        except Exception as error:
-            outcomes[key] = _failed("error", first_line(error))
-    keys = [row["key"] for row in wave]
-    return [(key, *outcomes[first.get(key, key)], first.get(key, key)) for key in keys]
+            if len(batch) == 1:
+                return {batch[0][0]: _failed("timeout", fixed.TIMEOUT)}, []
+            return {}, [[member] for member in batch]
+        except Exception as error:  # one member failed, and nothing tells which
+            if len(batch) == 1:
+                return {batch[0][0]: _failed("error", first_line(error))}, []
+            half = len(batch) // 2
+            return {}, [batch[:half], batch[half:]]
+
+    with ThreadPoolExecutor(max_workers=box.parallel_batches) as pool:
+        waiting = {pool.submit(inheritable_thread_target(box.spark)(attempt), batch) for batch in wave.batches}
+        while waiting:
+            done, waiting = wait(waiting, return_when=FIRST_COMPLETED)
+            for found, again in (f.result() for f in done):
+                wave.outcomes.update(found)
+                waiting |= {pool.submit(inheritable_thread_target(box.spark)(attempt), batch) for batch in again}
 
 
 def distinct_texts(texts: DataFrame) -> DataFrame:
@@ -386,8 +444,8 @@ def _run(box: Sandbox, texts: DataFrame, run: Callable[[list], dict[str, tuple]]
 
     Returns ``key, db_id, sql, status, error, n_rows, digest, bag, seq, plan`` with status ``ok``,
     ``empty``, ``error`` or ``timeout``; ``plan`` is the key of the text that was run for it. Texts
-    reach the driver in waves; results never do. Outcomes are kept in the shared working folder, so
-    a lost executor repeats no candidate.
+    reach the driver in waves, of which one is analysed while the one before it runs; results never do. Outcomes are kept in
+    the shared working folder, some thousands in a file, so a lost executor repeats no candidate.
     """
     spark = box.spark
     schema = T.StructType(
@@ -395,14 +453,20 @@ def _run(box: Sandbox, texts: DataFrame, run: Callable[[list], dict[str, tuple]]
         + [T.StructField("db_id", T.StringType()), T.StructField("sql", T.StringType())]
         + OUTCOME.fields[1:]
     )
-    path = work_dir(spark, "outcomes")
-    written = False
-    for wave in _waves(distinct_texts(texts).toLocalIterator(prefetchPartitions=True), box.wave_size):
-        text_of = {row["key"]: (row["db_id"], row["sql"]) for row in wave}
-        rows = [(o[0], *text_of[o[0]], *o[1:]) for o in _run_wave(box, wave, run)]
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
-        written = True
-    return spark.read.schema(schema).parquet(path) if written else spark.createDataFrame([], schema)
+    path, told, written = work_dir(spark, "outcomes"), [], False
+    waves = _waves(distinct_texts(texts).toLocalIterator(prefetchPartitions=True), box.wave_size)
+    with _no_analysis_log(), ThreadPoolExecutor(max_workers=box.parallel_batches) as pool:
+        for wave in _ahead(waves, lambda rows: _analyse(box, rows, pool), spark):
+            _execute(box, wave, run)
+            told += wave.told()
+            if len(told) >= OUTCOMES_A_FILE:
+                spark.createDataFrame(told, schema).coalesce(1).write.mode("append").parquet(path)
+                told, written = [], True
+    if not written:
+        return kept(spark.createDataFrame(told, schema).coalesce(1), "outcomes") if told else spark.createDataFrame([], schema)
+    if told:
+        spark.createDataFrame(told, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 ROWS = "key string, part bigint, at bigint, r array<string>"

@@ -1,8 +1,10 @@
 """Candidate execution and comparison on a small database."""
 
+import threading
 import time
 
 import pytest
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from sqltally.operators import candidates as C
@@ -98,6 +100,39 @@ def test_time_limit(spark, sf):
     assert found["SELECT * FROM region"]["status"] == "ok"
 
 
+def test_many_late_texts_use_up_their_time_together(spark, sf):
+    """Sixteen texts without end, one in each batch: about two limits in all, and their neighbours end as ever."""
+    tables = {"w": {"region": f"{sf}/region.parquet"}}
+    slow = "SELECT count(*) FROM range(0, 100000000000000, 1, 1) WHERE id % 7 = {}"
+    box = C.Sandbox(spark, tables, time_limit=6.0, batch_size=2, parallel_batches=32)
+    texts = [t for n in range(16) for t in (slow.format(n), f"SELECT r_name FROM region WHERE r_regionkey <> {n}")]
+    rows = spark.createDataFrame([("w", t) for t in texts], "db_id string, sql string").coalesce(1)
+    start = time.time()
+    found = {r["sql"]: r["status"] for r in C.run_candidates(box, rows).collect()}
+    spent = time.time() - start
+    assert [found[t] for t in texts] == ["timeout", "ok"] * 16
+    assert spent < 8 * 6.0
+
+
+def test_waiting_does_not_count(spark):
+    """A short action that waits for the tasks of a long one is not late."""
+    cores = spark.sparkContext.defaultParallelism
+    busy = F.udf(lambda i: time.sleep(0.5) or i, "long")
+    long = lambda: spark.range(0, 12 * cores, 1, 12 * cores).select(busy("id")).write.format("noop").mode("overwrite").save()
+    thread = threading.Thread(target=inheritable_thread_target(spark)(long))
+    thread.start()
+    time.sleep(1.5)
+    spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+    assert C.within(spark, 4.0, lambda: spark.range(10).count()) == 10
+    thread.join()
+
+
+def test_a_failing_text_is_found_by_halves(box):
+    texts = [f"SELECT name FROM person WHERE age > {n}" for n in range(12)] + ["SELECT raise_error(name) FROM person"]
+    found = run(box, *texts)
+    assert [found[t]["status"] for t in texts] == ["ok"] * 12 + ["error"]
+
+
 def test_many_waves_equal_one(spark, staff, box):
     texts = [f"SELECT name FROM person WHERE age > {n}" for n in range(45, 75, 3)] + ["SELECT x", ""]
     tiny = C.Sandbox(spark, staff, time_limit=60.0, batch_size=1, parallel_batches=2, wave_size=3)
