@@ -169,7 +169,34 @@ FROM {orders}
 """
 )
 
+# Results of many thousands of rows: equal ones, the same rows in another order, and others.
+LARGE_RESULTS = """
+WITH asked AS (
+  SELECT n_nationkey AS cid, n_nationkey % 2 AS kind, CAST(floor(n_nationkey / 2) AS BIGINT) % 5 AS gen, CAST(n_nationkey % 3 AS STRING) AS k
+  FROM {nation}
+), golds AS (
+  SELECT cid, kind, gen, k, 'warehouse' AS db_id,
+    CASE kind WHEN 0 THEN 'SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_suppkey % 5 <> ' || k
+      ELSE 'SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 4 <> ' || k || ' ORDER BY o_orderkey' END AS gold_sql
+  FROM asked
+)
+SELECT cid, cid AS prompt_id, kind, gen, db_id, gold_sql,
+  CASE
+    WHEN gen = 0 THEN replace(gold_sql, '<> ' || k, '> ' || k || CASE kind WHEN 0 THEN ' OR l_suppkey % 5 < ' ELSE ' OR o_custkey % 4 < ' END || k)
+    WHEN gen = 1 AND kind = 0 THEN gold_sql || ' ORDER BY l_partkey, l_orderkey'
+    WHEN gen = 1 THEN gold_sql || ' DESC'
+    WHEN gen = 2 AND kind = 0 THEN gold_sql || ' AND l_quantity < 25 UNION ALL ' || gold_sql || ' AND l_quantity >= 25'
+    WHEN gen = 2 THEN replace(gold_sql, 'ORDER BY', 'ORDER BY o_custkey,')
+    WHEN gen = 3 AND kind = 0 THEN gold_sql || ' UNION ALL SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_linenumber = 1'
+    WHEN gen = 3 THEN gold_sql || ' + 0'
+    WHEN kind = 0 THEN replace(gold_sql, 'l_quantity FROM', 'l_quantity + CASE WHEN l_linenumber = 2 THEN 1 ELSE 0 END FROM')
+    ELSE replace(gold_sql, 'WHERE', 'WHERE o_orderkey > 3 AND')
+  END AS text
+FROM golds
+"""
+
 FIXTURES = {
+    "large_results": LARGE_RESULTS,
     "completions": COMPLETIONS,
     "gold_rows": GOLD_ROWS,
     "pred_rows": PRED_ROWS,

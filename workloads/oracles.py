@@ -379,6 +379,12 @@ ORACLES: dict[str, str] = {
         LEFT JOIN (SELECT ex, list_sort(list(a || '|' || b)) AS rows FROM pred_rows GROUP BY ex) p ON p.ex = o_orderkey"""),
     "execution_accuracy": scored("SELECT cid, CAST(matched AS INT)::DOUBLE AS execution FROM expected"),
     "execution_accuracy_cached": scored("SELECT cid, CAST(matched AS INT)::DOUBLE AS execution FROM expected"),
+    "execution_accuracy_large": with_(fixture_sql("large_results"), """sizes AS (
+          SELECT k, (SELECT count(*) FROM lineitem WHERE l_suppkey % 5 <> k) AS items, (SELECT count(*) FROM orders WHERE o_custkey % 4 <> k) AS orders
+          FROM range(3) t(k))""", select="""
+        SELECT cid, CASE kind WHEN 0 THEN items ELSE orders END AS gold_rows,
+          CAST((kind = 0 AND gen < 3) OR (kind = 1 AND gen IN (0, 3)) AS INT)::DOUBLE AS execution
+        FROM large_results JOIN sizes ON k = cid % 3"""),
     "execution_success": scored("SELECT cid, CAST(status <> 'error' AS INT)::DOUBLE AS success FROM expected"),
     "reward_phase1": scored(f"SELECT cid, round({PHASE1}, 6) AS reward FROM expected"),
     "reward_phase2": scored(f"""

@@ -420,6 +420,13 @@ def execution_accuracy_cached(spark, sf):
     return found.select("cid", rewards.execution_score(found).alias("execution"))
 
 
+@query
+def execution_accuracy_large(spark, sf):
+    # Results too large for hashes per row that look alike are compared by their rows.
+    found = scoring.score_completions(sandbox(spark, sf), fixture(spark, sf, "large_results"))
+    return found.select("cid", "gold_rows", rewards.execution_score(found).alias("execution"))
+
+
 @query
 def execution_success(spark, sf):
     rows = scored(spark, sf, match=False)
