@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..operators import candidates as C
@@ -11,9 +12,16 @@ from ..operators import compare, corpus
 from ..session import kept
 
 
+def as_text(completions: DataFrame) -> DataFrame:
+    """Completions whose ``text`` is a string; given as an array of messages ``{role, content}`` it becomes one."""
+    if isinstance(completions.schema["text"].dataType, T.ArrayType):
+        return completions.withColumn("text", X.completion_text(F.col("text")))
+    return completions
+
+
 def with_keys(completions: DataFrame) -> DataFrame:
     db = F.col("db_id")
-    return completions.withColumn("pred_sql", X.extract_sql(F.col("text"))).withColumns(
+    return as_text(completions).withColumn("pred_sql", X.extract_sql(F.col("text"))).withColumns(
         {"gold_key": C.text_key(db, F.col("gold_sql")), "pred_key": C.text_key(db, F.col("pred_sql"))}
     )
 
@@ -54,7 +62,7 @@ def score_completions(
     """Completions with ``pred_sql, status, error, n_rows, gold_status, gold_rows, matched``.
 
     One pass finds the distinct pairs of reference and predicted text, a second one joins their
-    outcomes back. Execution work grows with the distinct texts, not with the completions.
+    outcomes back. A completion is a string or an array of messages. Execution work grows with the distinct texts, not with the completions.
     ``match=False`` leaves the references and the comparison out. References with a whole result in ``cache`` are
     not run; those with a missing or broken one are.
     """

@@ -195,7 +195,26 @@ SELECT cid, cid AS prompt_id, kind, gen, db_id, gold_sql,
 FROM golds
 """
 
+# Conversations of which two in three end with an answer of SQL, right or wrong.
+CHATS = """
+SELECT conv_id, turn, role, text FROM {conversations}
+UNION ALL
+SELECT conv_id, max(turn) + 1, 'assistant',
+  CASE conv_id % 3 WHEN 1 THEN '```sql' || chr(10) || 'SELECT r_name FROM region WHERE r_regionkey = ' || CAST(conv_id % 5 AS STRING) || chr(10) || '```'
+    ELSE 'SELECT r_name FROM region WHERE r_regionkey = ' || CAST((conv_id + 1) % 5 AS STRING) END
+FROM {conversations} WHERE conv_id % 3 > 0 GROUP BY conv_id
+"""
+
+# One table of two columns per document, as rows of metadata.
+COLUMNS = """
+SELECT source AS db_id, 'm' || CAST(doc_id AS STRING) AS tbl, doc_id AS tbl_ord, 0 AS ord, 'a' AS col, 'int' AS type FROM {documents}
+UNION ALL
+SELECT source, 'm' || CAST(doc_id AS STRING), doc_id, 1, lang, 'text' FROM {documents}
+"""
+
 FIXTURES = {
+    "chats": CHATS,
+    "columns_of": COLUMNS,
     "large_results": LARGE_RESULTS,
     "completions": COMPLETIONS,
     "gold_rows": GOLD_ROWS,

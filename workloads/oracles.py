@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from sqltally.functions import fixed
 
-from .fixtures import fixture_sql
+from .fixtures import FIXTURES, fixture_sql
 from .queries import CONSTRUCTS
 
 BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
@@ -258,17 +258,8 @@ def construct(name: str, sql: str) -> str:
     return f"SELECT count(*) OVER () AS n_rows, {place} AS pos, {cells} AS row FROM ({sql}) q"
 
 
-ORACLES: dict[str, str] = {
-    # sources and sinks
-    "read_split": with_(EX, select="""
-        SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, db_id, question, gold_sql, split
-        FROM examples WHERE split = 'dev'"""),
-    "read_split_others": with_(EX, select="""
-        SELECT row_number() OVER (ORDER BY CAST(idx % 3 = 0 AS INT), idx) - 1 AS idx, CAST(idx % 3 = 0 AS INT) AS part,
-          db_id, question, gold_sql FROM examples WHERE split = 'train'"""),
-    "read_schema_text": with_(ST, SCHEMA, select="SELECT db_id, schema_text FROM schemas"),
-    "parse_schema_file": with_(
-        fixture_sql("scripts"),
+# A statement begins with CREATE TABLE and runs to the first line with a semicolon.
+SCRIPT_PARTS = [
         """lines AS (SELECT db_id, doc_id * 1000000 + generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line
              FROM (SELECT db_id, doc_id, string_split(script, chr(10)) AS l FROM scripts))""",
         f"""marked AS (SELECT *,
@@ -279,7 +270,32 @@ ORACLES: dict[str, str] = {
              FROM lines)""",
         f"""texts AS (SELECT db_id, {trim("string_agg(line || CASE WHEN contains(line, ';') THEN chr(10) ELSE '' END, chr(10) ORDER BY line_no)")} AS ddl
              FROM marked WHERE opened > coalesce(ended, -1) GROUP BY db_id)""",
-        select=f"SELECT db_id, {cut('ddl')} AS schema_text FROM texts"),
+]
+
+STREAMED = """
+        SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, run, component, n, mean FROM (
+          SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS w, user_id % 3 AS run, event_type AS component,
+            count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL)"""
+
+ORACLES: dict[str, str] = {
+    # sources and sinks
+    "read_split": with_(EX, select="""
+        SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, db_id, question, gold_sql, split
+        FROM examples WHERE split = 'dev'"""),
+    "read_split_others": with_(EX, select="""
+        SELECT row_number() OVER (ORDER BY CAST(idx % 3 = 0 AS INT), idx) - 1 AS idx, CAST(idx % 3 = 0 AS INT) AS part,
+          db_id, question, gold_sql FROM examples WHERE split = 'train'"""),
+    "read_schema_text": with_(ST, SCHEMA, select="SELECT db_id, schema_text FROM schemas"),
+    "parse_schema_file": with_(fixture_sql("scripts"), *SCRIPT_PARTS, select=f"SELECT db_id, {cut('ddl')} AS schema_text FROM texts"),
+    "schema_text_or_script": with_(fixture_sql("scripts"), fixture_sql("columns_of"), f"""given AS ({FIXTURES["statements"].format(documents="documents")})""",
+        """statements AS (
+          SELECT db_id, ord, ddl FROM given WHERE ascii(right(db_id, 1)) % 3 = 0
+          UNION ALL
+          SELECT db_id, tbl_ord, 'CREATE TABLE ' || tbl || ' (' || string_agg(col || ' ' || type, ', ' ORDER BY ord) || ')'
+          FROM columns_of WHERE ascii(right(db_id, 1)) % 3 = 1 GROUP BY db_id, tbl, tbl_ord)""",
+        SCHEMA, *SCRIPT_PARTS, select=f"""
+        SELECT db_id, schema_text FROM schemas UNION ALL
+        SELECT db_id, {cut('ddl')} FROM texts WHERE db_id NOT IN (SELECT db_id FROM schemas)"""),
     "read_filtered_or_raw": with_(EX, select="""
         SELECT 'filtered' AS found, idx, db_id, question, gold_sql, split FROM examples
         UNION ALL
@@ -393,6 +409,14 @@ ORACLES: dict[str, str] = {
         FROM (SELECT cid, CAST(matched AS INT)::DOUBLE AS execution, CAST(status <> 'error' AS INT)::DOUBLE AS success,
                 {SYNTAX} AS syntax, {f1('p', 'g')} AS f, {FORMAT} AS format
               FROM (SELECT *, {identifiers('pred_sql')} AS p, {identifiers('gold_sql')} AS g FROM expected))"""),
+    "reward_custom_component": with_(C, EXTRACTED, select=f"""
+        SELECT cid, syntax, round(brevity, 9) AS brevity, round(0.2::DOUBLE * syntax + 0.2::DOUBLE * f + 2.0::DOUBLE * brevity, 6) AS reward FROM (
+          SELECT cid, {SYNTAX} AS syntax, {f1('p', 'g')} AS f, 1.0::DOUBLE / (1.0::DOUBLE + length(text)) AS brevity
+          FROM (SELECT *, {identifiers('pred_sql')} AS p, {identifiers('gold_sql')} AS g FROM extracted))"""),
+    "score_messages": with_(fixture_sql("chats"), select="""
+        SELECT conv_id AS cid, length(coalesce(arg_max(text, turn) FILTER (role = 'assistant'), string_agg(text, ' ' ORDER BY turn))) AS chars,
+          CAST(conv_id % 3 = 1 AS INT)::DOUBLE AS execution, CAST(conv_id % 3 > 0 AS INT)::DOUBLE AS success
+        FROM chats GROUP BY conv_id"""),
     "reward_weighted_long": with_(LOG, select="""
         SELECT user_id, round(sum(value * CASE component WHEN 'execution' THEN 1.0::DOUBLE WHEN 'format' THEN 0.1::DOUBLE
           ELSE 0.2::DOUBLE END), 4) AS reward, 0::BIGINT AS unweighted FROM reward_log GROUP BY user_id"""),
@@ -515,8 +539,9 @@ ORACLES: dict[str, str] = {
     **{name: construct(name, sql) for name, sql in CONSTRUCTS.items()},
     "q_cross_runaway": "SELECT 'timeout' AS status, 'Timeout' AS error FROM lineitem GROUP BY 1, 2",
     # stream: every window of the log, open ones included
-    "reward_by_step_stream": """
-        SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, run, component, n, mean FROM (
-          SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS w, user_id % 3 AS run, event_type AS component,
-            count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL)""",
+    "reward_by_step_stream": STREAMED,
+    "reward_stream_resumed": STREAMED,
+    "score_stream": with_(C, EXTRACTED, select=f"""
+        SELECT cid, pred_sql, {SYNTAX} AS syntax, {FORMAT} AS format, round({f1('p', 'g')}, 9) AS schema_f1
+        FROM (SELECT *, {identifiers('pred_sql')} AS p, {identifiers('gold_sql')} AS g FROM extracted)"""),
 }

@@ -5,8 +5,10 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sqltally.functions import fixed
 from sqltally.functions import text as X
@@ -16,8 +18,9 @@ from sqltally.plans import loading, scoring
 from sqltally.session import work_dir
 from sqltally.sources import schemas, splits
 from sqltally.streaming import rewards as stream
+from sqltally.streaming import scoring as stream_scoring
 
-from .fixtures import RUNAWAY, fixture, table, warehouse
+from .fixtures import FIXTURES, RUNAWAY, fixture, table, warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,6 +110,19 @@ def parse_schema_file(spark, sf):
     return schemas.parse_schema_script(lines)
 
 
+@query
+def schema_text_or_script(spark, sf):
+    # Each database has statements, rows of metadata or a script only.
+    kind = F.ascii(F.right("db_id", F.lit(1))) % 3
+    written = fixture(spark, sf, "statements").where(kind == 0).select("db_id", "ord", "ddl")
+    listed = schemas.statements_of_columns(fixture(spark, sf, "columns_of").where(kind == 1))
+    script = fixture(spark, sf, "scripts")
+    lines = script.select("db_id", "doc_id", F.posexplode(F.split("script", "\n")).alias("pos", "line")).select(
+        "db_id", (F.col("doc_id") * 1000000 + F.col("pos")).alias("line_no"), "line"
+    )
+    return schemas.schema_text_or_script(written.unionByName(listed), lines)
+
+
 @query
 def read_filtered_or_raw(spark, sf):
     folder = work_dir(spark, "corpus")
@@ -445,6 +461,35 @@ def reward_phase2(spark, sf):
     ).withColumn("schema_f1", F.round("schema_f1", 9))
 
 
+@F.pandas_udf(T.DoubleType())
+def brevity(text: pd.Series) -> pd.Series:
+    return 1.0 / (1.0 + text.str.len())
+
+
+@query
+def reward_custom_component(spark, sf):
+    # A component in Arrow batches beside built-in ones.
+    rows = fixture(spark, sf, "completions").withColumn("pred_sql", X.extract_sql(F.col("text")))
+    parts = rewards.components({"syntax": 0.2, "schema_f1": 0.2}) + [rewards.Component("brevity", 2.0, lambda df: brevity(F.col("text")))]
+    found = rewards.with_reward(rows, parts)
+    return found.select("cid", "syntax", F.round("brevity", 9).alias("brevity"), F.round("reward", 6).alias("reward"))
+
+
+@query
+def score_messages(spark, sf):
+    # Completions as arrays of messages, scored from end to end.
+    listed = F.sort_array(F.collect_list(F.struct("turn", F.struct("role", F.col("text").alias("content")).alias("message"))))
+    asked = F.concat(F.lit("SELECT r_name FROM region WHERE r_regionkey = "), (F.col("conv_id") % 5).cast("string"))
+    rows = fixture(spark, sf, "chats").groupBy("conv_id").agg(F.transform(listed, lambda t: t["message"]).alias("text")).select(
+        F.col("conv_id").alias("cid"), F.col("conv_id").alias("prompt_id"), F.lit("warehouse").alias("db_id"), asked.alias("gold_sql"), "text"
+    )
+    found = scoring.score_completions(sandbox(spark, sf), rows)
+    return found.select(
+        "cid", F.length("text").cast("bigint").alias("chars"), rewards.execution_score(found).alias("execution"),
+        rewards.success_score(found).alias("success"),
+    )
+
+
 @query
 def reward_weighted_long(spark, sf):
     total = rewards.reward_weighted_long(fixture(spark, sf, "reward_log"), fixed.PHASE2_WEIGHTS, "user_id")
@@ -713,13 +758,40 @@ def q_cross_runaway(spark, sf):
 # --- stream -----------------------------------------------------------------------------------------------
 
 
+def streamed_log(events: DataFrame) -> DataFrame:
+    return events.select(
+        (F.col("user_id") % 3).alias("run"), F.col("ts").cast("timestamp").alias("ts"), "value", F.col("event_type").alias("component")
+    )
+
+
+def shown_windows(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("mean", F.round("mean", 6)).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
+
+
 @query
 def reward_by_step_stream(spark, sf):
     events = table(spark, sf, "events")
     source = spark.readStream.schema(events.schema).parquet(f"{sf}/events*.parquet")
-    log = source.select(
-        (F.col("user_id") % 3).alias("run"), F.col("ts").cast("timestamp").alias("ts"), "value",
-        F.col("event_type").alias("component"),
-    )
-    rows = stream.reward_by_step_stream(log, "6 hours", "10 minutes")
-    return rows.withColumn("mean", F.round("mean", 6)).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
+    return shown_windows(stream.reward_by_step_stream(streamed_log(source), "6 hours", "10 minutes"))
+
+
+@query
+def reward_stream_resumed(spark, sf):
+    # The log comes in two parts; the second run goes on with the state and the windows of the first.
+    events = table(spark, sf, "events")
+    folder, half = work_dir(spark, "log"), events.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
+    for part in (F.col("event_id") <= half, F.col("event_id") > half):
+        events.where(part).write.mode("append").parquet(f"{folder}/events")
+        source = spark.readStream.schema(events.schema).parquet(f"{folder}/events")
+        rows = stream.reward_by_step_stream(streamed_log(source), "6 hours", "10 minutes", f"{folder}/out", f"{folder}/state")
+    return shown_windows(rows)
+
+
+@query
+def score_stream(spark, sf):
+    orders = table(spark, sf, "orders")
+    source = spark.readStream.schema(orders.schema).parquet(f"{sf}/orders*.parquet")
+    folder = work_dir(spark, "scored")
+    completions = spark.sql(FIXTURES["completions"], orders=source)
+    rows = stream_scoring.score_stream(completions, ["cid"], f"{folder}/out", f"{folder}/state")
+    return rows.withColumn("schema_f1", F.round("schema_f1", 9))
