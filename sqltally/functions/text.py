@@ -29,14 +29,6 @@ KEYWORDS = [w for w in fixed.SQL_STOP_WORDS if w not in fixed.AGGREGATE_NAMES]
 
 MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
 
-# Only the parts that count towards difficulty; mixed arrays stay raw text pieces.
-SQL_STRUCT = (
-    "where array<string>, groupBy array<string>, having array<string>, orderBy array<string>, "
-    "limit string, `intersect` string, `union` string, `except` string, "
-    "`from` struct<table_units:array<string>>"
-)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once.
 
@@ -208,28 +200,29 @@ def split_path(data_dir: str, split: Column, db_id: Column) -> Column:
 
 
 def difficulty(sql_json: Column) -> Column:
-    """Tier of a parsed-SQL struct held as raw JSON text."""
-    def count(items: Column) -> Column:
-        return F.greatest(F.coalesce(F.size(items), F.lit(0)), F.lit(0))
+    """Tier of a parsed-SQL struct held as raw JSON text, which is parsed once; what is no JSON object has no tier."""
+    def count(parsed: Column, path: str) -> Column:
+        return F.coalesce(F.array_size(F.try_variant_get(parsed, path, "array<variant>")), F.lit(0))
 
     def point(condition: Column, points: int = 1) -> Column:
         return F.when(condition, points).otherwise(0)
 
-    def present(field: Column) -> Column:
-        empty = ["", "{}", "[]", "0", "false", '""']
-        return field.isNotNull() & ~field.isin(*empty)
+    def present(parsed: Column, path: str) -> Column:
+        empty = ["", "{}", "[]", "0", "false"]
+        found = F.try_variant_get(parsed, path, "string")
+        return found.isNotNull() & ~found.isin(*empty)
 
     def score(parsed: Column) -> Column:
         return (
-            count(parsed["where"])
-            + point(count(parsed["groupBy"]) > 0)
-            + point(count(parsed["having"]) > 0)
-            + point(count(parsed["orderBy"]) > 0)
-            + point(parsed["limit"].isNotNull())
-            + point(present(parsed["intersect"]), 3)
-            + point(present(parsed["union"]), 3)
-            + point(present(parsed["except"]), 3)
-            + F.greatest(count(parsed["from"]["table_units"]) - 1, F.lit(0))
+            count(parsed, "$.where")
+            + point(count(parsed, "$.groupBy") > 0)
+            + point(count(parsed, "$.having") > 0)
+            + point(count(parsed, "$.orderBy") > 0)
+            + point(F.try_variant_get(parsed, "$.limit", "string").isNotNull())
+            + point(present(parsed, "$.intersect"), 3)
+            + point(present(parsed, "$.union"), 3)
+            + point(present(parsed, "$.except"), 3)
+            + F.greatest(count(parsed, "$.from.table_units") - 1, F.lit(0))
         )
 
     def tier(points: Column) -> Column:
@@ -238,9 +231,6 @@ def difficulty(sql_json: Column) -> Column:
             named = named.when(points <= limit, name)
         return named.otherwise(fixed.TOP_TIER)
 
-    # Counting the parts of a missing struct gives zeros, so its score is set to NULL first.
-    # Text that is no JSON object has no parts to count either.
-    is_object = F.startswith(F.schema_of_variant(F.try_parse_json(sql_json)), F.lit("OBJECT"))
-    present_json = F.when(is_object, sql_json)
-    scored = let(F.from_json(present_json, SQL_STRUCT), lambda p: F.when(p.isNotNull(), score(p)))
+    is_object = F.startswith(F.ltrim(sql_json, F.lit(BLANKS)), F.lit("{"))
+    scored = let(F.try_parse_json(F.when(is_object, sql_json)), lambda p: F.when(p.isNotNull(), score(p)))
     return let(scored, tier)
