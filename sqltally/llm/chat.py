@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sqltally.session import ship_package
+
 Turns = list[tuple[str, str]]
 
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "[ROLE", "[/ROLE]")
@@ -103,6 +105,7 @@ def formatted(
     loss_roles: tuple[str, ...] = ("assistant",),
 ) -> DataFrame:
     """Per conversation ``conv_id, text, spans`` (role, first, end, loss per turn; empty where not ``steady``) and ``steady``."""
+    ship_package(conversations.sparkSession)
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
     turns = conversations.select("conv_id", F.struct("turn", empty("role").alias("role"), empty("text").alias("text")).alias("row"))
     whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("rows")).select(
