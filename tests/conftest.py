@@ -28,11 +28,11 @@ def staff(spark):
     return {
         "staff": {
             "person": spark.createDataFrame(
-                [(1, "Ann", 67.0, "Ohio"), (2, "Bob", 53.0, None), (3, "Cid", 69.0, "Iowa"), (4, "Dee", 52.0, "Ohio")],
+                [(1, "Ann", 63.5, "Ohio"), (2, "Bob", 41.0, None), (3, "Cid", 66.0, "Iowa"), (4, "Dee", 37.0, "Ohio")],
                 "person_id int, name string, age double, born string",
             ),
             "team": spark.createDataFrame(
-                [(1, "State", 9.96), (2, "Treasury", 11.1), (3, "Defense", 439.3)],
+                [(1, "Parks", 3.5), (2, "Roads", 8.25), (3, "Water", 120.0)],
                 "team_id int, name string, budget double",
             ),
             "leads": spark.createDataFrame([(2, 4), (3, 1)], "team_id int, person_id int"),

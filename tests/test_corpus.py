@@ -36,7 +36,7 @@ def test_gold_cache(spark, staff):
     examples = spark.createDataFrame([(i, "staff", t) for i, t in enumerate(texts)], "idx int, db_id string, gold_sql string")
     cache, outcomes = scoring.cache_gold_results(box, examples)
     found = {r["sql"]: r["gold_result"] for r in cache.collect()}
-    assert found[texts[0]] == '[["ann","67.0","ohio"],["bob","53.0","none"],["cid","69.0","iowa"],["dee","52.0","ohio"]]'
+    assert found[texts[0]] == '[["ann","63.5","ohio"],["bob","41.0","none"],["cid","66.0","iowa"],["dee","37.0","ohio"]]'
     assert found[texts[1]] == "[]"
     assert texts[2] not in found
     # What is read back from the texts equals what is executed.
