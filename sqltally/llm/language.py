@@ -109,23 +109,35 @@ def document_weights(texts: DataFrame) -> np.ndarray:
     return np.log((1 + found[0]) / (1 + found[1:])).astype(np.float32) + np.float32(1)
 
 
-def cluster(points: np.ndarray, k: int, rounds: int = 12, least: float = 0.1) -> np.ndarray:
-    """Unit centroids by spherical k-means; starts at points spread over the cosines with the mean.
+def cluster(points: np.ndarray, k: int, rounds: int = 12, least: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
+    """Unit centroids by spherical k-means, and how many points each has.
 
-    Centroids of few points, ``least`` of all, go: they stand for odd texts, such as mixtures of two languages.
+    It starts at ``k`` points spread over the cosines with the mean and ``k`` far ones: of the tenth of the points farthest from all
+    starts so far, the one nearest to the others of that tenth, so that a small group of its own kind gets a centroid and a
+    single odd text does not. Points of centroids with fewer than ``least`` of all points, or one, go to the others.
     """
     if not len(points):
-        return np.zeros((0, points.shape[1]), np.float32)
+        return np.zeros((0, points.shape[1]), np.float32), np.zeros(0, int)
     order = np.argsort(points @ points.mean(0), kind="stable")
-    centres = points[order[np.unique(np.linspace(0, len(points) - 1, min(k, len(points)) + 2)[1:-1].astype(int))]]
-    for _ in range(rounds):
-        own = (points @ centres.T).argmax(1)
-        for j in range(len(centres)):
-            if (own == j).any():
-                centres[j] = points[own == j].mean(0)
-        centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-    sizes = np.bincount((points @ centres.T).argmax(1), minlength=len(centres))
-    return centres[sizes >= min(sizes.max(), least * len(points))]
+    starts = [int(i) for i in order[np.unique(np.linspace(0, len(points) - 1, min(k, len(points)) + 2)[1:-1].astype(int))]]
+    near = (points @ points[starts].T).max(1)
+    for _ in range(min(k, len(points) - len(starts))):
+        far = np.argsort(near, kind="stable")[: max(1, len(points) // 10)]
+        starts.append(int(far[(points[far] @ points[far].sum(0)).argmax()]))
+        near = np.maximum(near, points @ points[starts[-1]])
+
+    def settle(centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        for _ in range(rounds):
+            own = (points @ centres.T).argmax(1)
+            for j in range(len(centres)):
+                if (own == j).any():
+                    centres[j] = points[own == j].mean(0)
+            centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+        return centres, np.bincount((points @ centres.T).argmax(1), minlength=len(centres))
+
+    centres, sizes = settle(points[starts])
+    enough = sizes >= min(sizes.max(), max(2, least * len(points)))
+    return (centres, sizes) if enough.all() else settle(centres[enough])
 
 
 def learn(docs: DataFrame, k: int = 4, per_lang: int = 250, reject: float = 0.005) -> tuple[np.ndarray, list[dict]]:
@@ -153,15 +165,63 @@ def learn(docs: DataFrame, k: int = 4, per_lang: int = 250, reject: float = 0.00
     def centre(frame: pd.DataFrame) -> pd.DataFrame:
         points = np.stack([np.frombuffer(v, np.float32) for v in sorted(frame["vector"])])
         points = points[np.linalg.norm(points, axis=1) > 0]
-        centres = cluster(points, k)
-        limit = float(np.quantile((points @ centres.T).max(1), reject)) if len(points) else 1.0
-        return pd.DataFrame({"lang": frame["lang"].iloc[0], "centre": [c.tobytes() for c in centres], "limit": limit})
-
-    sample = rows.where(drawn).dropDuplicates(["lang", "text"]).select("lang", "text").mapInArrow(run, "lang string, vector binary")
-    # A task per language holds the sample's vectors, 18 kB each.
-    found = sample.groupBy("lang").applyInPandas(centre, "lang string, centre binary, limit double").collect()
-    model = [{"lang": r["lang"], "centre": np.frombuffer(r["centre"], np.float32), "limit": r["limit"]} for r in found]
-    return weight, sorted(model, key=lambda m: (m["lang"], m["centre"].tobytes()))
+        centres, sizes = cluster(points, k)
+        return pd.DataFrame({"lang": frame["lang"].iloc[0], "centre": [c.tobytes() for c in centres], "n": sizes})
+
+    # Read for the centroids and again to judge them; a task per language holds the sample's vectors, 18 kB each.
+    sample = kept(
+        rows.where(drawn).dropDuplicates(["lang", "text"]).select("lang", "text").mapInArrow(run, "lang string, vector binary"),
+        "language-sample",
+    )
+    found = sample.groupBy("lang").applyInPandas(centre, "lang string, centre binary, n long").collect()
+    model = [{"lang": r["lang"], "centre": np.frombuffer(r["centre"], np.float32), "n": r["n"]} for r in found]
+    model.sort(key=lambda m: (m["lang"], m["centre"].tobytes()))
+    return weight, _useful(sample, model, reject)
+
+
+def _useful(sample: DataFrame, model: list[dict], reject: float, small: float = 0.1) -> list[dict]:
+    """The centroids that help, and per language the cosine below which texts are rejected.
+
+    A centroid with less than ``small`` of its language's sample may be a second script or topic, or odd texts such as mixtures
+    of two languages. It goes if, over the samples of all languages, it turns more right answers into wrong ones than wrong into right.
+    """
+    if not model:
+        return []
+    names = sorted({m["lang"] for m in model})
+    totals = {n: sum(m["n"] for m in model if m["lang"] == n) for n in names}
+    own = np.array([names.index(m["lang"]) for m in model])
+    most = {n: max(m["n"] for m in model if m["lang"] == n) for n in names}
+    minor = np.array([m["n"] < min(small * totals[m["lang"]], most[m["lang"]]) for m in model])
+    centres = np.stack([m["centre"] for m in model]).T
+
+    def trade(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gain = np.zeros(len(own), np.int64)
+        for batch in frames:
+            if not len(batch):
+                continue
+            near = np.stack([np.frombuffer(v, np.float32) for v in batch.column("vector").to_pylist()]) @ centres
+            lang = np.array([names.index(x) if x in names else -1 for x in batch.column("lang").to_pylist()])
+            first = near.argmax(1)
+            major = np.where(minor, -2, near).argmax(1)
+            np.add.at(gain, first, (own[first] == lang).astype(int) - (own[major] == lang).astype(int))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own))), pa.array(gain)], ["place", "gain"])
+
+    gains = sample.mapInArrow(trade, "place long, gain long").groupBy("place").agg(F.sum("gain").alias("gain")).collect()
+    bad = {r["place"] for r in gains if r["gain"] < 0 and minor[r["place"]]}
+    model = [m for i, m in enumerate(model) if i not in bad]
+    centres = np.stack([m["centre"] for m in model]).T
+    own = np.array([names.index(m["lang"]) for m in model])
+
+    def limit(frame: pd.DataFrame) -> pd.DataFrame:
+        name = frame["lang"].iloc[0]
+        points = np.stack([np.frombuffer(v, np.float32) for v in frame["vector"]])
+        points = points[np.linalg.norm(points, axis=1) > 0]
+        mine = centres[:, own == names.index(name)] if name in names else centres[:, :0]
+        value = float(np.quantile((points @ mine).max(1), reject)) if len(points) and mine.shape[1] else 1.0
+        return pd.DataFrame({"lang": [name], "limit": [value]})
+
+    limits = {r["lang"]: r["limit"] for r in sample.groupBy("lang").applyInPandas(limit, "lang string, limit double").collect()}
+    return [{"lang": m["lang"], "centre": m["centre"], "limit": limits[m["lang"]]} for m in model]
 
 
 def languages(docs: DataFrame, **how) -> DataFrame:

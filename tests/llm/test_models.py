@@ -147,3 +147,38 @@ def test_copies_do_not_thin_a_language(spark):
     assert (language.vectors(language.counts(texts["yy"][:50]), weight) @ centres.T).max(1).min() > 0.2
     found = language.languages(rows.unionByName(copies)).join(rows.select("doc_id", "lang"), "doc_id").collect()
     assert all(r.lang_pred == r.lang for r in found)
+
+
+def test_a_language_with_a_small_second_script(spark):
+    """Seven texts of a hundred are in another script, which a second language shares with other letters."""
+    import random
+
+    draw = random.Random(5)
+    alphabets = {"latin": "abcdefghijklm", "second": "абвгдежз", "near": "вгдежзиклмн"}
+    text = lambda kind: " ".join("".join(draw.choice(alphabets[kind]) for _ in range(6)) for _ in range(40))
+    rows = [(i, "second" if i % 100 < 7 else "latin") for i in range(1200)]
+    rows = [(i, "aa", kind, text(kind)) for i, kind in rows] + [(i, "bb", "near", text("near")) for i in range(2000, 2600)]
+    docs = spark.createDataFrame([(i, lang, body) for i, lang, _, body in rows], "doc_id bigint, lang string, text string")
+    kinds = {i: (lang, kind) for i, lang, kind, _ in rows}
+    right, seen = Counter(), Counter()
+    for r in language.languages(docs).collect():
+        if r.held_out:
+            lang, kind = kinds[r.doc_id]
+            seen[kind] += 1
+            right[kind] += r.lang_pred == lang
+    assert seen["second"] >= 15
+    assert all(right[kind] >= 0.95 * n for kind, n in seen.items())
+
+
+def test_far_starts_find_a_small_group_and_pass_over_single_points():
+    points = np.zeros((200, 12), np.float32)
+    points[:, 0] = 1
+    points[:, 1:4] = np.random.default_rng(1).random((200, 3)) / 4
+    points[:8] = 0
+    points[:8, 5] = 1
+    points[8] = 0
+    points[8, 9] = 1
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    centres, sizes = language.cluster(points, 4)
+    assert sizes.sum() == 200 and sizes.min() >= 4
+    assert (centres @ points[0]).max() > 0.9
