@@ -1,10 +1,10 @@
 """Quality rules: text statistics, base limits and a learned decision list. DataFrame operations only.
 
 Statistics are taken once per document and written; learning and judging read the written table. Learning is
-sequential covering on the labelled rows: a rule grows by the threshold condition with the highest information
-gain on two thirds of the rows, is pruned to the prefix that does best on the last third, and is kept if it is
-precise enough there; rows that it covers leave, and the next rule follows. Every step is one aggregation into a
-table of counts per feature and bin (some hundred rows), so learning reads all labelled rows, whatever their
+sequential covering on the labelled rows: rules grow by the threshold condition with the highest information
+gain on two thirds of the rows and are pruned to the prefix that does best on the last third; those precise enough
+are kept; rows that they cover leave, and the next rule follows until none is precise. Every step is one aggregation
+into a table of counts per feature and bin (some thousand rows), so learning reads all labelled rows, whatever their
 number. The list becomes ordered conditional expressions.
 
 Defined cases: null and blank texts have no words, fail the base limits and are dropped; a null id has no label;
@@ -122,15 +122,18 @@ def _gain(p: int, n: int, p0: int, n0: int) -> float:
 
 
 def learn(
-    labelled: DataFrame, bins: int = 24, max_rules: int = 8, max_conditions: int = 4, precision: float = 0.9, least: int = 4
+    labelled: DataFrame, bins: int = 24, max_conditions: int = 4, precision: float = 0.9, least: int = 4
 ) -> list[list[Condition]]:
     """Rules for bad rows from ``bad`` (boolean), ``part`` (0 to 2; 2 prunes) and the features, as doubles.
 
-    A rule must cover ``least`` bad rows or a thousandth of them, and reach ``precision`` where it is pruned and
-    where it is grown.
+    A rule must cover ``least`` bad rows or a thousandth of them, two where it is pruned, and reach ``precision`` where it is pruned
+    and where it is grown. If the rule grown from the best first condition does not, rules grow from those of every other feature
+    and direction, side by side in the same few aggregations, so a kind of junk that no precise rule describes hides no other one;
+    those precise enough are taken. The list ends when none is. Each rule takes ``least`` bad rows away, so it does end.
     """
     names = list(features())
-    probes = [i / bins for i in range(1, bins)]
+    # The ends too: where the good rows begin and end, a kind of junk may begin.
+    probes = [i / bins for i in range(bins + 1)]
     cuts = labelled.groupBy("bad").agg(*[F.percentile_approx(n, probes, 2000).alias(n) for n in names]).collect()
     if len(cuts) < 2:
         return []
@@ -144,49 +147,79 @@ def learn(
         "quality-bins",
     )
     place = {n: {t: i + 1 for i, t in enumerate(ts)} for n, ts in thresholds.items()}
+
     def inside(conditions: list[Condition]) -> Column:
         return _all([Condition(c.feature, c.at_least, place[c.feature][c.threshold]) for c in conditions],
                     {n: F.col(n) for n in names})
 
+    def counted(rest: DataFrame, tried: list[list[Condition]]) -> list[list]:
+        """Per rule the bad and good growing rows that it covers, by feature and bin."""
+        mine = F.filter(F.array(*[F.when(inside(rule), i) for i, rule in enumerate(tried)]), lambda i: i.isNotNull())
+        rows = rest.where(F.col("part") < 2).select("bad", *names, F.explode(mine).alias("rule"))
+        cells = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("bin")) for n in names]))
+        found = (
+            rows.select("bad", "rule", cells.alias("cell")).groupBy("rule", "cell.name", "cell.bin")
+            .agg(F.sum(F.col("bad").cast("int")).alias("p"), F.sum((~F.col("bad")).cast("int")).alias("n"))
+            .collect()
+        )
+        return [[r for r in found if r["rule"] == i] for i in range(len(tried))]
+
+    def grown(rest: DataFrame, tried: list[list[Condition]]) -> list[list[Condition]]:
+        """The rules, each grown by its best conditions, side by side; and their prefixes, longer ones later."""
+        growing = [rule for rule in tried if len(rule) < max_conditions]
+        while growing:
+            more = []
+            for rule, counts in zip(growing, counted(rest, growing)):
+                found, good = _gains(counts, thresholds, names, least)
+                if found and good:
+                    rule.append(max(found.values(), key=lambda x: x[0])[1])
+                    more.append(rule)
+            growing = [rule for rule in more if len(rule) < max_conditions]
+        return [rule[: k + 1] for rule in tried for k in range(len(rule))]
+
+    def precise(rest: DataFrame, tried: list[list[Condition]]) -> list[list[Condition]]:
+        """The rules that are precise enough, the best prefix of each first condition; those that cover most bad rows first."""
+        cover = F.filter(F.array(*[F.when(inside(rule), j) for j, rule in enumerate(tried)]), lambda j: j.isNotNull())
+        prune = F.col("part") == 2
+        sums = {
+            r["j"]: (r["p"], r["n"], r["grown_p"], r["grown_n"])
+            for r in rest.select("bad", "part", F.explode(cover).alias("j")).groupBy("j").agg(
+                F.count_if(F.col("bad") & prune).alias("p"), F.count_if(~F.col("bad") & prune).alias("n"),
+                F.count_if(F.col("bad") & ~prune).alias("grown_p"), F.count_if(~F.col("bad") & ~prune).alias("grown_n"),
+            ).collect()
+        }
+        best = {}
+        for j, rule in enumerate(tried):
+            p, n, grown_p, grown_n = sums.get(j, (0, 0, 0, 0))
+            worth = ((p - n) / max(1, p + n), p, -len(rule))
+            if rule[0] not in best or worth > best[rule[0]][0]:
+                enough = p >= 2 and p + grown_p >= needed and min(p / (p + n), grown_p / max(1, grown_p + grown_n)) >= precision
+                best[rule[0]] = (worth, p + grown_p, rule, enough)
+        return [rule for _, _, rule, enough in sorted(best.values(), key=lambda x: -x[1]) if enough]
+
     rules: list[list[Condition]] = []
     rest = binned
-    total_bad = binned.where("bad").count()
-    while len(rules) < max_rules:
-        rule: list[Condition] = []
-        while len(rule) < max_conditions:
-            cells = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("bin")) for n in names]))
-            counts = (
-                rest.where(inside(rule) & (F.col("part") < 2)).select("bad", cells.alias("cell"))
-                .groupBy("cell.name", "cell.bin")
-                .agg(F.sum(F.col("bad").cast("int")).alias("p"), F.sum((~F.col("bad")).cast("int")).alias("n"))
-                .collect()
-            )
-            best, p0, n0 = _best(counts, thresholds, names, least)
-            if best is None or n0 == 0:
-                break
-            rule.append(best)
-        if not rule:
-            break
-        prefixes = [inside(rule[: k + 1]) for k in range(len(rule))]
-        sums = rest.agg(*[
-            F.coalesce(F.sum((f & (F.col("bad") == bad) & (F.col("part") == 2 if prune else F.col("part") < 2)).cast("int")), F.lit(0))
-            for f in prefixes for bad in (True, False) for prune in (True, False)
-        ]).first()
-        tried = [sums[4 * k : 4 * k + 4] for k in range(len(rule))]
-        worth = [(p - n) / (p + n) if p + n else -1.0 for p, _, n, _ in tried]
-        k = max(range(len(rule)), key=lambda k: (worth[k], tried[k][0], -k))
-        p, grown_p, n, grown_n = tried[k]
-        enough = p + grown_p >= max(least, total_bad / 1000)
-        if not enough or min(p / max(1, p + n), grown_p / max(1, grown_p + grown_n)) < precision:
-            break
-        rules.append(rule[: k + 1])
-        rest = rest.where(~prefixes[k])
-    return rules
-
-
-def _best(counts: list, thresholds: dict, names: list[str], least: int) -> tuple[Condition | None, int, int]:
-    """The condition with the highest gain, from counts per feature and bin; and the rows before it."""
-    best, top, p0, n0 = None, 1e-9, 0, 0
+    needed = max(least, binned.where("bad").count() / 1000)
+    while True:
+        found, good = _gains(counted(rest, [[]])[0], thresholds, names, least)
+        if not found or not good:
+            return rules
+        firsts = sorted(found.values(), key=lambda x: -x[0])
+        good_rules = precise(rest, grown(rest, [[firsts[0][1]]]))
+        if not good_rules and len(firsts) > 1:
+            good_rules = precise(rest, grown(rest, [[c] for _, c in firsts[1:]]))
+        if not good_rules:
+            return rules
+        while good_rules:
+            rules.append(good_rules[0])
+            rest = rest.where(~inside(good_rules[0]))
+            # The others may cover the same rows: they are judged anew on what is left.
+            good_rules = precise(rest, good_rules[1:]) if len(good_rules) > 1 else []
+
+
+def _gains(counts: list, thresholds: dict, names: list[str], least: int) -> tuple[dict[tuple[str, bool], tuple[float, Condition]], int]:
+    """Per feature and direction the condition with the highest gain, from counts per feature and bin; and the good rows before it."""
+    found, p0, n0 = {}, 0, 0
     for name in names:
         ts = thresholds[name]
         p, n = [0] * (len(ts) + 1), [0] * (len(ts) + 1)
@@ -195,13 +228,13 @@ def _best(counts: list, thresholds: dict, names: list[str], least: int) -> tuple
                 p[row["bin"]], n[row["bin"]] = row["p"], row["n"]
         p0, n0, below_p, below_n = sum(p), sum(n), 0, 0
         if not p0:
-            return None, 0, n0
+            return {}, n0
         for i, t in enumerate(ts):
             below_p, below_n = below_p + p[i], below_n + n[i]
             for at_least, a, b in ((True, p0 - below_p, n0 - below_n), (False, below_p, below_n)):
-                if a >= least and (gain := _gain(a, b, p0, n0)) > top:
-                    best, top = Condition(name, at_least, t), gain
-    return best, p0, n0
+                if a >= least and (gain := _gain(a, b, p0, n0)) > found.get((name, at_least), (1e-9, None))[0]:
+                    found[name, at_least] = (gain, Condition(name, at_least, t))
+    return found, n0
 
 
 def verdict(rules: list[list[Condition]]) -> Column:

@@ -50,9 +50,9 @@ def test_rules_find_a_planted_conjunction(spark):
     """Bad rows have many symbols and few distinct words; either alone is good."""
     import random
 
-    draw, rows = random.Random(3), []
+    draw, rows, names = random.Random(3), [], list(rules.features())
     for _ in range(3000):
-        values = {n: draw.random() for n in rules.features()}
+        values = {n: draw.random() for n in names}
         bad = values["symbols_per_word"] > 0.7 and values["distinct_words"] < 0.4
         rows.append((bad, draw.randrange(3), *values.values()))
     schema = "bad boolean, part int, " + ", ".join(f"{n} double" for n in rules.features())
@@ -67,3 +67,59 @@ def test_rules_find_a_planted_conjunction(spark):
         caught = caught | h
     right = data.where(caught == data["bad"]).count()
     assert right >= 0.96 * len(rows)
+
+
+def learned(spark, rows):
+    """Rules of rows (bad, part, values), and what each row is told."""
+    names = list(rules.features())
+    schema = "bad boolean, part int, " + ", ".join(f"{n} double" for n in names)
+    data = spark.createDataFrame([(bad, part, *[values[n] for n in names]) for bad, part, values in rows], schema)
+    found = rules.learn(data)
+    holds = lambda c, v: v[c.feature] >= c.threshold if c.at_least else v[c.feature] < c.threshold
+    return found, [any(all(holds(c, v) for c in rule) for rule in found) for _, _, v in rows]
+
+
+def test_more_than_eight_kinds_of_junk(spark):
+    """Each feature's lowest and highest twentieth is junk: 18 kinds, one rule each at least."""
+    import random
+
+    draw, rows = random.Random(11), []
+    names = list(rules.features())
+    for i in range(9000):
+        values = {n: draw.uniform(0.05, 0.95) for n in names}
+        kind = i % 36
+        if kind < 18:
+            values[names[kind // 2]] = draw.uniform(0, 0.04) if kind % 2 else draw.uniform(0.96, 1)
+        rows.append((kind < 18, draw.randrange(3), values))
+    found, said = learned(spark, rows)
+    assert len(found) >= 18
+    assert sum(s for s, r in zip(said, rows) if r[0]) >= 0.95 * 4500
+    assert sum(s for s, r in zip(said, rows) if not r[0]) <= 0.01 * 4500
+
+
+def test_an_imprecise_kind_hides_no_precise_one(spark):
+    """Many rows with symbols are bad in six of ten cases; a rarer kind, with capitals, always is."""
+    import random
+
+    draw, rows, names = random.Random(12), [], list(rules.features())
+    for i in range(6000):
+        values = {n: draw.random() * 0.9 for n in names}
+        bad = False
+        if i % 5 == 0:
+            values["symbols_per_word"], bad = draw.uniform(0.95, 1), draw.random() < 0.6
+        elif i % 50 == 1:
+            values["capitals"], bad = draw.uniform(0.95, 1), True
+        rows.append((bad, draw.randrange(3), values))
+    _, said = learned(spark, rows)
+    exact = [s for s, r in zip(said, rows) if r[2]["capitals"] > 0.94]
+    assert sum(exact) >= 0.95 * len(exact)
+
+
+def test_without_a_kind_no_rule(spark):
+    """Labels by chance teach next to nothing."""
+    import random
+
+    draw, names = random.Random(13), list(rules.features())
+    rows = [(draw.random() < 0.1, draw.randrange(3), {n: draw.random() for n in names}) for _ in range(4000)]
+    _, said = learned(spark, rows)
+    assert sum(s for s, r in zip(said, rows) if not r[0]) <= 0.005 * len(rows)
