@@ -277,3 +277,39 @@ def test_ordered_results_over_many_partitions(spark, sf):
     found = {r["cid"]: r["matched"] for r in scoring.score_completions(box, df).collect()}
     assert [found[i] for i in range(3)] == list(answers.values())
     box.close()
+
+
+def test_proof_of_large_results_writes_few_rows(spark, sf, tmp_path, monkeypatch):
+    """Large results that look alike are proved from all their rows, and those of a few ordered ones at most lie on disk at once."""
+    from pathlib import Path
+
+    from sqltally.session import work_folder
+
+    monkeypatch.setattr(C, "PROVED_ROWS", 1)
+    large, deleted = [], C.delete
+
+    def seen():
+        return [p for p in tmp_path.rglob("*.parquet") if p.stat().st_size > 30_000]
+
+    def noted(spark, folder):
+        large.append(len({p.parent for p in seen()}))
+        deleted(spark, folder)
+
+    monkeypatch.setattr(C, "delete", noted)
+    box = C.Sandbox(spark, {"staff": {"lineitem": f"{sf}/lineitem.parquet"}}, time_limit=60.0, small_rows=4)
+    rows = "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem"
+    gold = f"{rows} WHERE l_linenumber < 5"
+    swap = "SELECT l_orderkey, if(l_orderkey IN (1, 2), 3 - l_orderkey, l_orderkey) % 2 AS k FROM lineitem"
+    pairs = [
+        (gold, f"{gold} ORDER BY l_partkey", True),
+        (gold, f"{gold} AND l_tax < 0.04 UNION ALL {gold} AND l_tax >= 0.04", True),
+        (f"{gold} ORDER BY l_orderkey, l_linenumber", f"{gold} ORDER BY l_orderkey + 0, l_linenumber", True),
+        (f"{gold} ORDER BY l_orderkey, l_linenumber", f"{gold} ORDER BY l_orderkey, l_linenumber DESC", False),
+        (f"{swap} ORDER BY k, l_orderkey", f"{swap} ORDER BY k, l_orderkey DESC", False),
+    ]
+    with work_folder(spark, str(tmp_path)):
+        found = score(box, *[p[:2] for p in pairs])
+        assert [found[i]["matched"] for i in range(len(pairs))] == [p[2] for p in pairs]
+        assert large and max(large) == 1
+        assert not seen()
+    box.close()
