@@ -222,13 +222,25 @@ def cached_outcomes(cache: DataFrame) -> DataFrame:
     )
 
 
+def beside_results(examples: DataFrame, results: DataFrame) -> DataFrame:
+    """Examples with each chunk of their reference's result, by ``gold_key``; those without a result are left out.
+
+    The chunks are the side that is walked: a chunk comes out once for each of its examples in a row, so a writer that
+    encodes repeated values keeps its text once and not once per example.
+    """
+    return results.hint("merge").join(examples, "gold_key")
+
+
 def attach_gold(candidates: DataFrame, cache: DataFrame, run_db: Column | None = None) -> DataFrame:
     """Candidates with the cached result of their reference SQL, by database and text; a row per chunk."""
     keyed = candidates.withColumn(
         "gold_key", C.text_key(F.col("db_id") if run_db is None else run_db, F.col("gold_sql"))
     )
-    known = cache.select(F.col("key").alias("gold_key"), F.col("n_rows").alias("gold_rows"), "chunk", "gold_result")
-    return keyed.join(known, "gold_key", "left")
+    known = kept(
+        cache.select(F.col("key").alias("gold_key"), F.col("n_rows").alias("gold_rows"), "chunk", "gold_result"), "gold"
+    )
+    rest = keyed.join(known.select("gold_key").distinct(), "gold_key", "left_anti")
+    return beside_results(keyed, known).unionByName(rest, allowMissingColumns=True)
 
 
 # --- leak checks ------------------------------------------------------------------------------------

@@ -235,3 +235,18 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     batch = {tuple(r)[:4]: r["mean"] for r in stream.windowed_means(events, "6 hours").collect()}
     assert set(found) == set(batch)
     assert all(found[k] == pytest.approx(batch[k]) for k in found)
+
+
+def test_many_examples_of_one_reference_share_its_text_on_disk(spark, tmp_path):
+    """A result of some chunks beside 3,000 examples: its texts are written about once, not once per example."""
+    chunks = [("k", 1000, i, "".join(f"{(i + 1) * (j + 7) ** 5 % 99991:05d}" for j in range(1200))) for i in range(4)]
+    cache = spark.createDataFrame(chunks, "sql string, n_rows bigint, chunk bigint, gold_result string").withColumn("db_id", F.lit("w"))
+    cache = cache.withColumn("key", C.text_key(F.col("db_id"), F.col("sql")))
+    rows = spark.range(3002).select("id", F.lit("w").alias("db_id"), F.when(F.col("id") < 3000, "k").otherwise("absent").alias("gold_sql"))
+    found = corpus.attach_gold(rows, cache)
+    found.write.parquet(str(tmp_path / "out"))
+    written = spark.read.schema(found.schema).parquet(str(tmp_path / "out"))
+    assert written.where("gold_sql = 'k'").groupBy("gold_result").count().collect() and written.count() == 12_002
+    assert {(r["chunk"], r["gold_result"]) for r in written.where("id = 17").collect()} == {(c[2], c[3]) for c in chunks}
+    assert [r["chunk"] for r in written.where("id = 3001").collect()] == [None]
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 1_000_000
