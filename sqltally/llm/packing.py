@@ -30,7 +30,7 @@ from sqltally.operators.running import rank_rows
 from sqltally.session import kept, ship_package
 
 #: Pieces of text that a worker remembers, and those in one call of the tokenizer; bytes of texts that are encoded together.
-REMEMBERED, AT_ONCE, TOGETHER = 250_000, 1 << 12, 4 << 20
+REMEMBERED, AT_ONCE, TOGETHER = 500_000, 1 << 12, 4 << 20
 #: Chunks of printable ASCII and Latin-1 letters fall apart into pieces that are encoded each for itself. An
 #: apostrophe is left out: it may start a contraction.
 SIMPLE = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
