@@ -30,7 +30,7 @@ from sqltally.operators.running import rank_rows
 from sqltally.session import kept, ship_package
 
 #: Pieces of text that a worker remembers, and those in one call of the tokenizer; bytes of texts that are encoded together.
-REMEMBERED, AT_ONCE, TOGETHER = 500_000, 1 << 12, 4 << 20
+REMEMBERED, AT_ONCE, TOGETHER = 250_000, 1 << 12, 4 << 20
 #: Chunks of printable ASCII and Latin-1 letters fall apart into pieces that are encoded each for itself. An
 #: apostrophe is left out: it may start a contraction.
 SIMPLE = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
@@ -50,6 +50,7 @@ class WordTokenizer:
             self.ends[i] = word.endswith("</w>")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces: dict[str, bytes] = {}
+        self.remembered = REMEMBERED
 
     def _one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -75,7 +76,7 @@ class WordTokenizer:
         found = PIECE.findall("\n".join(simple).lower())
         wanted = set(found) - {"\n"}
         unknown = list(wanted.difference(self.pieces))
-        if len(self.pieces) + len(unknown) > REMEMBERED:
+        if len(self.pieces) + len(unknown) > self.remembered:
             self.pieces, unknown = {}, list(wanted)
         for start in range(0, len(unknown), AT_ONCE):
             part = unknown[start : start + AT_ONCE]
@@ -128,8 +129,13 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` and, if asked for, ``ids``: the tokens of each document and the end id."""
+def token_pieces(
+    docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, remembered: int = REMEMBERED, together: int = TOGETHER
+) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32`` and, if asked for, ``ids``: the tokens of each document and the end id.
+
+    ``remembered`` pieces of text and ``together`` bytes of texts bound a worker's memory; larger bounds take less time.
+    """
     ship_package(docs.sparkSession)
     slim = docs.select("doc_id", body(F.col("text")).alias("text"))
     fields = [slim.schema["doc_id"], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
@@ -140,11 +146,12 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(path)
+        tokenizer.remembered = remembered
         for batch in batches:
             origin, piece, start, length, crc, ids = [], [], [], [], [], []
             texts = batch.column("text")
             sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-            groups = np.searchsorted(sizes // TOGETHER, np.unique(sizes // TOGETHER), "left").tolist()
+            groups = np.searchsorted(sizes // together, np.unique(sizes // together), "left").tolist()
             for a, b in zip(groups, [*groups[1:], len(texts)]):
                 ids_of, bounds = tokenizer.encode_all(texts.slice(a, b - a), end)
                 raw = memoryview(ids_of.tobytes())
@@ -171,11 +178,11 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
     return slim.mapInArrow(run, T.StructType(fields))
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, groups: int = 96) -> DataFrame:
-    """The pieces of all documents with ``sequence_id`` and ``offset``."""
+def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, groups: int = 96, **bounds: int) -> DataFrame:
+    """The pieces of all documents with ``sequence_id`` and ``offset``; ``bounds`` as for ``token_pieces``."""
     # Numbered once, in a written table: a task that runs again later reads the same numbers.
     pieces = kept(
-        token_pieces(docs, path, capacity, end_id, with_ids).withColumn("_row", F.monotonically_increasing_id()),
+        token_pieces(docs, path, capacity, end_id, with_ids, **bounds).withColumn("_row", F.monotonically_increasing_id()),
         "pack-pieces",
     )
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
