@@ -53,7 +53,7 @@ def match_pairs(
 
     ``gold`` and ``pred`` are outcomes. Texts with the same plan match. Otherwise row count and digest
     rule out wrong pairs without moving a row, and small results compare by the SHA-256 over their
-    rows. Only large results that still agree are run again, and SHA-256 over all their rows decides (``candidates.proofs``): a sum
+    rows. Only large or ordered results that still agree are run again, and SHA-256 over all their rows decides (``candidates.proofs``): a sum
     that is the same in any order, or one over rows with their positions.
     ``cached`` holds the rows of references that were not run.
     """
@@ -73,9 +73,11 @@ def match_pairs(
             .when(F.col("gold_plan") == F.col("pred_plan"), "yes")
             .when((F.col("gold_n_rows") != F.col("pred_n_rows")) | (F.col("gold_digest") != F.col("pred_digest")), "no")
             .when(F.col("gold_n_rows") == 0, "yes")
-            .when(F.col("ordered") & (F.col("gold_seq") == F.col("pred_seq")), "yes")
+            .when(F.col("gold_bag") != F.col("pred_bag"), "no")
             .when(~F.col("ordered") & (F.col("gold_bag") == F.col("pred_bag")), "yes")
-            .when(F.col("gold_bag").isNotNull() & F.col("pred_bag").isNotNull(), "no")
+            # Without a hash of their order, as texts that run without their ORDER BY are, ordered results are compared by it.
+            .when(F.col("ordered") & (F.col("gold_seq") == F.col("pred_seq")), "yes")
+            .when(F.col("ordered") & (F.col("gold_seq") != F.col("pred_seq")), "no")
             .otherwise("prove")
             .alias("verdict"),
         )

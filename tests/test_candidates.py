@@ -148,6 +148,20 @@ def test_same_meaning_runs_once(box):
     assert len({r["plan"] for r in found.values()}) == 2
 
 
+def test_results_are_screened_without_their_last_order(box, monkeypatch):
+    """Texts that differ only in a plain ORDER BY at their end run once, unsorted; one that decides which rows come stays."""
+    ran, screen = [], C._screen
+    monkeypatch.setattr(C, "_screen", lambda box, plans: ran.extend(plan for _, plan in plans) or screen(box, plans))
+    texts = ["SELECT name, age FROM person" + end for end in ("", " ORDER BY age", " order by age DESC, 1 nulls last\n", " ORDER BY person.name")]
+    found = run(box, *texts)
+    assert len(ran) == 1 and "Sort" not in ran[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["status"], r["n_rows"], r["bag"]) for r in found.values()} == {("ok", 4, found[texts[0]]["bag"])}
+    assert [found[t]["seq"] is None for t in texts] == [False, True, True, True] and len({r["plan"] for r in found.values()}) == 4
+    kept = ["SELECT name FROM person ORDER BY age LIMIT 1", "SELECT name FROM person ORDER BY raise_error(name)", "SELECT name FROM person ORDER BY nope"]
+    found = run(box, *kept)
+    assert [found[t]["status"] for t in kept] == ["ok", "error", "error"]
+
+
 PAIRS = [
     # gold, prediction, match
     ("SELECT name FROM person", "SELECT Name FROM person", True),
