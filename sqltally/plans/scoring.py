@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,13 @@ def with_keys(completions: DataFrame) -> DataFrame:
     )
 
 
+def asked_key() -> Column:
+    """Key of what a completion asks, ``db_id, gold_sql, text``: their sizes, -1 for a missing one, tell where each ends."""
+    names = ["db_id", "gold_sql", "text"]
+    sizes = [F.coalesce(F.length(n), F.lit(-1)).cast("string") for n in names]
+    return F.sha2(F.concat_ws("\n", *sizes, *names), 256)
+
+
 def execute_pairs(
     box: C.Sandbox, pairs: DataFrame, match: bool = True, cache: DataFrame | None = None
 ) -> DataFrame:
@@ -61,15 +68,19 @@ def score_completions(
 ) -> DataFrame:
     """Completions with ``pred_sql, status, error, n_rows, gold_status, gold_rows, matched``.
 
-    One pass finds the distinct pairs of reference and predicted text, a second one joins their
-    outcomes back. A completion is a string or an array of messages. Execution work grows with the distinct texts, not with the completions.
+    One pass finds the distinct completions of a reference, from which SQL is extracted once each, a second one joins their
+    outcomes back by one hash per row. A completion is a string or an array of messages. Execution work grows with the distinct texts, not with the completions.
     ``match=False`` leaves the references and the comparison out. References with a whole result in ``cache`` are
     not run; those with a missing or broken one are.
     """
-    keyed = with_keys(completions)
-    pairs = kept(keyed.select("gold_key", "pred_key", "db_id", "gold_sql", "pred_sql").distinct(), "pairs")
-    results = kept(execute_pairs(box, pairs, match, cache if match else None), "results")
-    return keyed.join(results, ["gold_key", "pred_key"], "left").drop("gold_key", "pred_key")
+    given = as_text(completions)
+    keyed = kept(with_keys(given.select("db_id", "gold_sql", "text").distinct()).withColumn("_asked", asked_key()), "texts")
+    # A missing reference and an empty one have the same key, so they are one pair.
+    gold = F.coalesce("gold_sql", F.lit("")).alias("gold_sql")
+    pairs = kept(keyed.select("gold_key", "pred_key", "db_id", gold, "pred_sql").dropDuplicates(["gold_key", "pred_key"]), "pairs")
+    results = execute_pairs(box, pairs, match, cache if match else None)
+    told = keyed.select("_asked", "pred_sql", "gold_key", "pred_key").join(results, ["gold_key", "pred_key"], "left").drop("gold_key", "pred_key")
+    return given.withColumn("_asked", asked_key()).join(kept(told, "results"), "_asked", "left").drop("_asked")
 
 
 def judge_corpus(box: C.Sandbox, examples: DataFrame, run_db: str | None = None) -> DataFrame:

@@ -219,6 +219,21 @@ def test_cached_reference_results(spark, staff, small_rows):
     assert found == {cid: match for cid, *_, match in rows}
 
 
+def test_repeated_completions_are_read_once(spark, box, monkeypatch):
+    """SQL is extracted from distinct completions; missing texts, and texts that only join to the same string, stay apart."""
+    seen, with_keys = [], scoring.with_keys
+    monkeypatch.setattr(scoring, "with_keys", lambda rows: seen.append(rows.count()) or with_keys(rows))
+    gold = "SELECT count(*) FROM team"
+    texts = [(gold, "SELECT 3"), (gold, None), (None, gold), (gold, ""), ("", gold), (gold + "\n", "SELECT 3"), (gold, "\nSELECT 3"), (None, None)]
+    rows = [(5 * i + j, "staff", g, t) for i, (g, t) in enumerate(texts) for j in range(5)]
+    found = scoring.score_completions(box, spark.createDataFrame(rows, "cid int, db_id string, gold_sql string, text string")).collect()
+    assert seen == [len(texts)]
+    told = {r["cid"]: (r["gold_sql"], r["text"], r["pred_sql"], r["status"], r["matched"]) for r in found}
+    right = [("SELECT 3", "ok", True), ("", "error", False), (gold, "ok", False), ("", "error", False), (gold, "ok", False)]
+    right += [("SELECT 3", "ok", True), ("SELECT 3", "ok", True), ("", "error", False)]
+    assert len(found) == len(rows) and told == {5 * i + j: (*texts[i], *right[i]) for i in range(len(texts)) for j in range(5)}
+
+
 def test_rewards(spark, box):
     gold = "SELECT count(*) FROM person WHERE age > 60"
     rows = spark.createDataFrame(
