@@ -1,7 +1,7 @@
 """Objects of JSON arrays of any size, read in splits: no file is one string and none is one task.
 
 The text source cuts a file at every closing brace, wherever its splits lie. Two passes follow, each over one split at a
-time with one object in memory:
+time with some megabytes, or one object, in memory; they look at the marks of all these fragments at once:
 
 1. how a split changes the nesting, for a start outside a string and for one inside;
 2. with the state at its start known from the splits before it, each split hands out its whole objects, and its ends as pieces.
@@ -12,11 +12,14 @@ splits are brought into order, never rows.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import groupby
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,11 +27,13 @@ from pyspark.sql import types as T
 from ..operators.running import totals_before
 from ..session import kept, ship_package
 
-ESCAPE = re.compile(r"\\.", re.S)
-CLOSING = re.compile(r'(?:[^"\\]|\\.)*"', re.S)
-TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|["{\[\]]', re.S)
+QUOTE, OPEN, CLOSE, ARRAY = b'"{}['
+STEP = np.zeros(256, np.int8)
+STEP[list(b"{[")], STEP[list(b"}]")] = 1, -1
+MARK = STEP != 0
+MARK[QUOTE] = True
 BLANKS = " \t\r\n\ufeff"
-#: Characters of objects handed over together.
+#: Characters looked at, and of objects handed over, together; a longer fragment is looked at as a whole.
 TOGETHER = 1 << 22
 
 SPLIT = T.StructType([T.StructField("file", T.StringType()), T.StructField("start", T.LongType())])
@@ -42,28 +47,30 @@ PIECE = T.StructType([
 ])
 
 
-def _nested(parts: list[str], inside: int) -> int:
-    """By how much the parts outside strings open more than they close, closing braces aside."""
-    outside = "".join(parts[inside::2])
-    return outside.count("{") + outside.count("[") - outside.count("]")
+def _marks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of quotes and brackets, these marks, and how many quotes there are up to each; in a JSON text a backslash is always inside a string."""
+    if b"\\" in data:
+        data = data.replace(b"\\\\", b"__").replace(b'\\"', b"__")
+    read = np.frombuffer(data, np.uint8)
+    places = np.flatnonzero(MARK[read])
+    marks = read[places]
+    return places, marks, np.cumsum(marks == QUOTE)
 
 
-def _parts(fragment: str) -> list[str]:
-    """The fragment cut at its quotes; in a JSON text a backslash is always inside a string."""
-    return (ESCAPE.sub("", fragment) if "\\" in fragment else fragment).split('"')
+def change(texts: Iterable[str]) -> tuple[int, int, int, str | None]:
+    """Number of quotes, change of depth for a start outside and inside a string, and the first character that is not blank.
 
-
-def change(fragments: Iterator[str]) -> tuple[int, int, int, str | None]:
-    """Number of quotes, change of depth for a start outside and inside a string, and the first character that is not blank."""
+    A text is one fragment, or some that follow each other with the braces between them.
+    """
     quotes, depth, opening = 0, [0, 0], None
-    for fragment in fragments:
+    for text in texts:
         if opening is None:
-            opening = fragment.lstrip(BLANKS)[:1] or None
-        parts = _parts(fragment)
-        for start in (0, 1):
-            inside = (start + quotes) % 2
-            depth[start] += _nested(parts, inside) - ((inside + len(parts)) % 2)
-        quotes += len(parts) - 1
+            opening = text.lstrip(BLANKS + "}")[:1] or None
+        _, marks, count = _marks(text.encode() + b"}")
+        steps, odd = STEP[marks], (count + quotes) % 2 == 1
+        inner = int(steps[odd].sum())
+        depth = [depth[0] + int(steps.sum()) - inner, depth[1] + inner]
+        quotes += int(count[-1])
     return quotes, depth[0], depth[1], opening
 
 
@@ -92,120 +99,97 @@ class Splitter:
             self.held, self.began_before = [], True
         self.through = self.began_before
 
-    def feed(self, fragment: str) -> None:
-        rest = fragment
-        if self.began_before and (at := self._left_array(fragment)) is not None:
-            # What the split began in was no object of the wanted array, but an array in it.
-            self.held, self.began_before, self.through = None, False, False
-            rest = fragment[at:]
-        if self.held is None:
-            begin = self._between(rest)
-            if begin is None:
-                self._closed()
-                return
-            self.held, rest = [], rest[begin:]
-        self.held.append(rest)
-        parts = _parts(rest)
-        self.depth += _nested(parts, int(self.inside))
-        self.inside = bool((self.inside + len(parts) - 1) % 2)
-        self._closed()
-
-    def _left_array(self, fragment: str) -> int | None:
-        """Where an array that was open at the start of the split ends, if it does here; depth and place are then those after it."""
-        outside = "".join(_parts(fragment)[int(self.inside) :: 2])
-        if self.depth - outside.count("]") > self.base:
-            return None
-        depth, at = self.depth, 0
-        if self.inside:
-            at = CLOSING.match(fragment).end()
-        for token in TOKEN.finditer(fragment, at):
-            if token[0] == '"':
-                break
-            depth += {"{": 1, "[": 1, "]": -1}.get(token[0], 0)
-            if depth == self.base:
-                self.depth, self.inside = depth, False
-                return token.end()
-        return None
-
-    def _between(self, fragment: str) -> int | None:
-        """Go on between objects; where the next one begins."""
-        at = 0
-        if self.inside:
-            end = CLOSING.match(fragment)
-            if end is None:
-                return None
-            at, self.inside = end.end(), False
-        name = None
-        for token in TOKEN.finditer(fragment, at):
-            mark = token[0]
-            if mark == '"':
-                self.inside = True
-                return None
-            if mark[0] == '"':
-                name = mark[1:-1]
-                continue
-            if mark == "{":
-                if self.depth == self.base and self.active is not False:
-                    return token.start()
-                self.depth += 1
-            elif mark == "[":
-                if self.depth == 1 and name == self.key and self.key is not None:
-                    self.active = True
-                self.depth += 1
+    def feed(self, text: str) -> None:
+        """Go on with a fragment, or some that follow each other with the braces between them; a brace ends the last one, too."""
+        data = text.encode() + b"}"
+        places, marks, count = _marks(data)
+        outside = np.flatnonzero((marks != QUOTE) & ((count + self.inside) % 2 == 0))
+        own = marks[outside]
+        step = STEP[own]
+        after = self.depth + np.cumsum(step, dtype=np.int64)
+        active = self._active(data, places, marks, count, outside, own, after)
+        # An object ends where a brace comes back to its depth; what the split began in may also be an array in the wanted one.
+        ends = np.flatnonzero((own == CLOSE) & (after == self.base))
+        begins = np.flatnonzero((own == OPEN) & (after == self.base + 1) & (active != 0))
+        if self.held is not None:
+            back = np.flatnonzero(after == self.base)[:1] if self.began_before else ends[:1]
+            if not len(back):
+                self.held.append(data.decode())
+                begins = begins[:0]
             else:
-                self._up()
-            name = None
-        return None
-
-    def _up(self) -> None:
-        self.depth -= 1
-        if self.key is not None and self.depth <= 1:
-            self.active = False
-
-    def _closed(self) -> None:
-        """The brace that ended the fragment."""
-        if self.inside:
-            return
-        if self.held is None:
-            self._up()
-            return
-        self.depth -= 1
-        if self.depth == self.base:
-            text = "}".join(self.held) + "}"
-            known = self.active is not None
-            self.found.append(("head" if self.began_before else "whole", self.sure + self.unsure, known, text))
-            self.sure, self.unsure = self.sure + known, self.unsure + (not known)
-            self.held, self.began_before, self.through = None, False, False
+                if own[back[0]] == CLOSE:
+                    end = int(places[outside[back[0]]]) + 1
+                    kind = "head" if self.began_before else "whole"
+                    self._found(kind, ["".join([*self.held, data[:end].decode()])], active[back])
+                self.held, self.began_before, self.through = None, False, False
+                begins = begins[begins > back[0]]
+        if len(begins):
+            closing = np.searchsorted(ends, begins)
+            _, first = np.unique(closing, return_index=True)
+            begins, closing = begins[first], closing[first]
+            whole = int(np.searchsorted(closing, len(ends)))
+            starts = places[outside[begins]]
+            stops = places[outside[ends[closing[:whole]]]] + 1
+            self._found("whole", [data[a:b].decode() for a, b in zip(starts[:whole].tolist(), stops.tolist())], active[begins[:whole]])
+            if whole < len(begins):
+                self.held = [data[starts[whole] :].decode()]
+        self.inside = bool((self.inside + int(count[-1])) % 2)
+        if len(outside):
+            self.depth = int(after[-1])
+            self.active = None if active[-1] < 0 else bool(active[-1])
+
+    def _active(self, data, places, marks, count, outside, own, after) -> np.ndarray:
+        """``active`` from each bracket outside strings on: 1, 0, and -1 where nothing tells."""
+        now = -1 if self.active is None else int(self.active)
+        if self.key is None:
+            return np.full(len(own), now)
+        told = np.where((STEP[own] < 0) & (after <= 1), 0, -1)
+        name, quotes = self.key.encode(), places[marks == QUOTE]
+        for i in np.flatnonzero((own == ARRAY) & (after == 2)):
+            at, seen = outside[i], int(count[outside[i]])
+            # The name of an array is the string right before it.
+            if seen > 1 and marks[at - 1] == QUOTE and data[quotes[seen - 2] + 1 : quotes[seen - 1]] == name:
+                told[i] = 1
+        last = np.maximum.accumulate(np.where(told >= 0, np.arange(len(told)), -1))
+        return np.where(last >= 0, told[last], now)
+
+    def _found(self, kind: str, texts: list[str], active: np.ndarray) -> None:
+        seq = self.sure + self.unsure
+        known = (active >= 0).tolist()
+        self.found += [(kind, seq + n, k, text) for n, (k, text) in enumerate(zip(known, texts))]
+        self.sure, self.unsure = self.sure + sum(known), self.unsure + len(known) - sum(known)
 
     def rest(self) -> list[tuple]:
         """What is left at the end of the split, and its figures."""
         out = self.found
         if self.held is not None:
-            out.append(("middle" if self.began_before else "tail", 0, self.active is not None, "}".join([*self.held, ""])))
+            out.append(("middle" if self.began_before else "tail", 0, self.active is not None, "".join(self.held)))
         told = None if self.active is None else str(self.active).lower()
         # A split that lies in one object or array as a whole is passed through by the pieces before it.
         return [*out, ("split", self.sure, not self.through, told), ("unsure", self.unsure, True, None)]
 
 
-def _by_split(batches: Iterator[pa.RecordBatch], extra: list[str]) -> Iterator[tuple[tuple, Iterator[str]]]:
-    """The fragments of each split in their order; a task reads its splits one after the other."""
-
-    def rows():
-        for batch in batches:
-            yield from zip(*[batch.column(c).to_pylist() for c in ("file", "start", *extra, "value")])
-
-    stream = rows()
-    row = next(stream, None)
-    while row is not None:
-        key = row[:-1]
-
-        def same():
-            nonlocal row
-            while row is not None and row[:-1] == key:
-                yield row[-1]
-                row = next(stream, None)
-
-        yield key, same()
+def _texts(batches: Iterable[pa.RecordBatch], extra: list[str]) -> Iterator[tuple[tuple, str]]:
+    """Fragments of one split that follow each other, joined by the braces between them, some megabytes together."""
+    for batch in batches:
+        rows, value = batch.num_rows, batch.column("value")
+        if not rows:
+            continue
+        keys = [batch.column(c) for c in ("file", "start", *extra)]
+        size = np.cumsum(pc.binary_length(value).to_numpy(), dtype=np.int64) // TOGETHER
+        cut = size[1:] != size[:-1]
+        for key in keys[:2]:
+            cut |= pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(cut) + 1).tolist(), rows]
+        for a, b in zip(edges, edges[1:]):
+            listed = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), value.slice(a, b - a))
+            yield tuple(key[a].as_py() for key in keys), pc.binary_join(listed, pa.scalar("}", value.type))[0].as_py()
+
+
+def _by_split(batches: Iterable[pa.RecordBatch], extra: list[str]) -> Iterator[tuple[tuple, Iterator[str]]]:
+    """The texts of each split in their order; a task reads its splits one after the other."""
+    for split, texts in groupby(_texts(batches, extra), itemgetter(0)):
+        yield split, (text for _, text in texts)
 
 
 def fragments(spark: SparkSession, paths: Sequence[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -107,6 +108,23 @@ def test_splits_agree_on_their_state(seed, step):
     assert [json.loads(t) for t in texts] == rows
 
 
+def test_fragments_are_looked_at_together():
+    """Without Spark: fragments of a split come joined, not one by one, and give what they give one by one."""
+    rows = [{"n": n, NASTY[n % len(NASTY)]: [NASTY[n % 5], {"x": n}]} for n in range(3_000)]
+    for made, key in ((rows, None), ({"by": {"a}": [{}]}, "predictions": rows, "late": [{"no": 1}]}, "predictions")):
+        pieces = json.dumps(made).split("}")
+        table = {"file": ["a"] * len(pieces) + ["b"], "start": [0] * len(pieces) + [0], "value": [*pieces, "[]"]}
+        told = [(split, list(texts)) for split, texts in json_arrays._by_split(pa.table(table).to_batches(), [])]
+        assert told == [(("a", 0), ["}".join(pieces)]), (("b", 0), ["[]"])]
+        assert json_arrays.change(told[0][1]) == json_arrays.change(pieces)
+        one, many = (json_arrays.Splitter(False, 0, key, key is None) for _ in range(2))
+        one.feed(told[0][1][0])
+        for piece in pieces:
+            many.feed(piece)
+        assert (left := one.rest()) == many.rest()
+        assert [json.loads(text) for kind, *_, text in left if kind == "whole"] == rows
+
+
 @pytest.mark.parametrize("text", ['[{"a": 1}', '[{"a": 1}, {"b": 2', '[{"a": "x}]', '{"predictions": [{"a": 1}', "["])
 def test_torn_files_are_told(spark, tmp_path, text):
     (tmp_path / "torn.json").write_text(text)
