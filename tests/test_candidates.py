@@ -55,6 +55,27 @@ def test_outcomes(box):
     assert found["  "]["error"] == "Empty SQL"
 
 
+def test_prose_and_relations_are_no_queries(box, monkeypatch):
+    """They are errors that never reach the driver; whatever may begin a query does."""
+    seen, analyse = [], C._analyse
+    monkeypatch.setattr(C, "_analyse", lambda box, rows, *more: seen.extend(r["sql"] for r in rows) or analyse(box, rows, *more))
+    none = ["person", "person p JOIN team t ON true", "(person)", "The answer is 4, sorted by name.", "Selected rows: SELECT 1", "range(3)", " \t"]
+    some = [
+        "TABLE person", "VALUES (1), (2)", "FROM person SELECT name", "((SELECT name FROM person) UNION ALL (SELECT name FROM team))",
+        "/* all */ SELECT * FROM person", "-- all\nselect * FROM person", "\u00a0 WITH p AS (SELECT 1) TABLE p", "SELECT*FROM person", "select'a'",
+        "SELECT.5", "\u017felect 1", "(VALUES(1))", "FROM`person`",
+    ]
+    prose = "With this the answer is 4"
+    found = run(box, *none, *some, prose)
+    assert {t: found[t]["error"] for t in none} == {t: "Empty SQL" if t == " \t" else "Not a query" for t in none}
+    assert {t: found[t]["status"] for t in none} == dict.fromkeys(none, "error")
+    assert {t: found[t]["status"] for t in some} == dict.fromkeys(some, "ok")
+    assert found[prose]["status"] == "error" and found[prose]["error"] != "Not a query"
+    assert sorted(seen) == sorted([*some, prose])
+    with pytest.raises(ValueError, match="Not a query"):
+        box.plan("staff", "person")
+
+
 def test_nothing_but_queries(box, tmp_path):
     hostile = [
         "DROP VIEW person",
